@@ -1,0 +1,15 @@
+"""Catalogue of registered queries."""
+
+from __future__ import annotations
+
+import importlib
+
+from paperloom.catalog.registry import REGISTRY
+
+AREAS = ("retrieval",)
+
+
+def load_catalog():
+    for area in AREAS:
+        importlib.import_module(f"paperloom.catalog.{area}")
+    return REGISTRY

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 TOKEN = r"[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*"
 WORD = r"[A-Za-z][A-Za-z0-9\-]{2,}"
 KEYWORD = r"[a-zA-Z][a-zA-Z\-]{2,}"
-LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
+LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
 SPACE = "(?U)[\\s\u001c-\u001f]"
 
 RANKING_STOP_WORDS = (
