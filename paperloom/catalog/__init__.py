@@ -6,7 +6,7 @@ import importlib
 
 from paperloom.catalog.registry import REGISTRY
 
-AREAS = ("retrieval",)
+AREAS = ("structure", "retrieval")
 
 
 def load_catalog():

@@ -24,3 +24,18 @@ def read_table(spark: SparkSession, path: str, spread: str | None = None) -> Dat
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Stored papers or chunks as retrieval documents."""
     return read_table(spark, path, spread="doc_id").select("doc_id", "text", "lang", "source")
+
+
+def list_papers(spark: SparkSession, folder: str, suffix: str = "pdf") -> tuple[DataFrame, DataFrame]:
+    """Files of a folder sorted by name: those with the suffix, and the rejected rest.
+
+    Only path and size are asked for, so file contents are never read.
+    """
+    files = spark.read.format("binaryFile").load(folder).select(
+        F.regexp_replace("path", "^.*/", "").alias("name"),
+        F.col("length").alias("size"),
+    )
+    wanted = F.lower("name").endswith(f".{suffix}")
+    accepted = files.where(wanted).withColumn("status", F.lit("indexed"))
+    rejected = files.where(~wanted).withColumn("status", F.lit("rejected"))
+    return accepted.orderBy("name"), rejected.orderBy("name")
