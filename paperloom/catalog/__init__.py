@@ -6,7 +6,7 @@ import importlib
 
 from paperloom.catalog.registry import REGISTRY
 
-AREAS = ("structure", "retrieval")
+AREAS = ("structure", "retrieval", "triples")
 
 
 def load_catalog():
