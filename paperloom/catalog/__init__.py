@@ -6,7 +6,7 @@ import importlib
 
 from paperloom.catalog.registry import REGISTRY
 
-AREAS = ("structure", "retrieval", "triples", "graph")
+AREAS = ("structure", "retrieval", "triples", "graph", "literature")
 
 
 def load_catalog():

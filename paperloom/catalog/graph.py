@@ -8,6 +8,7 @@ from paperloom.catalog.registry import register, table, with_ctes
 from paperloom.catalog.triples import CHAIN, CLASH, decided_triples, flat_props, raw_triples, RAW
 from paperloom.operators import graph as kg
 from paperloom.operators import triples as tp
+from paperloom.session import materialize
 
 NODES = [
     kg.NodeMap("customer", "Customer", "c_custkey", {"name": "c_name", "segment": "c_mktsegment", "nation": "c_nationkey"}),
@@ -186,14 +187,14 @@ def kg_stats(spark, folder):
 
 
 @register("node_lookup", "E10", """
-SELECT n_nationkey AS request_id, 'Customer' AS label, c_custkey::VARCHAR AS key FROM nation JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING'
+SELECT n_nationkey::BIGINT AS request_id, 'Customer' AS label, c_custkey::VARCHAR AS key FROM nation JOIN customer ON c_nationkey = n_nationkey AND c_mktsegment = 'BUILDING'
 UNION ALL SELECT 1000 + n_nationkey, 'Nation', n_nationkey::VARCHAR FROM nation""")
 def node_lookup(spark, folder):
     nodes, _ = raw_graph(spark, folder)
     nations = table(spark, folder, "nation")
     requests = nations.selectExpr(
-        "n_nationkey AS request_id", "'Customer' AS label", "map('nation', CAST(n_nationkey AS STRING), 'segment', 'BUILDING') AS wanted"
-    ).unionByName(nations.selectExpr("1000 + n_nationkey AS request_id", "'Nation' AS label", "map('name', n_name) AS wanted"))
+        "CAST(n_nationkey AS BIGINT) AS request_id", "'Customer' AS label", "map('nation', CAST(n_nationkey AS STRING), 'segment', 'BUILDING') AS wanted"
+    ).unionByName(nations.selectExpr("CAST(1000 + n_nationkey AS BIGINT) AS request_id", "'Nation' AS label", "map('name', n_name) AS wanted"))
     return kg.find_nodes(nodes, requests).select("request_id", "label", "key")
 
 
@@ -269,10 +270,11 @@ links AS (SELECT lower(src_label) || '-' || src_key AS source, lower(dst_label)
 
 def explorer(spark, folder):
     nodes, edges = raw_graph(spark, folder)
-    shown_nodes = kg.merge_nodes(nodes).selectExpr(
+    # A graph is stored once and explored many times.
+    shown_nodes = materialize(kg.merge_nodes(nodes), "nodes").selectExpr(
         "lower(label) || '-' || key AS id", "props['name'] AS name", "label AS type", f"{LEVEL_CASE} AS level", f"{CATEGORY_CASE} AS category"
     )
-    links = kg.merge_edges(edges).selectExpr(
+    links = materialize(kg.merge_edges(edges), "edges").selectExpr(
         "lower(src_label) || '-' || src_key AS source", "lower(dst_label) || '-' || dst_key AS target", "lower(rel_type) AS predicate"
     )
     return shown_nodes, links

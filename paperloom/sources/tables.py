@@ -39,3 +39,27 @@ def list_papers(spark: SparkSession, folder: str, suffix: str = "pdf") -> tuple[
     accepted = files.where(wanted).withColumn("status", F.lit("indexed"))
     rejected = files.where(~wanted).withColumn("status", F.lit("rejected"))
     return accepted.orderBy("name"), rejected.orderBy("name")
+
+
+PAYLOAD_SCHEMA = "source string, query_id long, fetched_at timestamp_ntz, payload string"
+
+
+def write_payloads(payloads: DataFrame, folder: str) -> None:
+    """Land API answers as JSON lines, one folder per source, so readers prune by source."""
+    payloads.write.mode("append").partitionBy("source").json(folder)
+
+
+def read_payloads(spark: SparkSession, folder: str, source: str | None = None) -> DataFrame:
+    """Landed answers ``(source, query_id, fetched_at, payload)``, one row per answer."""
+    df = spark.read.schema(PAYLOAD_SCHEMA).json(folder)
+    return df if source is None else df.where(F.col("source") == source)
+
+
+def read_whole_files(spark: SparkSession, folder: str, source: str) -> DataFrame:
+    """Answers stored one per file (XML or JSON): the file name is the request."""
+    return spark.read.option("wholetext", True).text(folder).select(
+        F.lit(source).alias("source"),
+        F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]*$", "").alias("request"),
+        F.col("_metadata.file_modification_time").alias("fetched_at"),
+        F.col("value").alias("payload"),
+    )
