@@ -6,7 +6,7 @@ import importlib
 
 from paperloom.catalog.registry import REGISTRY
 
-AREAS = ("structure", "retrieval", "triples", "graph", "literature")
+AREAS = ("structure", "retrieval", "triples", "graph", "literature", "answers", "monitoring", "streams")
 
 
 def load_catalog():
