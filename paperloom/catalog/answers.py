@@ -15,6 +15,7 @@ from paperloom.operators import answers as qa
 from paperloom.operators import graph as kg
 from paperloom.operators import retrieval as rt
 from paperloom.plans.answers import answer_questions
+from paperloom.session import materialize
 
 # The same expressions run in Spark and in the SQL twin.
 QUESTION_SQL = """CASE (conv_id * 7 + turn) % 9
@@ -199,7 +200,8 @@ evidence AS (
 def evidence_of(spark, folder):
     queries = asked(spark, folder)
     context = qa.kg_context(queries, topic_summaries(spark, folder))
-    return qa.fuse_evidence(queries, local_chunks(spark, folder), web_chunks(spark, folder), context)
+    local, web = materialize(local_chunks(spark, folder), "local"), materialize(web_chunks(spark, folder), "web")
+    return qa.fuse_evidence(queries, local, web, context)
 
 
 @register("fused_evidence", "F5", with_ctes(*EVIDENCE, select="""
@@ -338,11 +340,13 @@ ANSWERS = (*EVIDENCE, DISPUTES, item_ctes("local", "l"), item_ctes("web", "w"),
 
 @register("assembled_answers", "F10", with_ctes(*ANSWERS, select="SELECT query_id, answer FROM answers"))
 def assembled_answers(spark, folder):
-    queries, local, web = asked(spark, folder), local_chunks(spark, folder), web_chunks(spark, folder)
-    evidence = evidence_of(spark, folder)
+    queries = asked(spark, folder)
+    local, web = materialize(local_chunks(spark, folder), "local"), materialize(web_chunks(spark, folder), "web")
+    context = qa.kg_context(queries, topic_summaries(spark, folder))
+    evidence = materialize(qa.fuse_evidence(queries, local, web, context), "evidence")
     items = [qa.filter_evidence(queries, qa.collect_evidence_items(c)) for c in (local, web)]
     return qa.assemble_answers(
-        queries, *items, qa.kg_context(queries, topic_summaries(spark, folder)),
+        queries, *items, context,
         qa.evidence_contradictions(queries, evidence, RULES), evidence.groupBy("query_id").agg(F.count("*").alias("n")), DEFINITIONS,
     )
 

@@ -244,7 +244,7 @@ def one_hop_targets(spark, folder):
 @register("contradicting_pairs", "E13", with_ctes(*CHAIN, CLASH, "pairs AS (SELECT DISTINCT new_name, old_name FROM clash WHERE starts_with(new_name, 'S1') AND starts_with(old_name, 'S1'))", select="""
 SELECT new_name AS a, old_name AS b FROM pairs UNION ALL SELECT old_name, new_name FROM pairs"""))
 def contradicting_pairs(spark, folder):
-    _, edges = tp.contradiction_records(decided_triples(spark, folder))
+    _, edges = tp.contradiction_records(decided_triples(spark, folder, stored=True))
     return kg.pairs_with_prefix(edges, "CONTRADICTS", "Hypothesis", "S1")
 
 

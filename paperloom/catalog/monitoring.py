@@ -78,5 +78,5 @@ FROM titles LEFT JOIN (SELECT doc_id::VARCHAR AS id, count(*) AS chunks FROM chu
 LEFT JOIN (SELECT paper AS id, entities, triples, triples_merged FROM paper_summary) s USING (id)"""))
 def library_records(spark, folder):
     chunks = st.chunk_papers(paper_texts(spark, folder)).groupBy(F.col("doc_id").cast("string").alias("id")).agg(F.count("*").alias("chunks"))
-    summary = tp.paper_kg_summary(decided_triples(spark, folder), entity_counts(spark, folder)).withColumnRenamed("paper", "id")
+    summary = tp.paper_kg_summary(decided_triples(spark, folder, stored=True), entity_counts(spark, folder)).withColumnRenamed("paper", "id")
     return mon.library_records(titled(spark, folder), chunks, summary)

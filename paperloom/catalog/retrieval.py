@@ -9,6 +9,7 @@ from paperloom.functions import text as tx
 from paperloom.functions.ranking import shown
 from paperloom.operators import retrieval as rt
 from paperloom.plans import hybrid
+from paperloom.session import materialize
 
 TOKEN_SQL = "[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*"
 
@@ -224,12 +225,10 @@ def dense_topk(spark, folder):
 SELECT 'pubmedbert' AS source, query_id, doc_id, round(score, 6) AS score, rank FROM bio
 UNION ALL SELECT 'nomic', query_id, doc_id, round(score, 6), rank FROM gen"""))
 def sparse_topk(spark, folder):
-    out = None
-    for name, salt in hybrid.SALTS.items():
-        part = show_ranked(rt.sparse_topk(questions(spark, folder), corpus(spark, folder), salt))
-        part = part.withColumn("source", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = rt.sparse_lists(questions(spark, folder), corpus(spark, folder), hybrid.SALTS)
+    return found.select(
+        F.col("vector").alias("source"), "query_id", "doc_id", shown("score").alias("score"), F.col("rank").cast("long").alias("rank")
+    )
 
 
 @register("rank_fusion", "C10", with_ctes(*LISTS, select="""
@@ -419,9 +418,9 @@ LEFT JOIN (SELECT query_id, doc_id FROM rrf WHERE rank <= 15) f USING (query_id,
 GROUP BY 1"""))
 def recall_at_k(spark, folder):
     queries, docs = questions(spark, folder), corpus(spark, folder)
-    lists = hybrid.three_lists(queries, docs)
-    truth = rt.passage_truth(queries, docs)
-    single = rt.recall_at_k(lists["bm25"], truth)
+    lists = materialize(hybrid.three_lists(queries, docs), "lists")
+    truth = materialize(rt.passage_truth(queries, docs), "truth")
+    single = rt.recall_at_k(lists.where("source = 'bm25'"), truth)
     fused = rt.recall_at_k(hybrid.fuse_lists(lists, docs), truth)
     return single.select(
         "query_id", "relevant", F.col("found").alias("bm25_found"), shown("recall").alias("bm25_recall")

@@ -13,6 +13,13 @@ from paperloom.session import fresh_folder
 from paperloom.streaming import papers as sp
 
 
+# Ingest normalises line by line first, so the twin does as well.
+NORMALIZED_PAPER = rf"""paper_raw AS (SELECT doc_id, {PAPER_TEXT_SQL} AS text, {PATH_SQL} AS path FROM documents),
+paper AS (
+  SELECT doc_id, any_value(path) AS path, trim(string_agg(trim(regexp_replace(line, '\s+', ' ', 'g')), chr(10) ORDER BY i), ' ' || chr(10)) AS text
+  FROM (SELECT doc_id, path, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, path, string_split(text, chr(10)) AS l FROM paper_raw)) GROUP BY 1)"""
+
+
 @register("event_intake", "A4", "SELECT event_id, event_type, user_id FROM events")
 def event_intake(spark, folder):
     out, checkpoint = fresh_folder(spark, "intake"), fresh_folder(spark, "checkpoint")
@@ -21,7 +28,7 @@ def event_intake(spark, folder):
     return spark.read.parquet(out).select("event_id", "event_type", "user_id")
 
 
-@register("streamed_ingest", "A5", with_ctes(*CHUNKS, select="SELECT doc_id, chunk_id, chunk_type, char_start, char_end FROM chunks"))
+@register("streamed_ingest", "A5", with_ctes(NORMALIZED_PAPER, *CHUNKS[1:], select="SELECT doc_id, chunk_id, chunk_type, char_start, char_end FROM chunks"))
 def streamed_ingest(spark, folder):
     out, checkpoint = fresh_folder(spark, "ingest"), fresh_folder(spark, "checkpoint")
     papers = sp.stream_table(spark, folder, "documents.parquet").selectExpr("doc_id", f"{PAPER_TEXT_SQL} AS text", f"{PATH_SQL} AS path")

@@ -8,6 +8,7 @@ from paperloom.catalog.registry import register, table, with_ctes
 from paperloom.functions import text as tx
 from paperloom.functions.ranking import shown
 from paperloom.operators import triples as tp
+from paperloom.session import materialize
 
 ORDER = (
     "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
@@ -59,9 +60,12 @@ def known_entities(spark):
     return subjects.unionByName(objects)
 
 
-def decided_triples(spark, folder):
+def decided_triples(spark, folder, stored=False):
+    """Decisions over stored validated triples, stored in turn for the stages that share them."""
     firsts = tp.dedupe_triples(raw_triples(spark, folder))
-    return tp.decide_triples(tp.validate_triples(firsts, known_entities(spark)))
+    validated = materialize(tp.validate_triples(firsts, known_entities(spark)), "validated")
+    decided = tp.decide_triples(validated)
+    return materialize(decided, "decided") if stored else decided
 
 
 CORPUS_ALIASES = (
@@ -221,7 +225,7 @@ FROM (SELECT DISTINCT new_name, old_name FROM clash)
 UNION ALL SELECT 'Hypothesis', old_name, 'CONTRADICTS', 'Hypothesis', new_name, 'reason={tp.OPPOSING}' FROM (SELECT DISTINCT new_name, old_name FROM clash)
 UNION ALL SELECT 'Hypothesis', new_name, 'SUPPORTS', 'Paper', paper, 'evidence=' || arg_max(evidence, seq) FROM clash GROUP BY new_name, paper"""))
 def contradiction_edges(spark, folder):
-    _, edges = tp.contradiction_records(decided_triples(spark, folder))
+    _, edges = tp.contradiction_records(decided_triples(spark, folder, stored=True))
     return edges.withColumn("props", flat_props(F.col("props")))
 
 
@@ -244,7 +248,7 @@ SELECT 'Contradiction', id, 'evidence=' || evidence || ';existing_predicate=' ||
   || ';object_id=' || object || ';paper_doi=' || arg_max(paper, seq) || ';subject_id=' || subject
 FROM (SELECT *, substr(sha1(new_name || '|' || old_name || '|' || evidence), 1, 16) AS id FROM clash) GROUP BY id, evidence, existing_predicate, predicate, object, subject"""))
 def contradiction_nodes(spark, folder):
-    nodes, _ = tp.contradiction_records(decided_triples(spark, folder))
+    nodes, _ = tp.contradiction_records(decided_triples(spark, folder, stored=True))
     return nodes.withColumn("props", flat_props(F.col("props")))
 
 
@@ -273,7 +277,7 @@ def entity_counts(spark, folder):
 SELECT *, 'Ingested paper ' || paper || ': +' || triples_merged || ' triples, +' || new_entities || ' new entities, ' || contradictions_detected || ' contradiction detected' AS log_line
 FROM paper_summary"""))
 def paper_kg_summary(spark, folder):
-    return tp.paper_kg_summary(decided_triples(spark, folder), entity_counts(spark, folder))
+    return tp.paper_kg_summary(decided_triples(spark, folder, stored=True), entity_counts(spark, folder))
 
 
 @register("triple_precision", "E28", with_ctes(RAW, FIRST, select="""

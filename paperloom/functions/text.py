@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Token, word and layout patterns whose results must stay the same.
@@ -124,3 +124,21 @@ def match_spans(text: Column, pattern: str, groups: dict[str, int]) -> Column:
             *[m[name].alias(name) for name in groups],
         ),
     )
+
+
+def exploded(df: DataFrame, keep: list, array: Column, name: str, position: str | None = None) -> DataFrame:
+    """One row per array element, empty arrays dropped.
+
+    The outer form plus a filter on the element keeps Spark from adding a
+    ``size(array) > 0`` filter that would compute a costly array twice.
+    """
+    if position:
+        out = df.select(*keep, F.posexplode_outer(array).alias(position, name))
+    else:
+        out = df.select(*keep, F.explode_outer(array).alias(name))
+    return out.where(F.col(name).isNotNull())
+
+
+def inlined(df: DataFrame, keep: list, structs: Column, present: str) -> DataFrame:
+    """One row per struct with its fields as columns; ``present`` is a field that is never null."""
+    return df.select(*keep, F.inline_outer(structs)).where(F.col(present).isNotNull())

@@ -29,9 +29,18 @@ def bucket(term: Column, salt: str, dimension: int = DIMENSION) -> Column:
     return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimension).cast("int")
 
 
+def bucket_with(salt: str, dimension: int = DIMENSION):
+    """``bucket`` of one salt, for use on arrays of terms."""
+
+    def of(term: Column) -> Column:
+        return bucket(term, salt, dimension)
+
+    return of
+
+
 def buckets(text: Column, salt: str, dimension: int = DIMENSION) -> Column:
     """One bucket number per term, repeats kept: the vector in its most compact lossless form."""
-    return F.transform(terms(text), lambda t: bucket(t, salt, dimension))
+    return F.transform(terms(text), bucket_with(salt, dimension))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -235,7 +235,9 @@ def question_entities(queries: DataFrame, local: DataFrame, web: DataFrame) -> D
     haystack = F.concat_ws(" ", F.col("query_text"), F.col("found.text"))
     return (
         queries.join(texts, "query_id", "left")
-        .select("query_id", F.inline(mentioned_entities(haystack, QUESTION_ENTITIES)))
+        .select("query_id", F.explode_outer(mentioned_entities(haystack, QUESTION_ENTITIES)).alias("e"))
+        .where("e IS NOT NULL")
+        .select("query_id", "e.*")
         .distinct()
     )
 

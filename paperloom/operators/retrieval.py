@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom.functions.ranking import ranked
+from paperloom.session import materialize
 
 # Ranking constants whose results must stay the same.
 BM25_K1 = 1.5
@@ -50,9 +51,9 @@ def document_lengths(docs: DataFrame) -> DataFrame:
 
 def build_postings(docs: DataFrame, only_terms: DataFrame | None = None) -> DataFrame:
     """One row per (term, document). ``only_terms(term)`` drops other terms before the shuffle."""
-    words = docs.select("doc_id", tx.tokens(F.col("text")).alias("words")).select(
-        "doc_id", F.size("words").cast("long").alias("doc_len"), F.explode("words").alias("term")
-    )
+    cut = docs.select("doc_id", tx.tokens(F.col("text")).alias("words"))
+    length = F.size("words").cast("long").alias("doc_len")
+    words = tx.exploded(cut, ["doc_id", length], F.col("words"), "term")
     if only_terms is not None:
         words = words.join(only_terms, "term", "left_semi")
     return words.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
@@ -88,7 +89,7 @@ def corpus_stats(index: TermIndex) -> DataFrame:
 def query_terms(queries: DataFrame) -> DataFrame:
     """``(query_id, term, qtf)``; a repeated query term counts again."""
     return (
-        queries.select("query_id", F.explode(tx.tokens(F.col("query_text"))).alias("term"))
+        tx.exploded(queries, ["query_id"], tx.tokens(F.col("query_text")), "term")
         .groupBy("query_id", "term")
         .agg(F.count("*").alias("qtf"))
     )
@@ -127,7 +128,7 @@ def bm25_search(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES) -> Dat
 def hash_embed(docs: DataFrame, salt: str, dimension: int = vx.DIMENSION) -> DataFrame:
     """Sparse hashed vectors ``(doc_id, bucket, weight)`` with counts as weights."""
     return (
-        docs.select("doc_id", F.explode(vx.terms(F.col("text"))).alias("t"))
+        tx.exploded(docs, ["doc_id"], vx.terms(F.col("text")), "t")
         .select("doc_id", vx.bucket(F.col("t"), salt, dimension).cast("long").alias("bucket"))
         .groupBy("doc_id", "bucket")
         .agg(F.count("*").cast("double").alias("weight"))
@@ -177,59 +178,65 @@ def _block_best(
     )
 
 
-def _block_topk(queries: DataFrame, rows: DataFrame, to_unit, k: int) -> DataFrame:
-    """Exact top-k of ``rows(doc_id, v)`` against ``queries(query_id, v)``.
+def _block_topk(
+    queries: DataFrame, rows: DataFrame, to_unit, k: int, vectors: tuple[str, ...] = ("v",)
+) -> DataFrame:
+    """Exact top-k of ``rows(doc_id, *vectors)`` against ``queries(query_id, *vectors)``.
 
-    Up to QUERY_BLOCK questions travel with the task and rows are scanned without any
+    Each named vector gives its own ranking, marked ``vector``, in one pass over the rows. Up to
+    QUERY_BLOCK questions travel with the task and rows are scanned without any
     shuffle. More questions are hashed into blocks that meet slices of the rows, so
     no task ever holds more than one block and one slice.
     """
-    schema = "query_id long, doc_id long, score double"
-    block = queries.select("query_id", "v").limit(QUERY_BLOCK + 1).toPandas()
+    schema = "vector string, query_id long, doc_id long, score double"
+
+    def best_of(row_batch: pd.DataFrame, query_ids, query_units) -> pd.DataFrame:
+        ids = row_batch["doc_id"].to_numpy(dtype=np.int64)
+        parts = []
+        for name in vectors:
+            part = _block_best(ids, to_unit(row_batch[name]), query_ids, query_units[name], k)
+            parts.append(part.assign(vector=name)[["vector", "query_id", "doc_id", "score"]])
+        return pd.concat(parts)
+
+    block = queries.select("query_id", *vectors).limit(QUERY_BLOCK + 1).toPandas()
     if len(block) <= QUERY_BLOCK:
         query_ids = block["query_id"].to_numpy(dtype=np.int64)
-        query_unit = to_unit(block["v"])
+        query_units = {name: to_unit(block[name]) for name in vectors}
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch) and len(query_ids):
-                    ids = batch["doc_id"].to_numpy(dtype=np.int64)
-                    yield _block_best(ids, to_unit(batch["v"]), query_ids, query_unit, k)
+                    yield best_of(batch, query_ids, query_units)
 
-        best = rows.select("doc_id", "v").mapInPandas(scan, schema)
+        best = rows.select("doc_id", *vectors).mapInPandas(scan, schema)
     else:
         blocks = math.ceil(queries.count() / QUERY_BLOCK)
         slices = max(1, math.ceil(rows.count() / DOCUMENTS_PER_SLICE))
         spread_queries = queries.select(
             "query_id",
-            "v",
+            *vectors,
             F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
             F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long").alias("slice"),
         )
         spread_rows = rows.select(
             "doc_id",
-            "v",
+            *vectors,
             F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
             F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"),
         )
 
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if not len(left) or not len(right):
-                return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-            return _block_best(
-                right["doc_id"].to_numpy(dtype=np.int64),
-                to_unit(right["v"]),
-                left["query_id"].to_numpy(dtype=np.int64),
-                to_unit(left["v"]),
-                k,
-            )
+                return pd.DataFrame({"vector": [], "query_id": [], "doc_id": [], "score": []})
+            units = {name: to_unit(left[name]) for name in vectors}
+            return best_of(right, left["query_id"].to_numpy(dtype=np.int64), units)
 
         best = (
             spread_queries.groupBy("block", "slice")
             .cogroup(spread_rows.groupBy("block", "slice"))
             .applyInPandas(meet, schema)
         )
-    return ranked(best, ["query_id"], "score", ["doc_id"], k)
+    return ranked(best, ["vector", "query_id"], "score", ["doc_id"], k)
 
 
 def dense_topk(
@@ -241,29 +248,43 @@ def dense_topk(
         vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")),
         partial(_unit_rows, dimension=dimension),
         k,
-    )
+    ).drop("vector")
 
 
-def sparse_topk(
+def sparse_lists(
     queries: DataFrame,
     docs: DataFrame,
-    salt: str,
+    salts: dict[str, str],
     k: int = CANDIDATES,
     dimension: int = vx.DIMENSION,
 ) -> DataFrame:
-    """Best ``k`` documents per question by cosine of hashed vectors.
+    """One ranking per vector space (``vector`` names it) by cosine of hashed vectors.
 
-    Hashing stays on the JVM and each document remains one row of bucket numbers;
-    long documents fill most buckets, so blocks are multiplied instead of joined.
+    Texts are cut into terms once for all spaces. Hashing stays on the JVM and each
+    document remains one row of bucket numbers; long documents fill most buckets, so blocks
+    are multiplied instead of joined.
     """
+
+    def hashed(df: DataFrame, key: str, text: str) -> DataFrame:
+        cut = df.select(key, vx.terms(F.col(text)).alias("t"))
+        return cut.select(
+            key, *[F.transform("t", vx.bucket_with(salt, dimension)).alias(name) for name, salt in salts.items()]
+        )
+
     return _block_topk(
-        queries.select("query_id", vx.buckets(F.col("query_text"), salt, dimension).alias("v")),
-        docs.select("doc_id", vx.buckets(F.col("text"), salt, dimension).alias("v")),
+        hashed(queries, "query_id", "query_text"),
+        hashed(docs, "doc_id", "text"),
         partial(vx.count_matrix, dimension=dimension),
         k,
+        tuple(salts),
     )
 
 
+def sparse_topk(queries: DataFrame, docs: DataFrame, salt: str, k: int = CANDIDATES, dimension: int = vx.DIMENSION) -> DataFrame:
+    """Best ``k`` documents per question in one hashed vector space."""
+    return sparse_lists(queries, docs, {"v": salt}, k, dimension).drop("vector")
+
+
 def sparse_topk_joined(queries: DataFrame, embedded: DataFrame, salt: str, k: int = CANDIDATES):
     """The same ranking as a bucket join, for stored sparse vectors of short texts."""
     asked = normalize_sparse(
@@ -282,13 +303,8 @@ def sparse_topk_joined(queries: DataFrame, embedded: DataFrame, salt: str, k: in
 # ---------------------------------------------------------------- fusion and reranking
 
 
-def rrf(lists: dict[str, DataFrame], k: int | Column = RRF_K) -> DataFrame:
-    """Reciprocal-rank fusion. ``lists`` maps a source name to its ranking, in list order.
-
-    Ties go to the document that shows up first: earlier list, then better rank.
-    The result keeps each source's rank and score in ``source_scores``.
-    """
-    k = k if isinstance(k, Column) else F.lit(k)
+def stack_lists(lists: dict[str, DataFrame]) -> DataFrame:
+    """Rankings by source name, in list order, as one table for ``fuse``."""
     stacked = None
     for position, (source, df) in enumerate(lists.items()):
         part = df.select(
@@ -300,6 +316,16 @@ def rrf(lists: dict[str, DataFrame], k: int | Column = RRF_K) -> DataFrame:
             F.lit(position).alias("position"),
         )
         stacked = part if stacked is None else stacked.unionByName(part)
+    return stacked
+
+
+def fuse(stacked: DataFrame, k: int | Column = RRF_K) -> DataFrame:
+    """Reciprocal-rank fusion of ``(query_id, doc_id, rank, score, source, position)``.
+
+    Ties go to the document that shows up first: earlier list, then better rank.
+    The result keeps each source's rank and score in ``source_scores``.
+    """
+    k = k if isinstance(k, Column) else F.lit(k)
     fused = stacked.groupBy("query_id", "doc_id").agg(
         F.sum(1.0 / (k + F.col("rank"))).alias("score"),
         F.min(F.struct("position", "rank")).alias("first_seen"),
@@ -312,6 +338,10 @@ def rrf(lists: dict[str, DataFrame], k: int | Column = RRF_K) -> DataFrame:
     ).drop("first_seen")
 
 
+def rrf(lists: dict[str, DataFrame], k: int | Column = RRF_K) -> DataFrame:
+    return fuse(stack_lists(lists), k)
+
+
 def lexical_score(asked: Column, phrase: Column, words: Column, text: Column) -> Column:
     """Coverage + half Jaccard + exact-phrase bonus + gene-token bonus.
 
@@ -334,9 +364,11 @@ def lexical_rerank(
     """Re-order ``pool(query_id, doc_id, rank, ...)``; ties keep the earlier rank.
 
     Rankings never carry texts: only the pool's own texts are fetched, and each is cut
-    into tokens once however many questions it answers.
+    into tokens once however many questions it answers. The pool (k short rows per
+    question) is written first, so the rankings behind it run once.
     """
     keys = list(keys)
+    pool = materialize(pool, "pool")
     asked = queries.select("query_id", tx.tokens(F.col("query_text")).alias("t")).select(
         "query_id",
         F.array_distinct("t").alias("asked"),
@@ -377,21 +409,18 @@ def citation_expand(
     is joined to the questions.
     """
     counts = papers.select("doc_id", "citation_count")
+    first = materialize(top.where(F.col("rank") <= top_papers).select("query_id", F.col("doc_id").alias("paper")), "top")
+    wanted = first.select("paper").distinct()
 
     def neighbours(near: str, far: str) -> DataFrame:
         side = edges.select(F.col(near).alias("paper"), F.col(far).alias("doc_id"))
-        wanted = top.where(F.col("rank") <= top_papers).select(F.col("doc_id").alias("paper"))
-        side = side.join(wanted.distinct(), "paper", "left_semi").join(counts, "doc_id")
+        side = side.join(wanted, "paper", "left_semi").join(counts, "doc_id")
         side = ranked(side, ["paper"], "citation_count", ["doc_id"], per_direction, rank="n")
         return side.select("paper", "doc_id")
 
     found = neighbours("src", "dst").unionByName(neighbours("dst", "src"))
     reached = (
-        top.where(F.col("rank") <= top_papers)
-        .select("query_id", F.col("doc_id").alias("paper"))
-        .join(found, "paper")
-        .select("query_id", "doc_id")
-        .distinct()
+        first.join(found, "paper").select("query_id", "doc_id").distinct()
     )
     near = papers.join(reached.select("doc_id").distinct(), "doc_id", "left_semi")
     near = near.select("doc_id", "citation_count", paper_text(near).alias("text")).where("text <> ''")
@@ -422,6 +451,7 @@ def expand_and_rerank(
 ) -> DataFrame:
     """Rerank the pool together with its citation neighbours (marked ``kind``)."""
     keep = ["query_id", "doc_id", "rank", "kind"]
+    top = materialize(top.select("query_id", "doc_id", "rank"), "ranking")
     base = top.withColumn("kind", F.lit("pool")).select(keep)
     extra = citation_expand(queries, top, edges, papers, **options)
     extra = extra.withColumn("kind", F.lit("citation")).withColumn("rank", F.col("rank") + 1_000_000)
@@ -453,16 +483,9 @@ def overlap_topk(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame
     asked = queries.select(
         "query_id", F.array_distinct(tx.content_words(F.col("query_text"))).alias("asked")
     )
-    asked_words = asked.select("query_id", F.size("asked").alias("n"), F.explode("asked").alias("word"))
-    words = (
-        chunks.where(F.length("text") > 80)
-        .select("doc_id", tx.content_words(F.col("text")).alias("words"))
-        .select(
-            "doc_id",
-            F.size("words").alias("len"),
-            F.explode(F.array_distinct("words")).alias("word"),
-        )
-    )
+    asked_words = tx.exploded(asked, ["query_id", F.size("asked").alias("n")], F.col("asked"), "word")
+    cut = chunks.where(F.length("text") > 80).select("doc_id", tx.content_words(F.col("text")).alias("words"))
+    words = tx.exploded(cut, ["doc_id", F.size("words").alias("len")], F.array_distinct("words"), "word")
     scored = (
         words.join(asked_words, "word")
         .groupBy("query_id", "doc_id", "n", "len")
@@ -499,10 +522,9 @@ def passage_truth(passages: DataFrame, docs: DataFrame) -> DataFrame:
     inner = passages.select(
         "query_id", "query_text", tx.tokens(F.col("query_text")).alias("t")
     ).where(F.size("t") >= 3)
-    inner = inner.select(
-        "query_id", "query_text", F.explode(F.array_distinct(F.slice("t", 2, F.size("t") - 2))).alias("term")
-    )
-    words = docs.select("doc_id", F.explode(tx.distinct_tokens(F.col("text"))).alias("term"))
+    inside = F.array_distinct(F.slice("t", 2, F.size("t") - 2))
+    inner = tx.exploded(inner, ["query_id", "query_text"], inside, "term")
+    words = tx.exploded(docs, ["doc_id"], tx.distinct_tokens(F.col("text")), "term")
     words = words.join(inner.select("term").distinct(), "term", "left_semi")
     frequency = words.groupBy("term").agg(F.count("*").alias("df"))
     anchors = (

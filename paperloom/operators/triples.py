@@ -154,7 +154,7 @@ def extract_mentions(docs: DataFrame, aliases=MENTIONS, allow_self_overlap: bool
             m["normalized_id"].alias("normalized_id"),
         ),
     )
-    return gathered.where(F.size("found") > 0).select("doc_id", F.inline(F.array_sort(whole)))
+    return tx.inlined(gathered, ["doc_id"], F.array_sort(whole), "start")
 
 
 def _lookup(aliases, field: str) -> Column:
@@ -213,7 +213,7 @@ def extract_sentence_triples(docs: DataFrame, rules=RULES, aliases=ALIASES) -> D
 
     Each rule takes its first match per sentence. Groups must resolve to known entities.
     """
-    rows = docs.select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("sentence", "evidence"))
+    rows = tx.exploded(docs, ["doc_id"], tx.sentences(F.col("text")), "evidence", position="sentence")
 
     def side(rule: Rule, which: int | str, variant: bool) -> Column:
         if isinstance(which, str):
@@ -237,7 +237,7 @@ def extract_sentence_triples(docs: DataFrame, rules=RULES, aliases=ALIASES) -> D
         ]
     )
     known = F.filter(hits, lambda h: h["subject"].isNotNull() & h["object"].isNotNull())
-    return rows.select("doc_id", "sentence", "evidence", F.inline(known))
+    return tx.inlined(rows, ["doc_id", "sentence", "evidence"], known, "rule")
 
 
 def dedupe_triples(triples: DataFrame) -> DataFrame:

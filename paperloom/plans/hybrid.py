@@ -13,22 +13,27 @@ GENERAL = "nomic"
 SALTS = {BIOMEDICAL: "bio", GENERAL: "general"}
 
 
-def three_lists(queries: DataFrame, docs: DataFrame, pool: int = rt.CANDIDATES) -> dict[str, DataFrame]:
-    lists = {"bm25": rt.bm25_search(queries, docs, pool)}
-    for name, salt in SALTS.items():
-        lists[name] = rt.sparse_topk(queries, docs, salt, pool)
-    return lists
+def three_lists(queries: DataFrame, docs: DataFrame, pool: int = rt.CANDIDATES) -> DataFrame:
+    """BM25 and both hashed rankings as one table for fusion."""
+    sparse = rt.sparse_lists(queries, docs, SALTS, pool)
+    position = F.when(F.col("vector") == BIOMEDICAL, 1).otherwise(2)
+    return rt.stack_lists({"bm25": rt.bm25_search(queries, docs, pool)}).unionByName(
+        sparse.select(
+            "query_id", "doc_id", F.col("rank").cast("long").alias("rank"), "score",
+            F.col("vector").alias("source"), position.alias("position"),
+        )
+    )
 
 
-def fuse_lists(lists: dict[str, DataFrame], docs: DataFrame, rrf_k: int | None = None) -> DataFrame:
+def fuse_lists(stacked: DataFrame, docs: DataFrame, rrf_k: int | None = None) -> DataFrame:
     """Fusion with an explicit constant, or one that follows the corpus size."""
     if rrf_k is not None:
-        return rt.rrf(lists, rrf_k)
+        return rt.fuse(stacked, rrf_k)
     size = docs.agg(F.count("*").alias("n"))
     constant = size.select(
         F.when(F.col("n") < rt.SMALL_CORPUS, rt.RRF_K_SMALL).otherwise(rt.RRF_K)
     ).scalar()
-    return rt.rrf(lists, constant)
+    return rt.fuse(stacked, constant)
 
 
 def hybrid_retrieve(
