@@ -155,7 +155,7 @@ hwalk AS (
       ELSE list_append(list_filter(stack, lambda x: x.l < level), {'l': level, 'h': heading}) END,
     level, heading, start, body_start, list_transform(list_filter(stack, lambda x: x.l < level), lambda x: x.h)
   FROM (SELECT c.doc_id, c.n, w.stack, c.heading, c.start::BIGINT AS start, c.body_start::BIGINT AS body_start,
-          CAST(coalesce(c.fixed_level, least(w.stack[len(w.stack)].l + 1, 6)) AS INT) AS level
+          CAST(coalesce(c.fixed_level, CASE WHEN len(w.stack) > 0 THEN least(w.stack[len(w.stack)].l + 1, 6) END) AS INT) AS level
         FROM hwalk w JOIN hcand c ON c.doc_id = w.doc_id AND c.n = w.n + 1)),
 headings AS (
   SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS n, heading, level::BIGINT AS level, start, body_start,

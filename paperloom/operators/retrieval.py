@@ -31,8 +31,8 @@ RRF_K_SMALL = 10
 RRF_K = 60
 
 # A question block of this many vectors is small enough to ship to every task.
-QUERY_BLOCK = 2048
-DOCUMENTS_PER_SLICE = 50_000
+QUERY_BLOCK = 1024
+DOCUMENTS_PER_SLICE = 5_000
 
 
 class TermIndex(NamedTuple):
@@ -178,6 +178,10 @@ def _block_best(
     )
 
 
+def _numbers(count: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
+
+
 def _block_topk(
     queries: DataFrame, rows: DataFrame, to_unit, k: int, vectors: tuple[str, ...] = ("v",)
 ) -> DataFrame:
@@ -216,12 +220,12 @@ def _block_topk(
             "query_id",
             *vectors,
             F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-            F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("long").alias("slice"),
+            F.explode(_numbers(slices)).alias("slice"),
         )
         spread_rows = rows.select(
             "doc_id",
             *vectors,
-            F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block"),
+            F.explode(_numbers(blocks)).alias("block"),
             F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"),
         )
 

@@ -303,8 +303,13 @@ def decide_triples(validated: DataFrame, existing: DataFrame | None = None) -> D
         F.min_by("predicate", "ord").alias("winner")
     )
     if existing is not None:
-        earlier = existing.withColumn("pair", _pair(F.col("predicate"))).groupBy("subject", "object", "pair").agg(
-            F.min("predicate").alias("earlier")
+        # Only pairs that come up again matter, so the stored edges are cut down before grouping.
+        touched = accepted.select("subject", "object", "pair").distinct()
+        earlier = (
+            existing.withColumn("pair", _pair(F.col("predicate")))
+            .join(touched, ["subject", "object", "pair"], "left_semi")
+            .groupBy("subject", "object", "pair")
+            .agg(F.min("predicate").alias("earlier"))
         )
         winners = winners.join(earlier, ["subject", "object", "pair"], "left").select(
             "subject", "object", "pair", F.coalesce("earlier", "winner").alias("winner")
