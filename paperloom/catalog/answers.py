@@ -378,14 +378,14 @@ def answer_citations(spark, folder):
 
 def known_papers(spark, folder):
     """Papers at hand: the library, most web papers and the specialists' own."""
-    docs = table(spark, folder, "documents").select("doc_id")
+    docs = table(spark, folder, "documents").select("doc_id", "lang")
     own = docs.select((F.col("doc_id") + 100000).cast("string").alias("pmid"))
-    web = docs.where("doc_id % 10 <> 3").select((F.col("doc_id") + 200000).cast("string").alias("pmid"))
-    fixed = docs.limit(1).select(F.explode(F.array(*[F.lit(p) for p in KNOWN_FIXED])).alias("pmid"))
+    web = docs.where("lang <> 'es'").select((F.col("doc_id") + 200000).cast("string").alias("pmid"))
+    fixed = spark.createDataFrame([(p,) for p in KNOWN_FIXED], "pmid string")
     return own.unionByName(web).unionByName(fixed)
 
 
-KNOWN = "known AS (SELECT (100000 + doc_id)::VARCHAR AS pmid FROM documents UNION ALL SELECT (200000 + doc_id)::VARCHAR FROM documents WHERE doc_id % 10 <> 3 UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p in KNOWN_FIXED) + "))"
+KNOWN = "known AS (SELECT (100000 + doc_id)::VARCHAR AS pmid FROM documents UNION ALL SELECT (200000 + doc_id)::VARCHAR FROM documents WHERE lang <> 'es' UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{p}')" for p in KNOWN_FIXED) + "))"
 
 
 def audit_cte(source: str) -> str:
@@ -409,10 +409,10 @@ def citation_audit(spark, folder):
 
 
 @register("answer_audit", "F12", with_ctes(GIVEN, citation_ctes("given"), KNOWN, audit_cte("given"), select=f"""
-SELECT {AUDIT_SHOW.replace('query_id,', 'a.query_id AS query_id,', 1)} FROM audit a LEFT JOIN (SELECT conv_id * 1000 + turn AS query_id FROM conversations WHERE role = 'assistant' AND conv_id % 4 = 0) d ON d.query_id = a.query_id"""))
+SELECT {AUDIT_SHOW.replace('query_id,', 'a.query_id AS query_id,', 1)} FROM audit a LEFT JOIN (SELECT conv_id * 1000 + turn AS query_id FROM conversations WHERE role = 'assistant' AND text LIKE '% the %') d ON d.query_id = a.query_id"""))
 def answer_audit(spark, folder):
     answers = given_answers(spark, folder)
-    disputed = answers.where("query_id div 1000 % 4 = 0").select("query_id")
+    disputed = answers.where("answer LIKE '% the %'").select("query_id")
     return qa.audit_answers(answers, known_papers(spark, folder), disputed)
 
 

@@ -196,7 +196,7 @@ def payload_scan(spark, folder):
   FROM lp WHERE src = 'europe_pmc')""", select="SELECT * EXCLUDE (lang), true AS changed, false AS changed_again FROM m"))
 def manifest_refresh(spark, folder):
     new = lit.normalize_manifest(lit.europe_pmc_items(of(spark, folder, "europe_pmc")))
-    old = new.where("coalesce(pmid, '') NOT LIKE '%7'")
+    old = new.where("year <> 'n.d.'")
     manifest, changed = lit.refresh_manifest(new, old)
     again = lit.refresh_manifest(new, new)[1]
     return manifest.select("*", changed.scalar().alias("changed"), again.scalar().alias("changed_again"))

@@ -114,7 +114,7 @@ BANNER_WEB = (
 RETRY_NOTE = " Citation audit corrections were applied."
 FALLBACK = (
     "No retrieved evidence was available for: %s. "
-    "Try enabling live web search (MITORAG_ENABLE_LIVE_WEB=1) and re-ingest the paper library."
+    "Try enabling live web search and re-ingest the paper library."
 )
 
 # Evidence constants of the fusion stage.

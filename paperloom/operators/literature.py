@@ -6,6 +6,7 @@ Search results of every source share one layout, so one plan merges them all:
 
 from __future__ import annotations
 
+from datetime import date, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -49,6 +50,7 @@ DEFAULT_CITATION = "[PMID:12345678]"
 WEB_SALT = "web-pubmedbert"
 HYDRATED = 30
 PREPRINT_LIMIT = 20
+PAYLOAD_TTL_SECONDS = 7 * 24 * 60 * 60
 RESULT = (
     "query_id", "source_order", "pos", "source", "id", "title", "abstract", "pmid", "doi", "year", "citation_count",
 )
@@ -180,13 +182,21 @@ def parse_preprints(payloads: DataFrame, server: str = "biorxiv") -> DataFrame:
 
 
 def filter_preprints(
-    preprints: DataFrame, queries: DataFrame, start: str, end: str, category: str | None = None, limit: int = PREPRINT_LIMIT
+    preprints: DataFrame,
+    queries: DataFrame,
+    start: str | None = None,
+    end: str | None = None,
+    category: str | None = None,
+    limit: int = PREPRINT_LIMIT,
 ) -> DataFrame:
-    """Preprints of a date window that hold any word of the question.
+    """First ``limit`` preprints of a date window that hold any word of the question.
 
-    A question without any match keeps its whole window. The fallback flag comes from an
-    aggregate, and the first ``limit`` per question are kept.
+    A question without any match falls back to its whole window (default: the last 365
+    days). Matches and others are cut to the limit before the shuffle; only those few
+    rows per question decide about the fallback.
     """
+    last = date.fromisoformat(end) if end else date.today()
+    end, start = last.isoformat(), start or (last - timedelta(days=365)).isoformat()
     words = F.filter(F.split(F.lower("query_text"), f"{tx.SPACE}+"), lambda w: w != "")
     asked = queries.select("query_id", words.alias("words"))
     haystack = F.lower(F.concat_ws(" ", "title", "abstract", "category"))
@@ -194,10 +204,10 @@ def filter_preprints(
     fits = (F.size("words") == 0) | F.exists("words", lambda w: F.contains(haystack, w))
     if category:
         fits = fits & (F.lower("category") == category.lower())
-    marked = inside.withColumn("hit", fits).drop("words")
-    any_hit = marked.groupBy("query_id").agg(F.bool_or("hit").alias("any_hit"))
-    kept = marked.join(any_hit, "query_id").where("hit OR NOT any_hit").withColumn("_s", F.lit(0))
-    return ranked(kept, ["query_id"], "_s", ["pos"], limit).drop("hit", "any_hit", "_s")
+    marked = inside.withColumn("hit", fits).drop("words").withColumn("_s", F.lit(0))
+    first = ranked(marked, ["query_id", "hit"], "_s", ["pos"], limit)
+    any_hit = F.bool_or("hit").over(Window.partitionBy("query_id"))
+    return first.withColumn("any_hit", any_hit).where("hit OR NOT any_hit").drop("hit", "any_hit", "_s")
 
 
 def preprint_results(preprints: DataFrame) -> DataFrame:
@@ -292,18 +302,20 @@ def hydrate(candidates: DataFrame, articles: DataFrame, n: int = HYDRATED) -> Da
     A missing article leaves the candidate as it is; a filled one gets its key anew.
     """
     found = articles.select(
-        "pmid", F.col("title").alias("a_title"), F.col("abstract").alias("a_abstract"),
+        F.col("pmid").alias("wanted"), F.col("title").alias("a_title"), F.col("abstract").alias("a_abstract"),
         F.col("doi").alias("a_doi"), F.col("year").alias("a_year"), F.lit(True).alias("a_found"),
     )
-    first = candidates.where(F.col("position") <= n)
-    mine = first.where("source = 'pubmed'").join(found, "pmid", "left")
+    # Other sources get keys of their own that match nothing, so they spread instead of piling up on null.
+    wanted = F.when((F.col("source") == "pubmed") & F.col("pmid").isNotNull(), F.col("pmid")).otherwise(
+        F.concat_ws(" ", F.lit("-"), "query_id", "key")
+    )
+    mine = candidates.where(F.col("position") <= n).withColumn("wanted", wanted).join(found, "wanted", "left")
     filled = F.col("a_found").isNotNull()
     for name in ("title", "abstract", "doi", "year"):
         mine = mine.withColumn(name, F.when(filled, F.col(f"a_{name}")).otherwise(F.col(name)))
     new_key = paper_key(F.col("doi"), F.col("pmid"), F.concat(F.lit("pubmed:"), "pmid"))
     mine = mine.withColumn("key", F.when(filled, new_key).otherwise(F.col("key")))
-    out = mine.select(candidates.columns).unionByName(first.where("source <> 'pubmed'"))
-    return out.withColumn("rank_value", candidate_rank())
+    return mine.select(candidates.columns).withColumn("rank_value", candidate_rank())
 
 
 def attach_annotations(papers: DataFrame, annotations: DataFrame) -> DataFrame:
@@ -417,7 +429,9 @@ def request_key(namespace: Column, url: Column, params: Column) -> Column:
     return F.concat(namespace, F.lit(":"), url, F.lit("?"), F.to_json(pairs))
 
 
-def fresh_payloads(requests: DataFrame, payloads: DataFrame, as_of: str, ttl_seconds: int) -> DataFrame:
+def fresh_payloads(
+    requests: DataFrame, payloads: DataFrame, as_of: str, ttl_seconds: int = PAYLOAD_TTL_SECONDS
+) -> DataFrame:
     """Latest payload per request key inside the lifetime; others are marked ``refetch``.
 
     The as-of rule is a range filter on the payloads followed by one partial aggregate per key.

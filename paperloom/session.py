@@ -33,6 +33,8 @@ def shared_folder(spark: SparkSession) -> str:
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(_CHECKPOINT_KEY, folder)
     return folder
