@@ -10,7 +10,13 @@ TOKEN = r"[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*"
 WORD = r"[A-Za-z][A-Za-z0-9\-]{2,}"
 KEYWORD = r"[a-zA-Z][a-zA-Z\-]{2,}"
 LINE_BREAK = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085\u2028\u2029]"
-SPACE = "(?U)[\\s\u001c-\u001f]"
+WHITE = (
+    "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = f"[{WHITE}]"
+# A run of white space that is not already one single blank.
+UNEVEN = f" {SPACE}+|[{WHITE.replace(' ', '')}]{SPACE}*"
 
 RANKING_STOP_WORDS = (
     "the and for with that this from are was were has have had but not into than between which "
@@ -25,12 +31,12 @@ QUESTION_STOP_WORDS = (
 
 def strip(text: Column) -> Column:
     """Trim every kind of white space at both ends."""
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(text, F.lit(WHITE))
 
 
 def squeeze(text: Column) -> Column:
     """Trim, and turn each inner run of white space into one blank."""
-    return F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.regexp_replace(strip(text), UNEVEN, " ")
 
 
 def lines(text: Column) -> Column:
@@ -111,17 +117,13 @@ def match_spans(text: Column, pattern: str, groups: dict[str, int]) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     starts = running_starts(F.transform(pieces, F.length), F.transform(whole, F.length))
-    columns = [whole.alias("whole"), starts.alias("start")]
-    columns += [
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(index)).alias(name)
-        for name, index in groups.items()
-    ]
+    # Groups are cut from the short matches, so the text is scanned twice however many there are.
     return F.transform(
-        F.arrays_zip(*columns),
+        F.arrays_zip(whole.alias("whole"), starts.alias("start")),
         lambda m: F.struct(
             m["start"].alias("start"),
             (m["start"] + F.length(m["whole"])).alias("end"),
-            *[m[name].alias(name) for name in groups],
+            *[F.regexp_extract(m["whole"], pattern, index).alias(name) for name, index in groups.items()],
         ),
     )
 

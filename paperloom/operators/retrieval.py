@@ -76,13 +76,12 @@ def idf(document_count: Column, frequency: Column) -> Column:
 
 def corpus_stats(index: TermIndex) -> DataFrame:
     """Document frequency and idf per term, with corpus size and mean length on each row."""
-    totals = index.lengths.agg(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl"))
-    return index.postings.groupBy("term").agg(F.count("*").alias("df")).select(
-        "term",
-        "df",
-        totals.select("n").scalar().alias("n_docs"),
-        totals.select("avgdl").scalar().alias("avgdl"),
-        idf(totals.select("n").scalar(), F.col("df")).alias("idf"),
+    totals = index.lengths.agg(
+        F.struct(F.count("*").alias("n"), F.avg("doc_len").alias("avgdl")).alias("totals")
+    ).scalar()
+    counted = index.postings.groupBy("term").agg(F.count("*").alias("df")).withColumn("t", totals)
+    return counted.select(
+        "term", "df", F.col("t.n").alias("n_docs"), F.col("t.avgdl").alias("avgdl"), idf(F.col("t.n"), F.col("df")).alias("idf")
     )
 
 
