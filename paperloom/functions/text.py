@@ -14,9 +14,12 @@ WHITE = (
     "\t\n\u000b\u000c\r\u001c\u001d\u001e\u001f \u0085\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-SPACE = f"[{WHITE}]"
+_WIDE = "\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Printable ASCII is ruled in or out first, which settles most characters with one test.
+SPACE = f"[[^!-~]&&[\t-\r\u001c-\u0020{_WIDE}]]"
+NO_SPACE = f"[!-~[^\t-\r\u001c-\u0020{_WIDE}]]"
 # A run of white space that is not already one single blank.
-UNEVEN = f" {SPACE}+|[{WHITE.replace(' ', '')}]{SPACE}*"
+UNEVEN = f" {SPACE}+|[[^ -~]&&[\t-\r\u001c-\u001f{_WIDE}]]{SPACE}*"
 
 RANKING_STOP_WORDS = (
     "the and for with that this from are was were has have had but not into than between which "
