@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import bucket_of
 from paperloom.llm.decontaminate import decontaminate
+from paperloom.llm.jaccard_join import similar_documents
 from paperloom.llm.line_dedup import drop_shared_lines
+from paperloom.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +78,15 @@ def op3_decontaminate(spark, folder):
     return marked.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), "contaminated",
     )
+
+
+@_query("op9_jaccard_join")
+def op9_jaccard_join(spark, folder):
+    return similar_documents(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+@_query("op2_toxicity")
+def op2_toxicity(spark, folder):
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, labels, held_out=5))
+    return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
