@@ -23,7 +23,8 @@ from paperloom.llm.common import boxed, bucket_of, unboxed
 from paperloom.llm.words import ALNUM, mixed, word_blocks
 from paperloom.session import materialize
 
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, DOUBTFUL = range(7)
+HOSTILE = (INSULT, THREAT, DOUBTFUL)
 # Well-known English words of each class.
 SEEDS = {
     INSULT: ("idiot", "idiots", "moron", "morons", "stupid", "loser", "losers", "scum", "worthless", "pathetic", "disgusting", "dumb", "imbecile"),
@@ -32,8 +33,10 @@ SEEDS = {
     NEGATION: ("not", "no", "never", "neither", "nor", "without", "hardly", "don", "isn", "aren", "wasn", "won", "didn"),
     REPORT: ("said", "says", "say", "wrote", "writes", "claimed", "claims", "reported", "reports", "quoted", "alleged", "told"),
 }
-PATTERNS = ("insult", "aimed insult", "negated insult", "reported insult", "threat", "aimed threat", "negated threat", "reported threat")
-PRIOR = np.array([-3.0, 4.0, 5.0, 0.0, 1.0, 3.0, 5.0, 0.0, 1.0])
+MARKS = ("plain", "aimed", "negated", "reported")
+PATTERNS = tuple(f"{mark} {kind}" for kind in ("insult", "threat", "doubtful insult") for mark in MARKS)
+# Weights before any label is seen: constant, patterns in their order, and the densities of insults and doubtful insults.
+PRIOR = np.array([-3.0, 4.0, 5.0, 0.0, 1.0, 3.0, 5.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0])
 PREFIXES = (4, 5, 6, 7)
 # Bounds of the labelled sample and of the learned word list.
 TOXIC_SAMPLE, CLEAN_SAMPLE, LEARNED = 4_000, 12_000, 2_000
@@ -46,7 +49,7 @@ class Transducer(NamedTuple):
 
 
 def _transducer(states: int, step) -> Transducer:
-    symbols = range(6 + 2 * 4)
+    symbols = range(7 + len(PATTERNS))
     return Transducer([{s: step(state, s) for s in symbols} for state in range(states)])
 
 
@@ -65,16 +68,16 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
     return Transducer(arcs)
 
 
-# Symbols from 6 on: a mark (plain 0, aimed 1, negated 2, reported 3) on an insult or a threat.
+# Symbols from 7 on are patterns: a mark on an insult, a threat or a doubtful insult.
 def _marked(kind: int, mark: int) -> int:
-    return 6 + 4 * (kind == THREAT) + mark
+    return 7 + len(MARKS) * HOSTILE.index(kind) + mark
 
 
 def _negations(state: int, symbol: int):
     """A negation reaches the next three words."""
     if symbol == NEGATION:
         return symbol, 3
-    if symbol in (INSULT, THREAT) and state:
+    if symbol in HOSTILE and state:
         return _marked(symbol, 2), state - 1
     return symbol, max(0, state - 1)
 
@@ -83,7 +86,7 @@ def _reports(state: int, symbol: int):
     """What follows a reporting verb in its clause is reported."""
     if symbol == REPORT:
         return symbol, 1
-    if state and symbol in (INSULT, THREAT):
+    if state and symbol in HOSTILE:
         return _marked(symbol, 3), 1
     return symbol, state
 
@@ -91,16 +94,15 @@ def _reports(state: int, symbol: int):
 def _aims(state: int, symbol: int):
     """An insult or threat up to four words after a target, or right before one, is aimed at it."""
     if symbol == TARGET:
-        if state in (5, 6):
-            return _marked(INSULT if state == 5 else THREAT, 1), 4
+        if state >= 5:
+            return _marked(HOSTILE[state - 5], 1), 4
         return symbol, 4
-    if symbol in (INSULT, THREAT):
-        aimed = 1 <= state <= 4
-        return _marked(symbol, int(aimed)), 5 if symbol == INSULT else 6
+    if symbol in HOSTILE:
+        return _marked(symbol, int(1 <= state <= 4)), 5 + HOSTILE.index(symbol)
     return symbol, state - 1 if 1 <= state <= 4 else 0
 
 
-GRAMMAR = compose(compose(_transducer(4, _negations), _transducer(2, _reports)), _transducer(7, _aims))
+GRAMMAR = compose(compose(_transducer(4, _negations), _transducer(2, _reports)), _transducer(8, _aims))
 
 
 def clause_patterns(symbols) -> list[int]:
@@ -108,8 +110,8 @@ def clause_patterns(symbols) -> list[int]:
     state, found = 0, []
     for symbol in symbols:
         output, state = GRAMMAR.arcs[state][symbol]
-        if output >= 6:
-            found.append(output - 6)
+        if output >= 7:
+            found.append(output - 7)
     return found
 
 
@@ -152,19 +154,20 @@ def _seed_units() -> dict[int, int]:
 
 
 def pattern_counts(texts: pa.Array, codes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """How often each pattern matches in each text."""
-    counts = np.zeros((len(texts), len(PATTERNS)))
+    """How often each pattern matches in each text, and the number of words."""
+    counts = np.zeros((len(texts), len(PATTERNS) + 1))
     for data, w in word_blocks(texts, ALNUM):
+        counts[w.first : w.last, -1] = np.diff(w.bounds)
         if not len(w.start):
             continue
         kinds = np.zeros(len(w.start), np.int8)
         units = _units(data, w.start, w.end, w.hash)
-        for column in reversed(range(units.shape[1])):
+        for column in reversed(range(units.shape[1])):  # whole words have the last say
             found = np.searchsorted(codes, units[:, column])
             found[found == len(codes)] = 0
             known = codes[found] == units[:, column]
             kinds[known] = classes[found[known]]
-        hits = np.flatnonzero((kinds == INSULT) | (kinds == THREAT))
+        hits = np.flatnonzero(np.isin(kinds, HOSTILE))
         if not len(hits):
             continue
         clause = _clauses(data, w)
@@ -177,7 +180,10 @@ def pattern_counts(texts: pa.Array, codes: np.ndarray, classes: np.ndarray) -> n
 
 
 def _features(counts: np.ndarray) -> np.ndarray:
-    return np.column_stack((np.ones(len(counts)), np.log1p(counts)))
+    """A constant, the logarithms of the counts, and of how many insults stand in a hundred words."""
+    found, words = counts[:, :-1], np.maximum(counts[:, -1], 1)
+    dense = [np.log1p(100 * found[:, at : at + 2].sum(axis=1) / words) for at in (0, len(PATTERNS) - len(MARKS))]
+    return np.column_stack((np.ones(len(counts)), np.log1p(found), *dense))
 
 
 def _fitted(x: np.ndarray, y: np.ndarray, spread: float = 3.0) -> np.ndarray:
@@ -193,39 +199,52 @@ def _fitted(x: np.ndarray, y: np.ndarray, spread: float = 3.0) -> np.ndarray:
     return w
 
 
-UNIT_COUNTS = "unit long, toxic long, clean long"
+UNIT_COUNTS = "unit long, toxic_texts long, toxic_contexts long, clean_contexts long"
 
 
 def _unit_contexts(sample: DataFrame) -> DataFrame:
-    """For each unit, the number of different words before it in toxic and in clean texts.
+    """For each unit, in how many toxic texts it stands, and after how many different words in toxic and clean texts.
 
-    Counting contexts, not documents, keeps the words of a text with many copies from looking
-    like insults.
+    Counting contexts, not occurrences, keeps the words of a text with many copies from
+    looking like insults; the count of texts rules out what only one long text repeats.
     """
 
+    def distinct(keys):
+        return np.unique(np.concatenate(keys), return_index=True)[1]
+
     def scan(batches):
-        keys, owners = [], []
+        texts, contexts, owners, marks, seen = [], [], [], [], 0
         for batch in batches:
             labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
             for data, w in word_blocks(batch.column(0), ALNUM):
                 if not len(w.start):
                     continue
-                toxic = np.repeat(labels[w.first : w.last], np.diff(w.bounds))
+                row = np.repeat(np.arange(w.first, w.last), np.diff(w.bounds))
+                text = mixed((row + seen + 1).astype(np.uint64))
                 before = mixed(np.concatenate((np.zeros(1, np.uint64), w.hash[:-1])))
-                units = _units(data, w.start, w.end, w.hash)
-                for unit in units.T:
-                    full = unit > 0
-                    context = mixed(unit[full] ^ before[full]) & ~np.uint64(1) | toxic[full]
-                    context, at = np.unique(context, return_index=True)
-                    keys.append(context)
-                    owners.append(unit[full][at])
-        if keys:
-            context, at = np.unique(np.concatenate(keys), return_index=True)
-            owner = np.concatenate(owners)[at]
+                for unit in _units(data, w.start, w.end, w.hash).T:
+                    full = np.flatnonzero(unit)
+                    in_text, in_context = mixed(unit[full] ^ text[full]), mixed(unit[full] ^ before[full])
+                    _, first = np.unique(in_text, return_index=True)
+                    _, other = np.unique(in_context & ~np.uint64(1) | labels[row[full]], return_index=True)
+                    kept = np.union1d(first, other)
+                    texts.append(in_text[kept])
+                    contexts.append(in_context[kept])
+                    owners.append(unit[full[kept]])
+                    marks.append(labels[row[full[kept]]] > 0)
+            seen += len(batch)
+        if owners:
+            owner, mark = np.concatenate(owners), np.concatenate(marks)
             unit, of = np.unique(owner, return_inverse=True)
-            total, toxic = np.bincount(of), np.bincount(of, (context & np.uint64(1)).astype(float)).astype(np.int64)
+            by_text = distinct(texts)
+            by_context = distinct([np.concatenate(contexts) & ~np.uint64(1) | mark.astype(np.uint64)])
+
+            def count(rows):
+                return pa.array(np.bincount(of[rows], minlength=len(unit)))
+
             yield pa.RecordBatch.from_arrays(
-                [pa.array(unit.view(np.int64)), pa.array(toxic), pa.array(total - toxic)], names=["unit", "toxic", "clean"]
+                [pa.array(unit.view(np.int64)), count(by_text[mark[by_text]]), count(by_context[mark[by_context]]), count(by_context[~mark[by_context]])],
+                names=[c.split()[0] for c in UNIT_COUNTS.split(", ")],
             )
 
     return sample.select("text", "toxic").mapInArrow(scan, UNIT_COUNTS)
@@ -239,8 +258,8 @@ def fit_toxicity(
 
     Only documents whose id's crc32 is not divisible by ``held_out`` are used, of these at
     most ``toxic_sample`` and ``clean_sample``, those with the smallest id hash. A unit
-    insults if its contexts are at least twenty times as frequent in toxic texts and the
-    likelihood ratio against equal frequency is beyond chance. A document with several labels
+    insults if it is 100 times as frequent in toxic texts, and doubtfully so from 8 times on;
+    the likelihood ratio against equal frequency must be beyond chance. A document with several labels
     counts as toxic if one says so; null labels are left out. Without labels the fixed words
     and prior weights remain.
     """
@@ -252,17 +271,18 @@ def fit_toxicity(
     # The chosen ids are bounded by the two parameters, so they may be broadcast.
     texts = docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     sample = materialize(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic"), "labelled-texts").coalesce(4)
-    counted = materialize(_unit_contexts(sample).groupBy("unit").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c")), "units")
+    sums = [F.sum(c).alias(c) for c in ("toxic_texts", "toxic_contexts", "clean_contexts")]
+    counted = materialize(_unit_contexts(sample).groupBy("unit").agg(*sums), "units")
     units = _seed_units()
-    total = counted.agg(F.sum("t").alias("t"), F.sum("c").alias("c")).first()
+    total = counted.agg(F.sum("toxic_contexts").alias("t"), F.sum("clean_contexts").alias("c")).first()
     if total.t and total.c:
         share = total.t / (total.t + total.c)
-        n, t = F.col("t") + F.col("c"), F.col("t")
-        ratio = 2 * (t * F.log(t / (n * share)) + F.when(F.col("c") > 0, F.col("c") * F.log(F.col("c") / (n * (1 - share)))).otherwise(0.0))
-        often = t / total.t >= 20 * (F.col("c") + F.lit(0.1)) / total.c
-        learned = counted.where(t >= 6).where(often & (ratio >= 30)).orderBy(ratio.desc(), "unit").limit(LEARNED)
-        for row in learned.collect():
-            units.setdefault(row.unit % (1 << 64), INSULT)
+        t, c = F.col("toxic_contexts"), F.col("clean_contexts")
+        ratio = 2 * (t * F.log(t / ((t + c) * share)) + F.when(c > 0, c * F.log(c / ((t + c) * (1 - share)))).otherwise(0.0))
+        odds = (t / total.t) / ((c + F.lit(0.1)) / total.c)
+        learned = counted.where((F.col("toxic_texts") >= 5) & (t >= 6) & (odds >= 8) & (ratio >= 40)).select("unit", odds.alias("odds"), ratio.alias("ratio"))
+        for row in learned.orderBy(F.desc("ratio"), "unit").limit(LEARNED).collect():
+            units.setdefault(row.unit % (1 << 64), INSULT if row.odds >= 100 else DOUBTFUL)
     codes = np.array(sorted(units), np.uint64)
     classes = np.array([units[int(c)] for c in codes], np.int8)
 
