@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.llm.bitpack import read_tokens, write_tokens
 from paperloom.llm.common import bucket_of
 from paperloom.llm.decontaminate import decontaminate
 from paperloom.llm.jaccard_join import similar_documents
 from paperloom.llm.line_dedup import drop_shared_lines
+from paperloom.llm.packing import pack_documents
 from paperloom.llm.toxicity import fit_toxicity, score_toxicity
+from paperloom.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -90,3 +93,15 @@ def op2_toxicity(spark, folder):
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     scored = score_toxicity(docs.select("doc_id", "text"), fit_toxicity(docs, labels, held_out=5))
     return scored.select("doc_id", (bucket_of(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
+
+
+@_query("op6_token_file")
+def op6_token_file(spark, folder):
+    path = fresh_folder(spark, "token-file")
+    write_tokens(_table(spark, folder, "documents"), path, "word_bpe_49k.json", end_id=2)
+    return read_tokens(spark, path, digest=True)
+
+
+@_query("op10_best_fit_packing")
+def op10_best_fit_packing(spark, folder):
+    return pack_documents(_table(spark, folder, "documents"), "byte_bpe_50k.json", end_id=2, capacity=1024, ids=False)
