@@ -26,8 +26,9 @@ SHINGLE = 5
 # Fixed value: the contract's similarity 75 / 100 as a ratio of whole numbers.
 SIMILAR = (3, 4)
 FREQUENT_KEPT = 200_000
-POSTINGS_PER_BUCKET = 1_000_000
-_CHUNK = 400_000
+POSTINGS_PER_BUCKET = 400_000
+_CHUNK = 300_000
+SETS_BROADCAST = 200_000
 _LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -58,7 +59,30 @@ def _repeated(sets: list[np.ndarray], least: int = 3) -> tuple[np.ndarray, np.nd
     return tokens[often].view(np.int64), counts[often]
 
 
-PROFILE = "row_key binary, doc_id long, n int, digest binary, vertex long, token long, sets long"
+def parities(tokens: np.ndarray) -> bytes:
+    """A bitmap that every shingle flips one bit of; two or more bits a shingle, a power of two."""
+    bits = 64 << max(0, (len(tokens) - 1) // 32).bit_length()
+    return np.packbits(np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def most_common(a: bytes, size_a: int, b: bytes, size_b: int) -> int:
+    """An upper bound of the intersection: sets differ in at least as many shingles as their bitmaps do in bits."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    width = min(len(x), len(y))
+    differing = np.bitwise_xor.reduce(x.reshape(-1, width)) ^ np.bitwise_xor.reduce(y.reshape(-1, width))
+    return (size_a + size_b - int(np.bitwise_count(differing).sum())) // 2
+
+
+@arrow_udf("boolean")
+def may_be_similar(left: pa.Array, size_left: pa.Array, right: pa.Array, size_right: pa.Array) -> pa.Array:
+    out = []
+    for a, n, b, m in zip(left.to_pylist(), size_left.to_pylist(), right.to_pylist(), size_right.to_pylist()):
+        common = most_common(a, n, b, m)
+        out.append(SIMILAR[1] * common >= SIMILAR[0] * (n + m - common))
+    return pa.array(out, pa.bool_())
+
+
+PROFILE = "row_key binary, doc_id long, n int, digest binary, vertex long, bitmap binary, token long, sets long"
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -66,7 +90,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
     def scan(batches):
         names = [c.split()[0] for c in PROFILE.split(", ")]
-        types = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        types = [pa.binary(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
 
         def rows(columns, size):
             return pa.RecordBatch.from_arrays(
@@ -75,9 +99,9 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
         kept, held = [], 0
         for batch in batches:
-            sizes, digests = np.zeros(len(batch), np.int32), [b""] * len(batch)
+            sizes, digests, bitmaps = np.zeros(len(batch), np.int32), [b""] * len(batch), [b""] * len(batch)
             for i, tokens in shingle_sets(batch.column(2)):
-                sizes[i], digests[i] = len(tokens), _digest(tokens)
+                sizes[i], digests[i], bitmaps[i] = len(tokens), _digest(tokens), parities(tokens)
                 kept.append(tokens)
                 held += len(tokens)
                 if held > 5 * _CHUNK:
@@ -85,7 +109,10 @@ def _profiles(docs: DataFrame) -> DataFrame:
                     yield rows({"token": often, "sets": counts}, len(often))
                     kept, held = [], 0
             yield rows(
-                {"row_key": batch.column(0), "doc_id": batch.column(1), "n": sizes, "digest": digests, "vertex": [_vertex(d) for d in digests]},
+                {
+                    "row_key": batch.column(0), "doc_id": batch.column(1), "n": sizes, "digest": digests,
+                    "vertex": [_vertex(d) for d in digests], "bitmap": bitmaps,
+                },
                 len(batch),
             )
         if kept:
@@ -269,16 +296,29 @@ def _side(lists: DataFrame, name: str) -> DataFrame:
     return lists.select("token", *[F.col(c).alias(f"{c}_{name}") for c in lists.columns if c != "token"])
 
 
-def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of representatives whose sets pass the exact test."""
-    pairs = materialize(pairs.select(F.least("vertex_a", "vertex_b").alias("va"), F.greatest("vertex_a", "vertex_b").alias("vb")).distinct(), "pairs")
+def _links(pairs: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
+    """Pairs of representatives whose sets pass the exact test.
+
+    Bitmaps rule out almost all pairs that are not similar; sets are read again only for the
+    documents of the others.
+    """
+    pairs = pairs.select(F.least("vertex_a", "vertex_b").alias("va"), F.greatest("vertex_a", "vertex_b").alias("vb")).distinct()
+    left, right = (classes.select(F.col("vertex").alias(f"v{x}"), F.col("bitmap").alias(f"bits_{x}"), F.col("n").alias(f"n_{x}")) for x in "ab")
+    bounded = materialize(pairs, "pairs").join(left, "va").join(right, "vb")
+    pairs = materialize(bounded.where(may_be_similar("bits_a", "n_a", "bits_b", "n_b")).select("va", "vb"), "pairs")
+    ends = pairs.select(F.explode(F.array("va", "vb")).alias("vertex")).distinct()
+    involved = materialize(classes.join(ends, "vertex", "left_semi").select(F.col("rep").alias("doc_id"), "digest", "vertex"), "involved")
+    # Up to a fixed number of rows the ids are broadcast, beyond it texts and ids meet in a shuffle.
+    few = involved.count() <= SETS_BROADCAST
+    texts = named.join(F.broadcast(involved) if few else involved.hint("shuffle_hash"), "doc_id")
+    sets = materialize(texts.select("doc_id", "vertex", packed_set("text", "digest").alias("tokens")).where("tokens IS NOT NULL"), "sets")
     left = sets.select(F.col("vertex").alias("va"), F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("vertex").alias("vb"), F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
     tested = pairs.join(left, "va").join(right, "vb").select("a", "b", similar_sets("ta", "tb").alias("similar"))
     return materialize(tested.where("similar").select("a", "b"), "links")
 
 
-def _resolve(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _resolve(lists: DataFrame, classes: DataFrame, named: DataFrame) -> DataFrame:
     """Components of all similar sets, list by list.
 
     A round compares each list's leader (lowest position, so fewest shingles of its own) with
@@ -295,7 +335,7 @@ def _resolve(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
             "leads",
         )
         led = _side(lists.select("token", "vertex", "size", "pos"), "b").join(leads, "token").where("vertex_a <> vertex_b")
-        found = _links(led.where(_fits("a", "b")).select("vertex_a", "vertex_b"), sets)
+        found = _links(led.where(_fits("a", "b")).select("vertex_a", "vertex_b"), classes, named)
         links = found if links is None else links.union(found)
         labels = components(links)
         root = F.coalesce("label", "rep").alias("root")
@@ -311,7 +351,7 @@ def _resolve(lists: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame
             return labels
         if crossing <= allowed:
             across = _side(lists, "a").join(_side(lists, "b"), "token").where("root_a <> root_b AND vertex_a < vertex_b")
-            return components(links.union(_links(across.where(_fits("a", "b")).select("vertex_a", "vertex_b"), sets)))
+            return components(links.union(_links(across.where(_fits("a", "b")).select("vertex_a", "vertex_b"), classes, named)))
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,14 +370,15 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     task: every shingle of more than two sets per two million shingles is seen, and the
     ``FREQUENT_KEPT`` most frequent are kept, which only decides how soon lists can be
     skipped, never what links. Postings are sent packed, and only shingles of two sets or
-    more become rows. Sets are read again only for documents in such lists.
+    more become rows. Bitmaps of two bits a shingle bound the overlap of a pair of lists; sets
+    are read again only for documents of pairs that the bound lets through.
     """
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row_key", row_key("doc_id", "text"))
     profiles = materialize(_profiles(named), "profiles")
-    rows = profiles.where("digest IS NOT NULL").select("row_key", "doc_id", "n", "digest", "vertex")
+    rows = profiles.where("digest IS NOT NULL")
     classes = materialize(
-        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "vertex").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")), "classes"
+        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "vertex", "bitmap", "n").agg(F.min("doc_id").alias("rep")), "classes"
     )
     often = profiles.where("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "token").limit(FREQUENT_KEPT).toPandas()
     order = np.argsort(often["token"].to_numpy(np.int64).view(np.uint64))
@@ -348,12 +389,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     postings = rows.agg(F.sum(n - F.ceil(n * SIMILAR[0] / SIMILAR[1]) + 1)).first()[0] or 0
     buckets = max(1, -(-int(postings) // POSTINGS_PER_BUCKET))
     lists = materialize(_shared_postings(_prefixes(named, frequent, buckets), buckets), "postings")
-    involved = classes.join(lists.select("vertex").distinct(), "vertex", "left_semi").select(F.col("rep").alias("doc_id"), "digest", "vertex")
-    sets = materialize(
-        named.join(involved.hint("shuffle_hash"), "doc_id").select("doc_id", "vertex", packed_set("text", "digest").alias("tokens")).where("tokens IS NOT NULL"),
-        "sets",
-    )
-    labels = _resolve(lists, classes, sets)
+    labels = _resolve(lists, classes, named)
     named_classes = materialize(
         classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("root")), "classes"
     )

@@ -11,7 +11,7 @@ from typing import Iterator, NamedTuple
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _JOIN = np.uint64(0xD6E8FEB86659FD93)
