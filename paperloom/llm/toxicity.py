@@ -202,11 +202,13 @@ def _fitted(x: np.ndarray, y: np.ndarray, spread: float = 3.0) -> np.ndarray:
 UNIT_COUNTS = "unit long, toxic_texts long, toxic_contexts long, clean_contexts long"
 
 
-def _unit_contexts(sample: DataFrame) -> DataFrame:
+def _unit_contexts(sample: DataFrame, wanted: np.ndarray | None = None, least_texts: int = 0) -> DataFrame:
     """For each unit, in how many toxic texts it stands, and after how many different words in toxic and clean texts.
 
     Counting contexts, not occurrences, keeps the words of a text with many copies from
     looking like insults; the count of texts rules out what only one long text repeats.
+    Only ``wanted`` units are counted, if given, and a task leaves out what fewer than
+    ``least_texts`` of its toxic texts hold.
     """
 
     def distinct(keys):
@@ -223,7 +225,7 @@ def _unit_contexts(sample: DataFrame) -> DataFrame:
                 text = mixed((row + seen + 1).astype(np.uint64))
                 before = mixed(np.concatenate((np.zeros(1, np.uint64), w.hash[:-1])))
                 for unit in _units(data, w.start, w.end, w.hash).T:
-                    full = np.flatnonzero(unit)
+                    full = np.flatnonzero(unit if wanted is None else np.isin(unit, wanted))
                     in_text, in_context = mixed(unit[full] ^ text[full]), mixed(unit[full] ^ before[full])
                     _, first = np.unique(in_text, return_index=True)
                     _, other = np.unique(in_context & ~np.uint64(1) | labels[row[full]], return_index=True)
@@ -242,8 +244,10 @@ def _unit_contexts(sample: DataFrame) -> DataFrame:
             def count(rows):
                 return pa.array(np.bincount(of[rows], minlength=len(unit)))
 
+            toxic_texts = np.bincount(of[by_text[mark[by_text]]], minlength=len(unit))
+            full = toxic_texts >= least_texts
             yield pa.RecordBatch.from_arrays(
-                [pa.array(unit.view(np.int64)), count(by_text[mark[by_text]]), count(by_context[mark[by_context]]), count(by_context[~mark[by_context]])],
+                [c.filter(pa.array(full)) for c in (pa.array(unit.view(np.int64)), pa.array(toxic_texts), count(by_context[mark[by_context]]), count(by_context[~mark[by_context]]))],
                 names=[c.split()[0] for c in UNIT_COUNTS.split(", ")],
             )
 
@@ -272,7 +276,10 @@ def fit_toxicity(
     texts = docs.select(F.col("doc_id"), F.col(f"`{text}`").alias("text")).where("text IS NOT NULL")
     sample = materialize(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic"), "labelled-texts").coalesce(4)
     sums = [F.sum(c).alias(c) for c in ("toxic_texts", "toxic_contexts", "clean_contexts")]
-    counted = materialize(_unit_contexts(sample).groupBy("unit").agg(*sums), "units")
+    # Five texts in four tasks are two in one of them; the sample bounds how many units that can be.
+    spread = _unit_contexts(sample.where("toxic = 1"), least_texts=2).select("unit").distinct().toPandas()
+    wanted = np.sort(spread["unit"].to_numpy(np.int64)).view(np.uint64)
+    counted = materialize(_unit_contexts(sample, wanted).groupBy("unit").agg(*sums), "units")
     units = _seed_units()
     total = counted.agg(F.sum("toxic_contexts").alias("t"), F.sum("clean_contexts").alias("c")).first()
     if total.t and total.c:
