@@ -15,6 +15,7 @@ from paperloom.llm.jaccard_join import similar_documents
 from paperloom.llm.line_dedup import drop_shared_lines
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.toxicity import fit_toxicity, score_toxicity
+from paperloom.llm.url_rules import judge_urls
 from paperloom.session import fresh_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +146,34 @@ def op7_chat_format(spark, folder):
         F.length(learned).cast("long").alias("loss_chars"), F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+URL_RULES = (
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+)
+_RULES_SQL = ", ".join(f"('{host}', '{path}', '{verdict}')" for host, path, verdict in URL_RULES)
+
+
+@_query(
+    "op5_url_rules",
+    rf"""
+WITH rules(rule_host, rule_path, verdict) AS (VALUES {_RULES_SQL}),
+cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN {_LOWER_SQL("regexp_extract(substr(url, instr(url, '://') + 3), '(?s)^[^/?#]*', 0)")} ELSE '' END AS host,
+         CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '(?s)^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+  FROM pages
+),
+fit AS (
+  SELECT page_id, rule_host || rule_path AS rule, verdict,
+         row_number() OVER (PARTITION BY page_id ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS n
+  FROM cut JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT c.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut c LEFT JOIN fit f ON f.page_id = c.page_id AND n = 1""",
+)
+def op5_url_rules(spark, folder):
+    # The rules are literals, so they are made in the plan; their number never depends on data.
+    rules = spark.range(1).select(
+        F.explode(F.array(*[F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(v).alias("verdict")) for h, p, v in URL_RULES])).alias("r")
+    ).select("r.*")
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    return judge_urls(pages, rules, default="allow").select("page_id", "host", "path", "rule", "verdict")
