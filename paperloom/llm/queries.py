@@ -12,6 +12,7 @@ from paperloom.llm.chat import fold_events, read_back, render_conversations
 from paperloom.llm.common import bucket_of
 from paperloom.llm.decontaminate import decontaminate
 from paperloom.llm.jaccard_join import similar_documents
+from paperloom.llm.language_id import fit_languages, identify_languages
 from paperloom.llm.line_dedup import drop_shared_lines
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.toxicity import fit_toxicity, score_toxicity
@@ -177,3 +178,10 @@ def op5_url_rules(spark, folder):
     ).select("r.*")
     pages = _table(spark, folder, "pages").select("page_id", "url")
     return judge_urls(pages, rules, default="allow").select("page_id", "host", "path", "rule", "verdict")
+
+
+@_query("op8_language_id")
+def op8_language_id(spark, folder):
+    docs = _table(spark, folder, "documents")
+    named = identify_languages(docs.select("doc_id", "text"), fit_languages(docs, held_out=(4, 2)))
+    return named.select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
