@@ -11,6 +11,7 @@ from paperloom.llm.bitpack import read_tokens, write_tokens
 from paperloom.llm.chat import fold_events, read_back, render_conversations
 from paperloom.llm.common import bucket_of
 from paperloom.llm.decontaminate import decontaminate
+from paperloom.llm.embedding_dedup import link_vectors
 from paperloom.llm.jaccard_join import similar_documents
 from paperloom.llm.language_id import fit_languages, identify_languages
 from paperloom.llm.line_dedup import drop_shared_lines
@@ -185,3 +186,9 @@ def op8_language_id(spark, folder):
     docs = _table(spark, folder, "documents")
     named = identify_languages(docs.select("doc_id", "text"), fit_languages(docs, held_out=(4, 2)))
     return named.select("doc_id", (bucket_of(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@_query("op1_embedding_dedup")
+def op1_embedding_dedup(spark, folder):
+    linked = link_vectors(_table(spark, folder, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+    return linked.select("vec_id", "n_links", "component_id", "kept")
