@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StringType
 
 from paperloom.llm.common import boxed, unboxed
 from paperloom.llm.words import ALNUM, window_hashes, word_blocks
@@ -117,7 +118,7 @@ def _scan(windows) -> Column:
     return hits
 
 
-@arrow_udf("string")
+@arrow_udf(StringType())
 def without_spans(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """Texts without the given (start, end) byte runs."""
     out = []

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import BinaryType, BooleanType
 
 from paperloom.llm.graphs import components
 from paperloom.llm.words import SOLID, window_hashes, word_blocks
@@ -73,7 +74,7 @@ def most_common(a: bytes, size_a: int, b: bytes, size_b: int) -> int:
     return (size_a + size_b - int(np.bitwise_count(differing).sum())) // 2
 
 
-@arrow_udf("boolean")
+@arrow_udf(BooleanType())
 def may_be_similar(left: pa.Array, size_left: pa.Array, right: pa.Array, size_right: pa.Array) -> pa.Array:
     out = []
     for a, n, b, m in zip(left.to_pylist(), size_left.to_pylist(), right.to_pylist(), size_right.to_pylist()):
@@ -264,7 +265,7 @@ def _shared_postings(packed: DataFrame, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(shared, POSTINGS)
 
 
-@arrow_udf("binary")
+@arrow_udf(BinaryType())
 def packed_set(texts: pa.Array, digests: pa.Array) -> pa.Array:
     """A text's sorted shingle hashes; null if its set is not the wanted one."""
     wanted, out = digests.to_pylist(), [None] * len(texts)
@@ -274,7 +275,7 @@ def packed_set(texts: pa.Array, digests: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-@arrow_udf("boolean")
+@arrow_udf(BooleanType())
 def similar_sets(left: pa.Array, right: pa.Array) -> pa.Array:
     """The exact test: 100 * intersection >= 75 * union."""
     out = []
