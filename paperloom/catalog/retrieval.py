@@ -408,8 +408,7 @@ def overlap_topk(spark, folder):
 
 
 @register("recall_at_k", "C16", with_ctes(*LISTS, """truth AS (
-  SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)
-  WHERE len(regexp_extract_all(b.text, '[A-Za-z0-9]+(?:[-_][A-Za-z0-9]+)*')) >= 3)""", select="""
+  SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))""", select="""
 SELECT query_id, count(*) AS relevant, count(b.doc_id) AS bm25_found, count(f.doc_id) AS fused_found,
   round(count(b.doc_id)::DOUBLE / count(*), 6) AS bm25_recall, round(count(f.doc_id)::DOUBLE / count(*), 6) AS fused_recall
 FROM truth t

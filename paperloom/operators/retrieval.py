@@ -6,18 +6,20 @@ them in one job. Ranked results are ``(query_id, doc_id, score, rank)``.
 
 from __future__ import annotations
 
-import math
 from functools import partial
 from typing import Iterator, NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom.functions.ranking import ranked
+from paperloom.operators.slices import SCORES_AT_ONCE, TermSlice, best_by_terms, best_rows, meet_in_slices
 from paperloom.session import materialize
 
 # Ranking constants whose results must stay the same.
@@ -29,10 +31,8 @@ ANSWERS = 15
 SMALL_CORPUS = 1000
 RRF_K_SMALL = 10
 RRF_K = 60
+RANKED = "query_id long, doc_id long, score double"
 
-# A question block of this many vectors is small enough to ship to every task.
-QUERY_BLOCK = 1024
-DOCUMENTS_PER_SLICE = 5_000
 
 
 class TermIndex(NamedTuple):
@@ -97,22 +97,22 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def bm25_topk(queries: DataFrame, index: TermIndex, k: int = CANDIDATES) -> DataFrame:
     """Best ``k`` documents per question by BM25.
 
-    Only postings of asked-for terms take part. Partial sums per (question, document)
-    are formed before the shuffle, so a stop-word list costs scan time, not network.
+    Only postings of asked-for terms take part. They lie in slices of documents, each of
+    which scores every question and hands on its best ``k``, so a term that most questions
+    and documents hold makes no pairs.
     """
-    asked = query_terms(queries)
     stats = corpus_stats(index)
-    weighted = asked.join(stats, "term").select(
-        "query_id", "term", (F.col("qtf") * F.col("idf") * (BM25_K1 + 1.0)).alias("w"), "avgdl"
+    weighted = query_terms(queries).join(stats, "term").select(
+        "query_id", "term", (F.col("qtf") * F.col("idf") * (BM25_K1 + 1.0)).alias("weight"), "avgdl"
     )
-    saturation = F.col("tf") + BM25_K1 * (1.0 - BM25_B + BM25_B * F.col("doc_len") / F.col("avgdl"))
-    scored = (
-        index.postings.join(weighted, "term")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("w") * F.col("tf") / saturation).alias("score"))
-        .where("score > 0")
-    )
-    return ranked(scored, ["query_id"], "score", ["doc_id"], k)
+    asked = weighted.groupBy("query_id", "avgdl").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+
+    def scored(held: TermSlice, terms, question) -> np.ndarray:
+        saturation = held.count + BM25_K1 * (1.0 - BM25_B + BM25_B * held.length / question["avgdl"])
+        return held.sums(terms, question["weights"], held.count / saturation)
+
+    best = meet_in_slices(index.postings, asked, TermSlice, best_by_terms(scored, k), RANKED)
+    return ranked(best, ["query_id"], "score", ["doc_id"], k)
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES) -> DataFrame:
@@ -162,83 +162,30 @@ def _unit_rows(lists: pd.Series, dimension: int) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _block_best(
-    ids: np.ndarray, unit: np.ndarray, query_ids: np.ndarray, query_unit: np.ndarray, k: int
-) -> pd.DataFrame:
-    """Positive scores of one block that can still be in the best k (ties at the edge stay)."""
-    scores = unit @ query_unit.T
-    compared = np.round(scores, 9)
-    keep = scores > 0
-    if len(ids) > k:
-        keep &= compared >= np.partition(compared, len(ids) - k, axis=0)[len(ids) - k]
-    doc, query = np.nonzero(keep)
-    return pd.DataFrame(
-        {"query_id": query_ids[query], "doc_id": ids[doc], "score": scores[doc, query]}
-    )
-
-
-def _numbers(count: int) -> Column:
-    return F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))
-
-
-def _block_topk(
-    queries: DataFrame, rows: DataFrame, to_unit, k: int, vectors: tuple[str, ...] = ("v",)
-) -> DataFrame:
+def _block_topk(queries: DataFrame, rows: DataFrame, to_unit, k: int, vectors: tuple[str, ...] = ("v",)) -> DataFrame:
     """Exact top-k of ``rows(doc_id, *vectors)`` against ``queries(query_id, *vectors)``.
 
-    Each named vector gives its own ranking, marked ``vector``, in one pass over the rows. Up to
-    QUERY_BLOCK questions travel with the task and rows are scanned without any
-    shuffle. More questions are hashed into blocks that meet slices of the rows, so
-    no task ever holds more than one block and one slice.
+    Each named vector gives its own ranking, marked ``vector``, in one pass over the rows.
     """
-    schema = "vector string, query_id long, doc_id long, score double"
-
-    def best_of(row_batch: pd.DataFrame, query_ids, query_units) -> pd.DataFrame:
-        ids = row_batch["doc_id"].to_numpy(dtype=np.int64)
-        parts = []
-        for name in vectors:
-            part = _block_best(ids, to_unit(row_batch[name]), query_ids, query_units[name], k)
-            parts.append(part.assign(vector=name)[["vector", "query_id", "doc_id", "score"]])
-        return pd.concat(parts)
-
-    block = queries.select("query_id", *vectors).limit(QUERY_BLOCK + 1).toPandas()
-    if len(block) <= QUERY_BLOCK:
-        query_ids = block["query_id"].to_numpy(dtype=np.int64)
-        query_units = {name: to_unit(block[name]) for name in vectors}
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch) and len(query_ids):
-                    yield best_of(batch, query_ids, query_units)
-
-        best = rows.select("doc_id", *vectors).mapInPandas(scan, schema)
-    else:
-        blocks = math.ceil(queries.count() / QUERY_BLOCK)
-        slices = max(1, math.ceil(rows.count() / DOCUMENTS_PER_SLICE))
-        spread_queries = queries.select(
-            "query_id",
-            *vectors,
-            F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"),
-            F.explode(_numbers(slices)).alias("slice"),
-        )
-        spread_rows = rows.select(
-            "doc_id",
-            *vectors,
-            F.explode(_numbers(blocks)).alias("block"),
-            F.pmod(F.xxhash64("doc_id"), F.lit(slices)).alias("slice"),
-        )
 
-        def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-            if not len(left) or not len(right):
-                return pd.DataFrame({"vector": [], "query_id": [], "doc_id": [], "score": []})
-            units = {name: to_unit(left[name]) for name in vectors}
-            return best_of(right, left["query_id"].to_numpy(dtype=np.int64), units)
-
-        best = (
-            spread_queries.groupBy("block", "slice")
-            .cogroup(spread_rows.groupBy("block", "slice"))
-            .applyInPandas(meet, schema)
-        )
+    def start(table: pa.Table):
+        return table.column("doc_id").to_numpy(), {name: to_unit(table.column(name).to_pandas()) for name in vectors}
+
+    def answer(state, questions: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, units = state
+        step = max(1, SCORES_AT_ONCE // max(1, len(ids)))
+        for at in range(0, len(questions), step):
+            block = questions.slice(at, step)
+            asked = block.column("query_id").to_numpy()
+            for name in vectors:
+                scores = units[name] @ to_unit(block.column(name).to_pandas()).T
+                doc, query = np.nonzero(best_rows(scores, k))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * len(doc), pa.string()), pa.array(asked[query]), pa.array(ids[doc]), pa.array(scores[doc, query])],
+                    names=["vector", "query_id", "doc_id", "score"],
+                )
+
+    best = meet_in_slices(rows.select("doc_id", *vectors), queries.select("query_id", *vectors), start, answer, f"vector string, {RANKED}")
     return ranked(best, ["vector", "query_id"], "score", ["doc_id"], k)
 
 
@@ -288,21 +235,6 @@ def sparse_topk(queries: DataFrame, docs: DataFrame, salt: str, k: int = CANDIDA
     return sparse_lists(queries, docs, {"v": salt}, k, dimension).drop("vector")
 
 
-def sparse_topk_joined(queries: DataFrame, embedded: DataFrame, salt: str, k: int = CANDIDATES):
-    """The same ranking as a bucket join, for stored sparse vectors of short texts."""
-    asked = normalize_sparse(
-        hash_embed(queries.select(F.col("query_id").alias("doc_id"), F.col("query_text").alias("text")), salt)
-    ).select(F.col("doc_id").alias("query_id"), "bucket", F.col("weight").alias("qw"))
-    scored = (
-        normalize_sparse(embedded)
-        .join(asked, "bucket")
-        .groupBy("query_id", "doc_id")
-        .agg(F.sum(F.col("weight") * F.col("qw")).alias("score"))
-        .where("score > 0")
-    )
-    return ranked(scored, ["query_id"], "score", ["doc_id"], k)
-
-
 # ---------------------------------------------------------------- fusion and reranking
 
 
@@ -362,9 +294,9 @@ def lexical_score(asked: Column, phrase: Column, words: Column, text: Column) ->
 
 
 def lexical_rerank(
-    pool: DataFrame, queries: DataFrame, texts: DataFrame, k: int = ANSWERS, keys: tuple = ("doc_id",)
+    pool: DataFrame, queries: DataFrame, texts: DataFrame, k: int = ANSWERS, keys: tuple = ("doc_id",), ties: tuple = ("earlier_rank",)
 ) -> DataFrame:
-    """Re-order ``pool(query_id, doc_id, rank, ...)``; ties keep the earlier rank.
+    """Re-order ``pool(query_id, doc_id, rank, ...)``; ties keep the earlier rank, or the order of ``ties``.
 
     Rankings never carry texts: only the pool's own texts are fetched, and each is cut
     into tokens once however many questions it answers. The pool (k short rows per
@@ -389,7 +321,7 @@ def lexical_rerank(
         )
         .drop("asked", "phrase", "words", "text")
     )
-    return ranked(scored, ["query_id"], "score", ["earlier_rank"], k)
+    return ranked(scored, ["query_id"], "score", list(ties), k)
 
 
 # ---------------------------------------------------------------- citations
@@ -457,12 +389,12 @@ def expand_and_rerank(
     top = materialize(top.select("query_id", "doc_id", "rank"), "ranking")
     base = top.withColumn("kind", F.lit("pool")).select(keep)
     extra = citation_expand(queries, top, edges, papers, **options)
-    extra = extra.withColumn("kind", F.lit("citation")).withColumn("rank", F.col("rank") + 1_000_000)
+    extra = extra.withColumn("kind", F.lit("citation"))
     texts = docs.select("doc_id", "text", F.lit("pool").alias("kind")).unionByName(
         papers.select("doc_id", paper_text(papers).alias("text"), F.lit("citation").alias("kind"))
     )
     return lexical_rerank(
-        base.unionByName(extra.select(keep)), queries, texts, k, keys=("doc_id", "kind")
+        base.unionByName(extra.select(keep)), queries, texts, k, keys=("doc_id", "kind"), ties=(F.col("kind").desc(), "earlier_rank")
     )
 
 
@@ -486,21 +418,17 @@ def overlap_topk(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame
     asked = queries.select(
         "query_id", F.array_distinct(tx.content_words(F.col("query_text"))).alias("asked")
     )
-    asked_words = tx.exploded(asked, ["query_id", F.size("asked").alias("n")], F.col("asked"), "word")
+    asked_words = tx.exploded(asked, ["query_id"], F.col("asked"), "word").select("word").distinct()
     cut = chunks.where(F.length("text") > 80).select("doc_id", tx.content_words(F.col("text")).alias("words"))
-    words = tx.exploded(cut, ["doc_id", F.size("words").alias("len")], F.array_distinct("words"), "word")
-    scored = (
-        words.join(asked_words, "word")
-        .groupBy("query_id", "doc_id", "n", "len")
-        .agg(F.count("*").alias("overlap"))
-        .select(
-            "query_id",
-            "doc_id",
-            (
-                F.col("overlap") * F.log(1.0 + F.col("n")) / F.log(2.0 + F.col("len"))
-            ).alias("score"),
-        )
-    )
+    words = tx.exploded(cut, ["doc_id", F.size("words").cast("long").alias("doc_len")], F.array_distinct("words"), "term")
+    postings = words.join(asked_words, words["term"] == asked_words["word"], "left_semi").withColumn("tf", F.lit(1).cast("long"))
+
+    def shared(held: TermSlice, terms, question) -> np.ndarray:
+        overlap = held.sums(terms, np.ones(len(terms)), held.count)
+        return overlap * np.log(1.0 + len(terms)) / np.log(2.0 + held.doc_length)
+
+    asked = asked.where(F.size("asked") > 0).withColumnRenamed("asked", "terms")
+    scored = meet_in_slices(postings, asked, TermSlice, best_by_terms(shared, k), RANKED)
     best = ranked(scored, ["query_id"], "score", ["doc_id"], k)
     return best.join(chunks.select("doc_id", "paper_id", "text"), "doc_id").select(
         "query_id",
@@ -517,15 +445,15 @@ def overlap_topk(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame
 
 
 def passage_truth(passages: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs where a document contains a passage of at least three tokens.
+    """Pairs where a document contains a passage.
 
-    The rarest inner token of the passage is looked up by an equi-join; only documents
-    holding it are compared as text. Inner tokens are whole in any containing text.
+    The rarest inner token of a passage is looked up by an equi-join; only documents holding
+    it are compared as text. Inner tokens are whole in any containing text. Passages of
+    fewer than three tokens have no inner one: each is looked for in every text, in the same scan for all of them.
     """
-    inner = passages.select(
-        "query_id", "query_text", tx.tokens(F.col("query_text")).alias("t")
-    ).where(F.size("t") >= 3)
-    inside = F.array_distinct(F.slice("t", 2, F.size("t") - 2))
+    cut = passages.select("query_id", "query_text", tx.tokens(F.col("query_text")).alias("t"))
+    inner = cut.where(F.size("t") >= 3)
+    inside = F.array_distinct(F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(0))))
     inner = tx.exploded(inner, ["query_id", "query_text"], inside, "term")
     words = tx.exploded(docs, ["doc_id"], tx.distinct_tokens(F.col("text")), "term")
     words = words.join(inner.select("term").distinct(), "term", "left_semi")
@@ -536,13 +464,27 @@ def passage_truth(passages: DataFrame, docs: DataFrame) -> DataFrame:
         .agg(F.min(F.struct("df", "term")).alias("rarest"))
         .select("query_id", "query_text", F.col("rarest.term").alias("term"))
     )
-    return (
+    anchored = (
         words.join(anchors, "term")
         .select("query_id", "doc_id", "query_text")
         .join(docs.select("doc_id", "text"), "doc_id")
         .where(F.contains("text", "query_text"))
         .select("query_id", "doc_id")
     )
+    return anchored.unionByName(_short_passages(cut.where(F.size("t") < 3), docs))
+
+
+def _short_passages(passages: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of texts and the few passages that are too short for an inner token, met in slices."""
+
+    def answer(texts: pa.Table, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+        ids, text = texts.column("doc_id").to_numpy(), texts.column("text")
+        for query_id, passage in zip(asked.column("query_id").to_pylist(), asked.column("query_text").to_pylist()):
+            found = pc.fill_null(pc.match_substring(text, passage), False).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array([query_id] * int(found.sum()), pa.int64()), pa.array(ids[found])], names=["query_id", "doc_id"])
+
+    asked = passages.where("query_text IS NOT NULL").select("query_id", "query_text")
+    return meet_in_slices(docs.select("doc_id", "text"), asked, lambda texts: texts, answer, "query_id long, doc_id long")
 
 
 def recall_at_k(ranking: DataFrame, truth: DataFrame, k: int = ANSWERS) -> DataFrame:
