@@ -139,12 +139,12 @@ ANNOTATIONS = [(f"Group {n}", {"name": f"Group {n}", "category": "annotation"})
 
 
 @register("node_annotation", "E7", with_ctes(SQL_NODES, """chosen AS (
-  SELECT key, row_number() OVER (ORDER BY key) AS n FROM nodes WHERE label = 'Part' ORDER BY key LIMIT 600)""", select="""
-SELECT label, key, CASE WHEN n IS NULL THEN props ELSE 'annotation=ANNOTATION-' || lpad(n::VARCHAR, 4, '0') || ';annotation_target=Group ' || n % 5 || ';' || props END AS props
+  SELECT key, row_number() OVER (ORDER BY key) AS n FROM nodes WHERE label = 'Part')""", select="""
+SELECT label, key, CASE WHEN n IS NULL THEN props ELSE 'annotation=ANNOTATION-' || format('{:04d}', n) || ';annotation_target=Group ' || n % 5 || ';' || props END AS props
 FROM nodes LEFT JOIN chosen USING (key) WHERE label = 'Part'
 UNION ALL SELECT label, key, props FROM nodes WHERE label <> 'Part'
 UNION ALL SELECT 'Pathway', 'Group ' || i, 'category=annotation;name=Group ' || i FROM range(5) r(i)
-UNION ALL SELECT 'edge', key, 'Group ' || n % 5 || ';annotation=ANNOTATION-' || lpad(n::VARCHAR, 4, '0') FROM chosen"""))
+UNION ALL SELECT 'edge', key, 'Group ' || n % 5 || ';annotation=ANNOTATION-' || format('{:04d}', n) FROM chosen"""))
 def node_annotation(spark, folder):
     nodes, edges = raw_graph(spark, folder)
     nodes, edges = kg.annotate_nodes(nodes, edges, "Part", ANNOTATIONS, "Pathway", "PARTICIPATES_IN", "annotation")

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.functions.ranking import ranked
+from paperloom.functions.ranking import numbered, ranked
 from paperloom.operators.triples import PREDICATES
 
 NODE_KEY = ["label", "key"]
@@ -159,18 +159,18 @@ def annotate_nodes(
     target_label: str,
     rel_type: str,
     prop: str,
-    first: int = 600,
+    first: int | None = None,
     seq: int = 2,
 ) -> tuple[DataFrame, DataFrame]:
-    """Link the first nodes of a label (by key) to annotation nodes in turn and mark them.
+    """Link the nodes of a label, in the order of their keys, to annotation nodes in turn and mark them.
 
-    ``annotations`` are ``(key, props)`` of the annotation nodes. The first keys come from a
-    distributed top-n, so only those rows are numbered.
+    ``annotations`` are ``(key, props)`` of the annotation nodes. With ``first``, only so
+    many nodes are marked.
     """
     names = F.array(*[F.lit(key) for key, _ in annotations])
-    chosen = nodes.where(F.col("label") == label).select("key").orderBy("key").limit(first)
-    chosen = chosen.withColumn("_all", F.lit(1))
-    chosen = ranked(chosen, ["_all"], "_all", ["key"], rank="n")
+    chosen = numbered(nodes.where(F.col("label") == label).select("key"), "key", "n")
+    if first is not None:
+        chosen = chosen.where(F.col("n") <= first)
     chosen = chosen.withColumn("target", F.get(names, (F.col("n") % len(annotations)).cast("int")))
     mark = F.format_string("ANNOTATION-%04d", F.col("n"))
     marked = chosen.select(

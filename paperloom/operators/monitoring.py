@@ -15,17 +15,23 @@ BUDGETS_MS = {
 }
 
 
-def exact_quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], width: float = 1.0) -> DataFrame:
+def exact_quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], ranges: int = 1000) -> DataFrame:
     """Interpolated quantiles per group, one column per entry of ``shares``.
 
     Equal values are counted first. Ranks are formed inside (group, value range) and carried
-    over a small table of ranges, so a group with most rows is never sorted or held in
-    one task.
+    over a table of at most about ``ranges`` ranges a group, so a group with most rows is
+    never sorted or held in one task. The ranges follow the group's own distribution:
+    approximate quantiles are their borders, which decide where a value is ranked, never its rank.
     """
     place = [by, "_range"]
+    borders = rows.groupBy(by).agg(
+        F.array_distinct(F.percentile_approx(F.col(value), F.lit([k / ranges for k in range(1, ranges)]), F.lit(ranges))).alias("_borders")
+    )
     counted = (
         rows.groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-        .withColumn("_range", F.floor(F.col("_v") / width))
+        .join(borders, by)
+        .withColumn("_range", F.size(F.filter("_borders", lambda b: b <= F.col("_v"))))
+        .drop("_borders")
     )
     before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = counted.groupBy(*place).agg(F.sum("_c").alias("_n")).select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -29,11 +30,11 @@ def build_session(app: str = "paperloom", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a temporary one only where none is set."""
+    """The folder in ``spark.checkpoint.dir``; on one machine a temporary one where none is set, else an error."""
     configured = spark.conf.get(_CHECKPOINT_KEY, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
         raise ValueError(f"set {_CHECKPOINT_KEY} to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set(_CHECKPOINT_KEY, folder)
@@ -46,8 +47,18 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df, name: str):
-    """Cut lineage through a table in the shared folder, so lost executors cost no recompute."""
+    """Cut lineage through a table in the shared folder, so lost executors cost no recompute.
+
+    The table is written here and now: what calls this runs a job while its result is being
+    built. Tables stay until ``clear_shared`` or the folder's owner removes them.
+    """
     spark = df.sparkSession
     path = fresh_folder(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Remove everything in the shared folder; for the end of a run that has it to itself."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

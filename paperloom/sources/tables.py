@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPREAD_KEY = "spark.paperloom.spread"
+
+
 def read_table(spark: SparkSession, path: str, spread: str | None = None) -> DataFrame:
     """Read parquet.
 
-    With ``spread``, a file set that has fewer splits than the cluster has cores is hashed
-    on that key so that text work uses every core. Large file sets have splits enough and
-    are left as they are, without a shuffle.
+    ``spread`` names the key to hash on where the session asks for it: whoever runs on files
+    of fewer splits than cores sets ``spark.paperloom.spread`` to a number of partitions.
+    It is unset by default, so large file sets are read without a shuffle.
     """
     df = spark.read.parquet(path)
-    if spread:
-        cores = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < cores:
-            df = df.repartition(cores, spread)
-    return df
+    parts = spark.conf.get(SPREAD_KEY, None) if spread else None
+    return df.repartition(int(parts), spread) if parts else df
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
