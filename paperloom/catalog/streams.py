@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from paperloom.catalog.registry import register, table, with_ctes
@@ -37,7 +39,13 @@ def streamed_ingest(spark, folder):
     return chunks.select("doc_id", "chunk_id", "chunk_type", F.col("char_start").cast("long").alias("char_start"), F.col("char_end").cast("long").alias("char_end"))
 
 
-@register("streamed_requests", "D14")
+@register("streamed_requests", "D14", """
+WITH RECURSIVE log AS (
+  SELECT 'pubmed:' || event_type || '?[["user","' || user_id || '"]]' AS request_key, ts, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+passed AS (
+  SELECT request_key, min(ts) AS ts FROM log GROUP BY 1
+  UNION ALL SELECT p.request_key, min(l.ts) FROM passed p JOIN log l ON l.request_key = p.request_key AND l.ts > p.ts + INTERVAL 7 DAY GROUP BY p.request_key, p.ts)
+SELECT request_key, event_id FROM passed JOIN log USING (request_key, ts)""")
 def streamed_requests(spark, folder):
     out, checkpoint = fresh_folder(spark, "requests"), fresh_folder(spark, "checkpoint")
     events = sp.stream_table(spark, folder, "events.parquet")
@@ -45,5 +53,6 @@ def streamed_requests(spark, folder):
     keyed = events.select(
         lit.request_key(F.lit("pubmed"), F.col("event_type"), params).alias("request_key"), F.col("ts").cast("timestamp").alias("fetched_at"), "event_id"
     )
-    sp.poll_once(sp.dedupe_stream(keyed, ["request_key"], "fetched_at", "7 days"), sp.keyed_writer(out), checkpoint)
+    passed = sp.dedupe_stream(keyed, ["request_key"], "fetched_at", timedelta(days=7), "event_id")
+    sp.poll_once(passed, sp.keyed_writer(out), checkpoint)
     return spark.read.parquet(out).select("request_key", "event_id")

@@ -6,11 +6,13 @@ stopped and a failed batch is tried again with the same files.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.operators import graph as kg
 from paperloom.operators import structure as st
@@ -124,6 +126,31 @@ def current_graph(spark: SparkSession, folder: str) -> DataFrame:
     return kg.merge_edges(rows)
 
 
-def dedupe_stream(stream: DataFrame, keys: list[str], time: str, ttl: str) -> DataFrame:
-    """Drop repeats of a key inside the lifetime; state is bounded by the watermark."""
-    return stream.withWatermark(time, ttl).dropDuplicatesWithinWatermark(keys)
+def dedupe_stream(stream: DataFrame, keys: list[str], time: str, ttl: timedelta, tie: str) -> DataFrame:
+    """Drop repeats of a key inside the lifetime of the last row that went through.
+
+    A row goes through if its key never did, or did so more than ``ttl`` ago. Rows of a key
+    count in time order, ties by ``tie``; rows that come in a later batch than newer ones of
+    their key are repeats. So the outcome does not depend on where batches are cut, as long as
+    batches follow each other in time. The state of a key is one time, which the watermark evicts.
+    """
+    lifetime = ttl // timedelta(microseconds=1)
+
+    def passing(key, frames, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(frames).sort_values(["_at", tie], kind="stable")
+        times, last, kept = rows["_at"].to_numpy(), state.get[0] if state.exists else None, []
+        at = 0 if last is None else int(times.searchsorted(last + lifetime, side="right"))
+        while at < len(times):
+            kept.append(at)
+            last = int(times[at])
+            at = int(times.searchsorted(last + lifetime, side="right"))
+        state.update((last,))
+        expiry = (last + lifetime) // 1000 + 1
+        state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
+        yield rows.iloc[kept].drop(columns="_at")
+
+    timed = stream.withColumn("_at", F.unix_micros(F.col(time))).withWatermark(time, "0 seconds")
+    return timed.groupBy(*keys).applyInPandasWithState(passing, stream.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -3,6 +3,7 @@ import time
 from datetime import datetime, timedelta
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from paperloom.sources import tables
@@ -73,11 +74,17 @@ def test_ingest_sink_keeps_contradictions_across_batches(spark, tmp_path):
     assert sp.current_graph(spark, out).count() == 1 and spark.read.parquet(f"{out}/chunks").count() == 2
 
 
-def test_repeats_inside_the_lifetime_are_dropped(spark, tmp_path):
+@pytest.mark.parametrize("cuts", [[], [3], [1, 2, 4, 6]])
+def test_repeats_pass_again_after_the_lifetime(spark, tmp_path, cuts):
+    """The same rows pass whether the log arrives as one file or as several in time order."""
     landing, out, mark = (str(tmp_path / n) for n in ("landing", "out", "mark"))
     os.makedirs(landing)
-    rows = spark.createDataFrame([("k", "2024-01-01 00:00:00", 1), ("k", "2024-01-02 00:00:00", 2), ("z", "2024-01-02 00:00:00", 3)], "key string, at string, n int")
-    rows.withColumn("at", F.col("at").cast("timestamp")).coalesce(1).write.mode("append").parquet(landing)
-    stream = sp.dedupe_stream(sp.stream_table(spark, landing, "*.parquet"), ["key"], "at", "7 days")
-    sp.poll_once(stream, sp.keyed_writer(out), mark)
-    assert spark.read.parquet(out).groupBy("key").count().where("count > 1").count() == 0
+    log = [("k", 1, 1), ("k", 1, 2), ("z", 2, 3), ("k", 8, 4), ("k", 9, 5), ("z", 9, 6), ("k", 17, 7)]
+    schema = pd.DataFrame(log, columns=["key", "day", "n"])
+    schema["at"] = pd.to_datetime(schema["day"].map(lambda d: f"2024-01-{d:02d}")).dt.tz_localize("UTC")
+    for number, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(log)])):
+        schema.iloc[a:b].drop(columns="day").to_parquet(f"{landing}/{number}.parquet", coerce_timestamps="us")
+        stream = sp.dedupe_stream(sp.stream_table(spark, landing, "*.parquet"), ["key"], "at", timedelta(days=7), "n")
+        sp.poll_once(stream, sp.keyed_writer(out), mark)
+    # k passes on days 1, 9 (8 is exactly seven days later) and 17, z on day 2 only.
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 3, 5, 7]
