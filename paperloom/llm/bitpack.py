@@ -15,6 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from paperloom.llm.common import small_batches
 from paperloom.llm.tokens import encoded_rows, vocabulary_size
 
 BLOCK_IDS = 1 << 16
@@ -90,7 +91,8 @@ def write_tokens(
 
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(scan, BLOCKS).write.parquet(path)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(scan, BLOCKS).write.parquet(path)
 
 
 def _part_bases(blocks: DataFrame) -> DataFrame:

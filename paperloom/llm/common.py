@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import sys
 import types
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -43,3 +44,15 @@ def worker_state(key: str, make):
 def bucket_of(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; a null id counts as bucket 0."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Send texts to Python in batches of fewer rows for what is stored inside the block; the session's setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
+from paperloom.llm.common import small_batches
 from paperloom.llm.tokens import encoded_rows
 from paperloom.session import materialize
 
@@ -108,30 +109,39 @@ def _filled(chosen: list[int], left: np.ndarray, capacity: int) -> dict[int, int
     return taken
 
 
-def configurations(histogram: dict[int, int], capacity: int, rate: float = 2.0, share: float = 0.5) -> list[tuple[dict[int, int], int]]:
+# Pieces of a length that the program may leave for the rounding.
+ROUNDED = 16
+
+
+def configurations(histogram: dict[int, int], capacity: int, rate: float = 4.0) -> list[tuple[dict[int, int], int]]:
     """Configurations and how often each is used, covering the histogram.
 
     The covering program is solved by multiplicative weights. A length costs its own size
     times a weight that grows exponentially with how far its covered share lags behind the
-    others'. Each step prices the best configuration by a knapsack and uses it for ``share``
-    of what its scarcest length still allows, rounded down to whole sequences, so that the
-    solution is whole at every step; one use at least. The steps are a few for each length,
-    whatever the number of pieces.
+    others'. Each step prices the best configuration by a knapsack and uses it as often as
+    its scarcest length allows, so a step settles a length at least and there are no more
+    steps than lengths, whatever the number of pieces. The program ends when no more than
+    ``ROUNDED`` pieces of any length are left, on which whole uses would waste room: of
+    these the largest opens a sequence, which the best fitting others fill.
     """
     demand = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         demand[length] = n
     left, uses = demand.copy(), []
-    while left.any():
-        lengths = np.flatnonzero(left)
+    while (left > ROUNDED).any():
+        lengths = np.flatnonzero(left > ROUNDED)
         lag = left[lengths] / demand[lengths]
         prices = lengths * np.exp(rate * (lag - lag.mean()) * lengths / capacity)
         taken = _filled(priced(lengths, prices, capacity), left, capacity)
-        allowed = min(left[length] // n for length, n in taken.items())
-        times = max(1, int(allowed * share)) if allowed > 8 else int(allowed)
+        times = min(int(left[length]) // n for length, n in taken.items())
         for length, n in taken.items():
             left[length] -= n * times
         uses.append((taken, times))
+    while left.any():
+        taken = _filled([int(np.flatnonzero(left)[-1])], left, capacity)
+        for length, n in taken.items():
+            left[length] -= n
+        uses.append((taken, 1))
     return uses
 
 
@@ -191,7 +201,8 @@ def pack_documents(
     group of its own.
     """
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    pieces = materialize(tokenized_pieces(named, tokenizer, end_id, capacity, ids), "pieces")
+    with small_batches(docs.sparkSession):
+        pieces = materialize(tokenized_pieces(named, tokenizer, end_id, capacity, ids), "pieces")
     counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed = _placing(slots_of(configurations(histogram, capacity)))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from paperloom.llm.common import worker_state
 
 # Ids kept per worker, and the longest piece that is kept.
-PIECES_KEPT, PIECE_LENGTH = 600_000, 32
+PIECES_KEPT, PIECE_LENGTH = 400_000, 32
 BORDER = "<|endoftext|>"  # fixed value: a special token of both vocabulary files
 # White space that is no blank, tab or line break, and ASCII control characters.
 UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0 ᠎ -‏    ⁠　﻿]")
@@ -30,22 +30,22 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.tokenizer.encode_special_tokens = True
-        # A second one takes the special token for a border, so many pieces need one call.
-        self.bordered = Tokenizer.from_file(public_tokenizers.path(name))
-        self.border = self.bordered.token_to_id(BORDER)
+        self.border = self.tokenizer.token_to_id(BORDER)
         self.kept: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _pieces(self, pieces: list[str], at_once: int = 4000):
-        """(piece, ids) of each piece."""
+        """(piece, ids) of each piece. The special token is the border between many pieces of one call."""
         special = [p for p in pieces if "<|" in p]
         yield from zip(special, self._encoded(special))
         plain = [p for p in pieces if "<|" not in p]
         for at in range(0, len(plain), at_once):
             group = plain[at : at + at_once]
-            ids = np.array(self.bordered.encode_batch_fast([BORDER.join(group)], add_special_tokens=False)[0].ids, "<u4")
+            self.tokenizer.encode_special_tokens = False
+            ids = np.array(self.tokenizer.encode_batch_fast([BORDER.join(group)], add_special_tokens=False)[0].ids, "<u4")
+            self.tokenizer.encode_special_tokens = True
             borders = np.flatnonzero(ids == self.border)
             raw, ends = ids.tobytes(), [*(4 * borders).tolist(), 4 * len(ids)]
             yield from zip(group, (raw[a:b] for a, b in zip([0, *(e + 4 for e in ends)], ends)))
