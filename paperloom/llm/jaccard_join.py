@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 from pyspark.sql.types import BinaryType, BooleanType
 
+from paperloom.llm.common import small_batches
 from paperloom.llm.graphs import components
 from paperloom.llm.words import SOLID, window_hashes, word_blocks
 from paperloom.session import materialize
@@ -324,10 +325,11 @@ def _resolve(lists: DataFrame, classes: DataFrame, named: DataFrame) -> DataFram
 
     A round compares each list's leader (lowest position, so fewest shingles of its own) with
     the list's other sets. Lists whose sets are then all joined are answered. The others go
-    on without their leader; once the pairs across groups that remain are no more than a few
-    for each posting, they are compared outright.
+    on without their leader; once the pairs across groups that remain are no more than fifty
+    for each posting, their sizes and positions are compared outright, and those that may
+    match are tested.
     """
-    links, allowed = None, 4 * lists.count() + 1_000_000
+    links, allowed = None, 50 * lists.count() + 5_000_000
     while True:
         spot = F.shiftleft("pos", 32) + F.col("size")
         leads = materialize(
@@ -376,21 +378,22 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     spark = docs.sparkSession
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn("row_key", row_key("doc_id", "text"))
-    profiles = materialize(_profiles(named), "profiles")
-    rows = profiles.where("digest IS NOT NULL")
-    classes = materialize(
-        rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "vertex", "bitmap", "n").agg(F.min("doc_id").alias("rep")), "classes"
-    )
-    often = profiles.where("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "token").limit(FREQUENT_KEPT).toPandas()
-    order = np.argsort(often["token"].to_numpy(np.int64).view(np.uint64))
-    frequent = spark.sparkContext.broadcast(
-        (often["token"].to_numpy(np.int64).view(np.uint64)[order], often["sets"].to_numpy(np.int64)[order])
-    )
-    n = F.col("n").cast("long")
-    postings = rows.agg(F.sum(n - F.ceil(n * SIMILAR[0] / SIMILAR[1]) + 1)).first()[0] or 0
-    buckets = max(1, -(-int(postings) // POSTINGS_PER_BUCKET))
-    lists = materialize(_shared_postings(_prefixes(named, frequent, buckets), buckets), "postings")
-    labels = _resolve(lists, classes, named)
+    with small_batches(spark):
+        profiles = materialize(_profiles(named), "profiles")
+        rows = profiles.where("digest IS NOT NULL")
+        classes = materialize(
+            rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest", "vertex", "bitmap", "n").agg(F.min("doc_id").alias("rep")), "classes"
+        )
+        often = profiles.where("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets")).orderBy(F.desc("sets"), "token").limit(FREQUENT_KEPT).toPandas()
+        order = np.argsort(often["token"].to_numpy(np.int64).view(np.uint64))
+        frequent = spark.sparkContext.broadcast(
+            (often["token"].to_numpy(np.int64).view(np.uint64)[order], often["sets"].to_numpy(np.int64)[order])
+        )
+        n = F.col("n").cast("long")
+        postings = rows.agg(F.sum(n - F.ceil(n * SIMILAR[0] / SIMILAR[1]) + 1)).first()[0] or 0
+        buckets = max(1, -(-int(postings) // POSTINGS_PER_BUCKET))
+        lists = materialize(_shared_postings(_prefixes(named, frequent, buckets), buckets), "postings")
+        labels = _resolve(lists, classes, named)
     named_classes = materialize(
         classes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("root")), "classes"
     )
