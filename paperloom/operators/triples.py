@@ -95,66 +95,43 @@ def _quoted(literal: str) -> str:
     return "".join("\\" + c if not (c.isalnum() or c in " _") else c for c in literal)
 
 
-def _mention_pattern(literal: str) -> str:
-    body = _quoted(literal)
-    return f"(?iu)\\b{body}\\b" if literal[0].isalnum() and literal[-1].isalnum() else f"(?iu){body}"
+def _branch(literal: str, longer: list[str]) -> str:
+    """A literal as one branch of an alternation.
 
-
-def _mask(literal: str) -> str:
-    """Same-length filler that keeps word boundaries but matches no dictionary entry."""
-    return "".join("ꙮ" if c.isalnum() or c == "_" else "\u0001" for c in literal)
-
-
-def _overlaps_itself(literal: str) -> bool:
-    folded = literal.lower()
-    return any(folded[:n] == folded[-n:] for n in range(1, len(folded))) and " " in literal
+    Where it begins and ends in a letter or digit, a word must begin and end. It gives way to
+    each of the ``longer`` literals that begins inside it and runs past its end.
+    """
+    low, gives_way = literal.lower(), ""
+    for other in longer:
+        for n in range(1, len(low)):
+            if low[n:] == other.lower()[: len(low) - n] and not (low[n - 1].isalnum() and low[n].isalnum()):
+                gives_way += f"(?!{_quoted(literal[:n])}{_branch(other, longer[: longer.index(other)])})"
+    word = literal[0].isalnum() and literal[-1].isalnum()
+    return gives_way + (f"\\b{_quoted(literal)}\\b" if word else _quoted(literal))
 
 
-def extract_mentions(docs: DataFrame, aliases=MENTIONS, allow_self_overlap: bool = False) -> DataFrame:
-    """Dictionary mentions with offsets; longer literals win over shorter ones they overlap.
+def extract_mentions(docs: DataFrame, aliases=MENTIONS) -> DataFrame:
+    """Dictionary mentions with offsets; longer literals win over shorter ones that they overlap.
 
-    The dictionary is compiled into one chain of expressions. Each literal, longest first,
-    is looked up and then masked in the text, so shorter ones cannot overlap it. The
-    documents are scanned once and never shuffled.
+    All literals are one alternation, longest first, so a text is scanned as often for a
+    thousand as for one; what a match means is looked up by its lower-cased text. Documents
+    are never shuffled.
     """
     ordered = sorted(aliases, key=lambda a: -len(a.literal))
-    wrong = [a.literal for a in ordered if _overlaps_itself(a.literal)]
-    if wrong and not allow_self_overlap:
-        raise ValueError(f"literals that can overlap themselves: {wrong}")
-    current = docs.select("doc_id", "text", F.col("text").alias("_masked"))
-    span = "array<struct<start:int,end:int,entity_type:string,normalized_id:string>>"
-    names = []
-    for n, alias in enumerate(ordered):
-        pattern = _mention_pattern(alias.literal)
-        pieces = F.transform(F.split("_masked", pattern, -1), F.length)
-        size = len(alias.literal)
-        gaps = F.array_repeat(F.lit(size), F.size(pieces) - 1)
-        spans = F.transform(
-            tx.running_starts(pieces, gaps),
-            lambda at: F.struct(
-                at.alias("start"),
-                (at + size).alias("end"),
-                F.lit(alias.label).alias("entity_type"),
-                F.lit(alias.entity_id).alias("normalized_id"),
-            ),
-        ).cast(span)
-        names.append(f"_m{n}")
-        found = F.when(F.col("_masked").rlike(pattern), spans).otherwise(F.array().cast(span))
-        current = current.withColumn(names[-1], found).withColumn(
-            "_masked", F.regexp_replace("_masked", pattern, _mask(alias.literal))
+    literals = [a.literal for a in ordered]
+    first = {a.literal.lower(): a for a in reversed(ordered)}
+    known = F.create_map(*[F.lit(x) for key, a in first.items() for x in (key, f"{a.label}\t{a.entity_id}")])
+    pattern = "(?iu)(?:" + "|".join(_branch(x, literals[:n]) for n, x in enumerate(literals)) + ")"
+
+    def meant(m: Column) -> Column:
+        alias = F.split(F.element_at(known, F.lower(m["mention"])), "\t")
+        return F.struct(
+            m["start"].alias("start"), m["end"].alias("end"), m["mention"].alias("mention"),
+            F.get(alias, 0).alias("entity_type"), F.get(alias, 1).alias("normalized_id"),
         )
-    gathered = current.select("doc_id", "text", F.concat(*names).alias("found"))
-    whole = F.transform(
-        "found",
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            F.substring(F.col("text"), m["start"] + 1, m["end"] - m["start"]).alias("mention"),
-            m["entity_type"].alias("entity_type"),
-            m["normalized_id"].alias("normalized_id"),
-        ),
-    )
-    return tx.inlined(gathered, ["doc_id"], F.array_sort(whole), "start")
+
+    found = F.transform(tx.match_spans(F.col("text"), pattern, {"mention": 0}), meant)
+    return tx.inlined(docs.select("doc_id", "text"), ["doc_id"], found, "start")
 
 
 def _lookup(aliases, field: str) -> Column:
