@@ -293,7 +293,7 @@ def level_nodes(spark, folder):
     return nodes.withColumn("level", F.col("level").cast("long"))
 
 
-@register("level_links", "E14", with_ctes(SQL_NODES, SQL_EDGES, EXPLORER, LEVEL_CTE, select="""
+@register("level_links", "E14", with_ctes(SQL_NODES, SQL_EDGES, EXPLORER, LEVEL_CTE, once=True, select="""
 SELECT source, target, predicate FROM links WHERE source IN (SELECT id FROM around) AND target IN (SELECT id FROM around)"""))
 def level_links(spark, folder):
     return kg.level_subgraph(*explorer(spark, folder), 3)[1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from typing import Callable, NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +34,8 @@ def table(spark: SparkSession, folder: str, name: str, spread: str | None = None
     return read_table(spark, f"{folder}/{name}.parquet", spread)
 
 
-def with_ctes(*parts: str, select: str) -> str:
-    """Join named SQL parts (each ``name AS (...)``) into one statement."""
+def with_ctes(*parts: str, select: str, once: bool = False) -> str:
+    """Join named SQL parts (each ``name AS (...)``) into one statement; ``once`` computes each part a single time."""
+    if once:
+        parts = tuple(re.sub(r"^(\s*\w+(?:\([^)]*\))?) AS \(", r"\1 AS MATERIALIZED (", part) for part in parts)
     return "WITH RECURSIVE " + ",\n".join(part.strip() for part in parts) + "\n" + select.strip()

@@ -175,7 +175,7 @@ def bm25_after_append(spark, folder):
     return show_ranked(rt.bm25_topk(questions(spark, folder), grown))
 
 
-@register("hashed_embedding", "C6", with_ctes(TOK, hashed_ctes("h", "tok", "doc_id", "bio"), select="""
+@register("hashed_embedding", "C6", with_ctes(TOK, hashed_ctes("h", "tok", "doc_id", "bio"), once=True, select="""
 SELECT doc_id, bucket, weight, round(w, 6) AS unit_weight FROM h_raw JOIN h USING (doc_id, bucket)"""))
 def hashed_embedding(spark, folder):
     embedded = rt.hash_embed(corpus(spark, folder), "bio")

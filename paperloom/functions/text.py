@@ -21,15 +21,18 @@ NO_SPACE = f"[!-~[^\t-\r\u001c-\u0020{_WIDE}]]"
 # A run of white space that is not already one single blank.
 UNEVEN = f" {SPACE}+|[[^ -~]&&[\t-\r\u001c-\u001f{_WIDE}]]{SPACE}*"
 
+# Words that rankings and questions pass over.
 RANKING_STOP_WORDS = (
-    "the and for with that this from are was were has have had but not into than between which "
-    "what how why when where who does did can could would should may might will shall their there "
-    "these those such also been being about more most"
-).split()
+    "the", "and", "for", "with", "that", "this", "from", "are", "was", "were", "has", "have", "had", "but",
+    "not", "into", "than", "between", "which", "what", "how", "why", "when", "where", "who", "does", "did",
+    "can", "could", "would", "should", "may", "might", "will", "shall", "their", "there", "these", "those",
+    "such", "also", "been", "being", "about", "more", "most",
+)
 QUESTION_STOP_WORDS = (
-    "what how why when which where who the and are does for from with into this that these those "
-    "have has had you your our their can could would should shall will may might about between"
-).split()
+    "what", "how", "why", "when", "which", "where", "who", "the", "and", "are", "does", "for", "from", "with",
+    "into", "this", "that", "these", "those", "have", "has", "had", "you", "your", "our", "their", "can",
+    "could", "would", "should", "shall", "will", "may", "might", "about", "between",
+)
 
 
 def strip(text: Column) -> Column:
@@ -64,13 +67,13 @@ def distinct_tokens(text: Column) -> Column:
 def content_words(text: Column) -> Column:
     """Lower-cased words of three or more characters without stop words (repeats kept)."""
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower)
-    return F.filter(words, lambda w: ~w.isin(RANKING_STOP_WORDS))
+    return F.filter(words, lambda w: ~w.isin(*RANKING_STOP_WORDS))
 
 
 def question_keywords(text: Column) -> Column:
     """Words of a question that say what it is about."""
     words = F.regexp_extract_all(F.lower(text), F.lit(KEYWORD), F.lit(0))
-    return F.filter(words, lambda w: ~w.isin(QUESTION_STOP_WORDS))
+    return F.filter(words, lambda w: ~w.isin(*QUESTION_STOP_WORDS))
 
 
 def sentences(text: Column) -> Column:

@@ -241,7 +241,7 @@ def check_predicates(edges: DataFrame) -> DataFrame:
     """Predicates in use with their relationship type; unknown ones have none."""
     used = edges.groupBy("predicate").agg(F.count("*").alias("n"))
     name = F.upper("predicate")
-    fits = F.col("predicate").isin(PREDICATES) & name.rlike("^[A-Z_][A-Z0-9_]*$")
+    fits = F.col("predicate").isin(*PREDICATES) & name.rlike("^[A-Z_][A-Z0-9_]*$")
     return used.select("predicate", "n", F.when(fits, name).alias("rel_type"), fits.alias("known"))
 
 
