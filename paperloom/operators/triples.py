@@ -110,7 +110,12 @@ def _branch(literal: str, longer: list[str]) -> str:
     return gives_way + (f"\\b{_quoted(literal)}\\b" if word else _quoted(literal))
 
 
-def extract_mentions(docs: DataFrame, aliases=MENTIONS) -> DataFrame:
+def _overlaps_itself(literal: str) -> bool:
+    folded = literal.lower()
+    return any(folded[:n] == folded[-n:] for n in range(1, len(folded))) and " " in literal
+
+
+def extract_mentions(docs: DataFrame, aliases=MENTIONS, allow_self_overlap: bool = False) -> DataFrame:
     """Dictionary mentions with offsets; longer literals win over shorter ones that they overlap.
 
     All literals are one alternation, longest first, so a text is scanned as often for a
@@ -119,6 +124,9 @@ def extract_mentions(docs: DataFrame, aliases=MENTIONS) -> DataFrame:
     """
     ordered = sorted(aliases, key=lambda a: -len(a.literal))
     literals = [a.literal for a in ordered]
+    wrong = [x for x in literals if _overlaps_itself(x)]
+    if wrong and not allow_self_overlap:
+        raise ValueError(f"literals that can overlap themselves: {wrong}")
     first = {a.literal.lower(): a for a in reversed(ordered)}
     known = F.create_map(*[F.lit(x) for key, a in first.items() for x in (key, f"{a.label}\t{a.entity_id}")])
     pattern = "(?iu)(?:" + "|".join(_branch(x, literals[:n]) for n, x in enumerate(literals)) + ")"
