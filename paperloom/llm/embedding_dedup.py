@@ -13,7 +13,7 @@ from paperloom.llm.graphs import components
 from paperloom.session import materialize
 
 SHARDS, SHARD_BYTES, BLOCK_QUERIES = 8, 32 << 20, 16_384
-BEAM, AUDITED, RECALL = 32, 128, 0.99
+BEAM, AUDITED, RECALL = 32, 128, 0.98
 
 
 def unit_vector(values: list | None) -> np.ndarray | None:

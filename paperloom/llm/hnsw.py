@@ -18,13 +18,15 @@ class Graph:
 
     def to_bytes(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, entry=self.entry, neighbours=np.array(self.neighbours))
+        levels = {f"level{n}": links.astype(np.int32) for n, links in enumerate(self.neighbours)}
+        np.savez(out, vectors=self.vectors, entry=self.entry, **levels)
         return out.getvalue()
 
     @staticmethod
     def from_bytes(raw: bytes) -> "Graph":
         kept = np.load(io.BytesIO(raw))
-        return Graph(kept["vectors"], list(kept["neighbours"]), int(kept["entry"]))
+        levels = [kept[f"level{n}"].astype(np.int64) for n in range(len(kept.files) - 2)]
+        return Graph(kept["vectors"], levels, int(kept["entry"]))
 
 
 def beam_search(near: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -103,6 +105,24 @@ def _link_back(near: np.ndarray, level: np.ndarray, new: np.ndarray) -> None:
         level[some] = diverse(near, np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1), LINKS)
 
 
+def _all_reached(near: np.ndarray, level: np.ndarray, entry: int) -> np.ndarray:
+    """The bottom level with a further link to every vector that no walk from the entry would reach."""
+    while True:
+        reached, front = np.zeros(len(near), bool), np.array([entry])
+        while len(front):
+            reached[front] = True
+            front = np.unique(level[front])
+            front = front[front >= 0]
+            front = front[~reached[front]]
+        lost = np.flatnonzero(~reached)
+        if not len(lost):
+            return level
+        hosts = beam_search(near, level, near[lost], np.full((len(lost), 1), entry), BUILD_BEAM)[0][:, 0]
+        extra = np.full((len(near), 1), -1)
+        extra[hosts, 0] = lost
+        level = np.hstack((level, extra))
+
+
 def build(vectors: np.ndarray, seed: int = 0) -> Graph:
     """A graph of unit vectors, inserted in a random order, some hundred at a time."""
     n, rng = len(vectors), np.random.default_rng(seed)
@@ -132,6 +152,7 @@ def build(vectors: np.ndarray, seed: int = 0) -> Graph:
                 levels[level][members] = diverse(near, np.take_along_axis(every, rank, 1), np.take_along_axis(scores, rank, 1), LINKS)
                 _link_back(near, levels[level], members)
             entries = ids[:, : min(4, ids.shape[1])]
+    levels[0] = _all_reached(near, levels[0], entry)
     return Graph(vectors, levels, entry)
 
 
