@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from contextlib import contextmanager
@@ -34,9 +36,15 @@ def unboxed(df: DataFrame, columns: list[str], **outputs) -> DataFrame:
 
 
 def worker_state(key: str, make):
-    """An object that a Python worker makes once and keeps for its later tasks."""
-    kept = sys.modules.setdefault("paperloom_worker_state", types.ModuleType("paperloom_worker_state")).__dict__
+    """An object that a Python worker makes once and keeps for its later tasks, until another operator's replaces it."""
+    kept = sys.modules.setdefault("paperloom_worker_state", types.ModuleType("paperloom_worker_state")).__dict__.setdefault("kept", {})
     if key not in kept:
+        if kept:
+            kept.clear()
+            gc.collect()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:  # hand freed memory back, as the worker lives on
+                trim(0)
         kept[key] = make()
     return kept[key]
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from paperloom.llm.common import boxed, bucket_of, unboxed
+from paperloom.llm.common import boxed, bucket_of, small_batches, unboxed
 from paperloom.llm.words import ALNUM, mixed, word_blocks
 from paperloom.session import materialize
 
@@ -254,19 +254,10 @@ def _unit_contexts(sample: DataFrame, wanted: np.ndarray | None = None, least_te
     return sample.select("text", "toxic").mapInArrow(scan, UNIT_COUNTS)
 
 
-def fit_toxicity(
-    docs: DataFrame, labels: DataFrame, held_out: int = 5, text: str = "text",
-    toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE,
+def _fitted_model(
+    docs: DataFrame, labels: DataFrame, held_out: int, text: str,
+    toxic_sample: int, clean_sample: int,
 ) -> Model:
-    """Learn insulting words, word beginnings and pattern weights.
-
-    Only documents whose id's crc32 is not divisible by ``held_out`` are used, of these at
-    most ``toxic_sample`` and ``clean_sample``, those with the smallest id hash. A unit
-    insults if it is 100 times as frequent in toxic texts, and doubtfully so from 8 times on;
-    the likelihood ratio against equal frequency must be beyond chance. A document with several labels
-    counts as toxic if one says so; null labels are left out. Without labels the fixed words
-    and prior weights remain.
-    """
     marks = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     marks = marks.where(bucket_of(F.col("doc_id"), held_out) != 0).withColumn("order", F.xxhash64("doc_id"))
     bounds = ((1, toxic_sample), (0, clean_sample))
@@ -308,6 +299,23 @@ def fit_toxicity(
     return Model(codes, classes, weights)
 
 
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, held_out: int = 5, text: str = "text",
+    toxic_sample: int = TOXIC_SAMPLE, clean_sample: int = CLEAN_SAMPLE,
+) -> Model:
+    """Learn insulting words, word beginnings and pattern weights.
+
+    Only documents whose id's crc32 is not divisible by ``held_out`` are used, of these at
+    most ``toxic_sample`` and ``clean_sample``, those with the smallest id hash. A unit
+    insults if it is 100 times as frequent in toxic texts, and doubtfully so from 8 times on;
+    the likelihood ratio against equal frequency must be beyond chance. A document with several labels
+    counts as toxic if one says so; null labels are left out. Without labels the fixed words
+    and prior weights remain.
+    """
+    with small_batches(docs.sparkSession):
+        return _fitted_model(docs, labels, held_out, text, toxic_sample, clean_sample)
+
+
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 from 0.5 on).
 

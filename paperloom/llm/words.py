@@ -11,6 +11,8 @@ from typing import Iterator, NamedTuple
 import numpy as np
 import pyarrow as pa
 
+from paperloom.llm.common import worker_state
+
 BLOCK = 1 << 19
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -58,19 +60,17 @@ def utf8_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, np.uint8)), offsets
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    size = 1 << max(BLOCK, n - 1).bit_length() - 1 if n <= BLOCK else 1 << (n - 1).bit_length()
-    if size not in _powers:
+    """Powers of an odd number and of its inverse modulo 2^64, at least ``n`` of them."""
+    tables = worker_state("word powers", dict)
+    size = max(BLOCK, n)
+    if size not in tables:
         inverse = np.uint64(pow(int(_STEP), -1, 1 << 64))
         up, down = np.full(size, _STEP), np.full(size, inverse)
         up[0] = down[0] = 1
-        _powers.clear()
-        _powers[size] = np.cumprod(up), np.cumprod(down)
-    return _powers[size]
+        tables.clear()
+        tables[size] = np.cumprod(up), np.cumprod(down)
+    return tables[size]
 
 
 def _piece(data: np.ndarray, lo: int, hi: int, cuts: np.ndarray, inside: np.ndarray):
