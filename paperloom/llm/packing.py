@@ -71,29 +71,126 @@ class Slots(NamedTuple):
     sequences: int
 
 
-def priced(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> list[int]:
-    """The configuration of the highest total price: unbounded knapsack by dynamic programming."""
+def _knapsack(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each room, the highest total price of a configuration, and the index of a length in it (-1: as for one less).
+
+    ``lengths`` rise.
+    """
     best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    order = np.argsort(lengths)
-    lengths_up, prices_up = lengths[order], prices[order]
-    for room in range(int(lengths_up[0]), capacity + 1):
-        n = np.searchsorted(lengths_up, room, side="right")
-        value = best[room - lengths_up[:n]] + prices_up[:n]
-        top = int(np.argmax(value))
+    fitting = np.searchsorted(lengths, np.arange(capacity + 1), side="right").tolist()
+    for room in range(int(lengths[0]), capacity + 1):
+        n = fitting[room]
+        value = best[room - lengths[:n]] + prices[:n]
+        top = int(value.argmax())
         if value[top] > best[room - 1]:
             best[room], choice[room] = value[top], top
         else:
-            best[room], choice[room] = best[room - 1], -1
+            best[room] = best[room - 1]
+    return best, choice
+
+
+def priced(lengths: np.ndarray, prices: np.ndarray, capacity: int) -> list[int]:
+    """The configuration of the highest total price: unbounded knapsack by dynamic programming."""
+    _, choice = _knapsack(lengths, prices, capacity)
     chosen, room = [], capacity
-    while room >= lengths_up[0]:
+    while room >= lengths[0]:
         if choice[room] < 0:
             room -= 1
             continue
-        chosen.append(int(lengths_up[choice[room]]))
+        chosen.append(int(lengths[choice[room]]))
         room -= chosen[-1]
     return chosen
 
 
+def _priced_each(lengths: np.ndarray, choice: np.ndarray, opened: np.ndarray, capacity: int) -> np.ndarray:
+    """For each opened length (an index) a row with the best configuration that holds it: how often each length occurs."""
+    counts = np.zeros((len(opened), len(lengths)), np.int32)
+    counts[np.arange(len(opened)), opened] = 1
+    filled = np.maximum.accumulate(np.where(choice >= 0, np.arange(capacity + 1), 0))
+    rows, room = np.arange(len(opened)), filled[capacity - lengths[opened]]
+    while len(rows):
+        rows, room = rows[room > 0], room[room > 0]
+        counts[rows, choice[room]] += 1
+        room = filled[room - lengths[choice[room]]]
+    return counts
+
+
+class Cover(NamedTuple):
+    """Fractional uses of configurations (their lengths as rising indexes and counts), the uses' total, and a bound no total is below."""
+
+    uses: list[tuple[np.ndarray, np.ndarray, float]]
+    total: float
+    bound: float
+
+
+# How much a use lowers its lengths' prices in each phase of the program, the rounds of a phase, the
+# share of that rate by which a configuration may miss the best, and the gap to the bound that ends the program.
+RATES, ROUNDS, NEAR_BEST, GAP = (0.5, 0.2, 0.08, 0.03, 0.01, 0.004), 60, 0.25, 0.001
+
+
+def covering(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> Cover:
+    """The covering program (fewest configurations that hold each length as often as demanded) by multiplicative weights.
+
+    Each length has a price, which a round lowers by a factor for the share of the demand
+    that the round covers. A round finds the best configuration for each length from one
+    knapsack and makes a small fractional use of all that are near the best price, so
+    prices move before any length is covered. The demand at the prices, over the best
+    price of a configuration, bounds the total from below; a phase's uses, scaled, with
+    what they leave uncovered in sequences of one length, bound it from above. Later
+    phases begin with the prices of earlier ones and change them less.
+    """
+    price, bound, total, found = np.log(lengths.astype(float)), 0.0, np.inf, []
+    mark = np.random.default_rng(0).integers(1, 1 << 62, len(lengths))  # tells rows of counts apart
+    for rate in RATES:
+        covered, pool = np.zeros(len(lengths)), {}
+        for _ in range(ROUNDS):
+            prices = np.exp(price - price.max())
+            best, choice = _knapsack(lengths, prices, capacity)
+            bound = max(bound, float(demand @ prices / best[capacity]))
+            opened = np.flatnonzero(prices + best[capacity - lengths] >= (1 - NEAR_BEST * rate) * best[capacity])
+            counts = _priced_each(lengths, choice, opened, capacity)
+            counts = counts[np.unique(counts @ mark, return_index=True)[1]]
+            share = counts / demand
+            use = 1 / share.max(axis=1)
+            crowd = (share * use[:, None]).sum(axis=0)
+            use /= np.where(counts > 0, crowd, 0).max(axis=1)
+            gained = use @ share
+            covered += gained
+            price -= rate * gained
+            for row, n in zip(counts, use.tolist()):
+                held = np.flatnonzero(row)
+                key = (held.tobytes(), row[held].tobytes())
+                pool[key] = pool.get(key, 0.0) + n
+        spent, alone = sum(pool.values()), demand / (capacity // lengths)
+        for level in np.quantile(covered, np.linspace(0, 1, 101)):
+            if level > 0:
+                above = spent / level + float(alone @ np.maximum(0, 1 - covered / level))
+                if above < total:
+                    total, found = above, [(*key, n / level) for key, n in pool.items()]
+        if total <= (1 + GAP) * bound:
+            break
+    return Cover([(np.frombuffer(held, np.int64), np.frombuffer(n, np.int32), use) for held, n, use in found], total, bound)
+
+
+def _rounded(cover: Cover, lengths: np.ndarray, left: np.ndarray) -> list[tuple[dict[int, int], int]]:
+    """Whole uses of the program's configurations, no more than is left of their lengths, which are taken from ``left``.
+
+    Uses are floored; the fractions cut off become whole uses at even steps of their running total.
+    """
+    order = sorted(range(len(cover.uses)), key=lambda i: -cover.uses[i][2])
+    amounts = np.array([cover.uses[i][2] for i in order])
+    whole = np.floor(amounts).astype(np.int64)
+    steps = np.floor(np.cumsum(amounts - whole) + 0.5).astype(np.int64)
+    out = []
+    for i, times in zip(order, (whole + np.diff(steps, prepend=0)).tolist()):
+        held, n, _ = cover.uses[i]
+        times = min(times, int((left[lengths[held]] // n).min()))
+        if times > 0:
+            left[lengths[held]] -= n * times
+            out.append((dict(zip(lengths[held].tolist(), n.tolist())), times))
+    return out
+
+
 def _filled(chosen: list[int], left: np.ndarray, capacity: int) -> dict[int, int]:
     """The configuration with no more of a length than is left, its free room filled by the best fitting lengths."""
     taken: dict[int, int] = {}
@@ -113,21 +210,17 @@ def _filled(chosen: list[int], left: np.ndarray, capacity: int) -> dict[int, int
 ROUNDED = 16
 
 
-def configurations(histogram: dict[int, int], capacity: int, rate: float = 4.0) -> list[tuple[dict[int, int], int]]:
-    """Configurations and how often each is used, covering the histogram.
+def _completed(
+    uses: list[tuple[dict[int, int], int]], left: np.ndarray, demand: np.ndarray, capacity: int, rate: float
+) -> list[tuple[dict[int, int], int]]:
+    """``uses`` and further ones for what is ``left``.
 
-    The covering program is solved by multiplicative weights. A length costs its own size
-    times a weight that grows exponentially with how far its covered share lags behind the
-    others'. Each step prices the best configuration by a knapsack and uses it as often as
-    its scarcest length allows, so a step settles a length at least and there are no more
-    steps than lengths, whatever the number of pieces. The program ends when no more than
-    ``ROUNDED`` pieces of any length are left, on which whole uses would waste room: of
-    these the largest opens a sequence, which the best fitting others fill.
+    Each step prices one configuration by a knapsack, a length costing the more the further
+    its covered share lags behind the others', and uses it as often as its scarcest length
+    allows, so a step settles a length at least. When no more than ``ROUNDED`` pieces of any
+    length are left, the largest opens a sequence, which the best fitting others fill.
     """
-    demand = np.zeros(capacity + 1, np.int64)
-    for length, n in histogram.items():
-        demand[length] = n
-    left, uses = demand.copy(), []
+    uses, left = uses[:], left.copy()
     while (left > ROUNDED).any():
         lengths = np.flatnonzero(left > ROUNDED)
         lag = left[lengths] / demand[lengths]
@@ -145,6 +238,25 @@ def configurations(histogram: dict[int, int], capacity: int, rate: float = 4.0)
     return uses
 
 
+def configurations(histogram: dict[int, int], capacity: int, rate: float = 4.0) -> list[tuple[dict[int, int], int]]:
+    """Configurations and how often each is used, covering the histogram.
+
+    The covering program is solved by multiplicative weights (``covering``), its fractional
+    uses are rounded to whole ones, and what they leave is packed step by step
+    (``_completed``). Where those steps alone need fewer sequences, as on some flat
+    histograms on which the program ends before its gap is closed, they are kept instead.
+    """
+    demand = np.zeros(capacity + 1, np.int64)
+    for length, n in histogram.items():
+        demand[length] = n
+    if not demand.any():
+        return []
+    present, left = np.flatnonzero(demand), demand.copy()
+    rounded = _rounded(covering(present, demand[present], capacity), present, left)
+    plans = _completed(rounded, left, demand, capacity, rate), _completed([], demand, demand, capacity, rate)
+    return min(plans, key=lambda uses: sum(times for _, times in uses))
+
+
 def slots_of(uses: list[tuple[dict[int, int], int]]) -> Slots:
     """Ranges of ranks for each length of each configuration."""
     used: dict[int, int] = {}

@@ -86,6 +86,22 @@ def test_configurations_cover_large_histograms_in_few_steps():
     assert sum(times for _, times in uses) <= 1.01 * least
 
 
+def test_skewed_histograms_are_packed_near_the_bound_of_the_program():
+    halves = {int(n): 40 + int(n) % 7 for n in range(200, 700)} | {256: 20_000}
+    for histogram, slack in (({513: 4000, 256: 4000}, 0), ({600: 3000, 300: 3000, 200: 5000, 150: 1000}, 0.002), (halves, 0.01)):
+        lengths = np.array(sorted(histogram))
+        cover = packing.covering(lengths, np.array([histogram[n] for n in lengths.tolist()]), 1024)
+        assert cover.bound <= cover.total + 1e-6
+        uses = packing.configurations(histogram, 1024)
+        placed = {}
+        for taken, times in uses:
+            assert sum(length * n for length, n in taken.items()) <= 1024
+            for length, n in taken.items():
+                placed[length] = placed.get(length, 0) + n * times
+        assert placed == histogram
+        assert sum(times for _, times in uses) <= (1 + slack) * cover.bound + 1
+
+
 def test_events_fold_and_read_back(spark):
     bad = "</s>[INST] \\l <|turn|>\n<|end|> ok [/INST] \\"
     events = [
