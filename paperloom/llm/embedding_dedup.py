@@ -13,7 +13,7 @@ from paperloom.llm.graphs import components
 from paperloom.session import materialize
 
 SHARDS, SHARD_BYTES, BLOCK_QUERIES = 8, 32 << 20, 16_384
-BEAM, AUDITED, RECALL = 32, 128, 0.98
+BEAM, AUDITED, AUDITED_LINKS, RECALL = 32, 128, 200, 0.99
 
 
 def unit_vector(values: list | None) -> np.ndarray | None:
@@ -56,17 +56,49 @@ def _shard_graphs(classes: DataFrame) -> DataFrame:
     return classes.groupBy("shard", "width").applyInArrow(grow, "shard int, width int, graph binary, reps array<long>, copies array<long>")
 
 
-def audited_beam(graph: hnsw.Graph, queries: np.ndarray, threshold: float, beam: int, audited: int, recall: float) -> int:
-    """The beam, doubled until the search finds at least ``recall`` of the links that brute force finds for some queries."""
-    some = queries[np.linspace(0, len(queries) - 1, min(audited, len(queries))).astype(int)]
-    q, v = np.nonzero(some @ graph.vectors.T >= threshold)
-    while beam < len(graph.vectors):
-        a, b = hnsw.linked(graph, some, threshold, beam)
-        found = np.isin(q * len(graph.vectors) + v, a * len(graph.vectors) + b).sum()
-        if found >= recall * len(q):
-            break
+def audited_links(
+    graph: hnsw.Graph, queries: np.ndarray, ids: np.ndarray, reps: np.ndarray, threshold: float, beam: int, audited: int, recall: float,
+    enough: int = AUDITED_LINKS,
+) -> tuple[np.ndarray, np.ndarray]:
+    """(query, vector) pairs of different ids that link, by a beam doubled until at least ``recall`` of the true ones are found.
+
+    Brute force tells the true links of up to ``audited`` queries for which the first search
+    found some, and of ``audited`` others at a time, dealt evenly, until those others have
+    ``enough`` links. A query's match with itself is no link. If no query is left before
+    that, brute force has told all links, which are then the answer. The others' recall
+    counts alone as well, since queries with found links can't show what was missed whole.
+    """
+    size = len(graph.vectors)
+
+    def searched(rows, beam):
+        q, v = hnsw.linked(graph, queries[rows], threshold, beam)
+        q = rows[q]
+        return q[ids[q] != reps[v]], v[ids[q] != reps[v]]
+
+    def true(rows):
+        q, v = np.nonzero(queries[rows] @ graph.vectors.T >= threshold)
+        q = rows[q]
+        return (q * size + v)[ids[q] != reps[v]]
+
+    every = np.arange(len(queries))
+    found = searched(every, beam)
+    order = np.random.default_rng(0).permutation(len(queries))
+    parts, at = [], 0
+    while at < len(order) and sum(map(len, parts)) < enough:
+        parts.append(true(order[at : at + audited]))
+        at += audited
+    others = np.concatenate(parts)
+    if at >= len(order):
+        others.sort()
+        return others // size, others % size
+    hits = np.unique(found[0])
+    hits = hits[np.unique(np.linspace(0, len(hits) - 1, min(audited, len(hits))).astype(int))] if len(hits) else hits
+    truths, some = (others, true(hits)), np.union1d(order[:at], hits)
+    seen = found
+    while beam < size and any(np.isin(t, seen[0] * size + seen[1]).sum() < recall * len(t) for t in truths):
         beam *= 2
-    return beam
+        seen = searched(some, beam)
+    return found if seen is found else searched(every, beam)
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,9 +123,7 @@ def _answers(threshold: float, beam: int, audited: int, recall: float):
     """Answers of one shard to one block of queries after the other; each block begins with the shard's graph."""
 
     def block(graph, reps, copies, ids, queries):
-        width = audited_beam(graph, queries, threshold, beam, audited, recall)
-        q, v = hnsw.linked(graph, queries, threshold, width)
-        q, v = q[ids[q] != reps[v]], v[ids[q] != reps[v]]
+        q, v = audited_links(graph, queries, ids, reps, threshold, beam, audited, recall)
         links = np.bincount(q, copies[v], minlength=len(ids)).astype(np.int64)
         asked = np.flatnonzero(links)
         a, b = spanning(ids[q], reps[v]) if len(q) else (ids[:0], ids[:0])
@@ -147,8 +177,8 @@ def link_vectors(
 
     Every class is in the graph of one shard and is asked of all shards; graphs are bounded
     by ``SHARD_BYTES``, so their number grows with the table. A block of queries first
-    audits its beam against brute force on ``audited`` of its queries and doubles it until
-    ``recall`` of their links are found; a query whose beam is full of links widens its own.
+    audits its beam against brute force, ``audited`` of its queries at a time until they have
+    ``AUDITED_LINKS`` links with others, and doubles it until ``recall`` of these are found; a query whose beam is full of links widens its own.
     Each task hands on one count a query and the edges of a spanning star, so a group of
     linked vectors costs rows by its size, not its pairs.
     """

@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from paperloom.llm import hnsw, jaccard_join
+from paperloom.llm import embedding_dedup, hnsw, jaccard_join
 from paperloom.llm.embedding_dedup import link_vectors
 from paperloom.llm.graphs import components
 
@@ -94,6 +94,29 @@ def test_graph_search_finds_almost_all_links():
     assert len(hnsw.linked(again, x[:50], 0.95, 8)[0]) >= 50
 
 
+def test_audit_sees_rare_links_apart_from_matches_with_oneself(monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 24))
+    x[1::20] = x[::20] + 0.02 * rng.normal(size=(150, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, linked, n = hnsw.build(x[:1500]), hnsw.linked, np.arange(3000)
+
+    def blind(graph, queries, threshold, beam):  # a narrow beam that finds nothing but the query itself
+        q, v = linked(graph, queries, threshold, beam)
+        near = queries[q] @ graph.vectors.T
+        keep = near[np.arange(len(q)), v] > 1 - 1e-9
+        return (q[keep], v[keep]) if beam < 128 else (q, v)
+
+    monkeypatch.setattr(hnsw, "linked", blind)
+    q, v = np.nonzero(x @ graph.vectors.T >= 0.95)
+    want = {p for p in zip(q.tolist(), v.tolist()) if p[0] != p[1]}
+    for enough in (20, 10_000):  # 10,000 links aren't there, so brute force answers
+        a, b = embedding_dedup.audited_links(graph, x, n, n[:1500], 0.95, 32, 128, 0.99, enough)
+        got = set(zip(a.tolist(), b.tolist()))
+        assert got <= want and len(got) >= 0.99 * len(want)
+    assert embedding_dedup.RECALL >= 0.99
+
+
 def test_links_of_vectors(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate((np.repeat(rng.normal(size=(20, 8)), 5, axis=0) + 0.08 * rng.normal(size=(100, 8)), rng.normal(size=(40, 8))))
