@@ -126,13 +126,17 @@ def current_graph(spark: SparkSession, folder: str) -> DataFrame:
     return kg.merge_edges(rows)
 
 
-def dedupe_stream(stream: DataFrame, keys: list[str], time: str, ttl: timedelta, tie: str) -> DataFrame:
+def dedupe_stream(stream: DataFrame, keys: list[str], time: str, ttl: timedelta, tie: str, lateness: timedelta | None = None) -> DataFrame:
     """Drop repeats of a key inside the lifetime of the last row that went through.
 
     A row goes through if its key never did, or did so more than ``ttl`` ago. Rows of a key
     count in time order, ties by ``tie``; rows that come in a later batch than newer ones of
     their key are repeats. So the outcome does not depend on where batches are cut, as long as
     batches follow each other in time. The state of a key is one time, which the watermark evicts.
+
+    The watermark lies ``lateness`` (default: ``ttl``) behind the newest time of all keys in
+    earlier batches. Spark drops rows that are not newer than it, of any key, seen before or
+    not; so give the greatest lateness that files or polls out of time order may have.
     """
     lifetime = ttl // timedelta(microseconds=1)
 
@@ -152,5 +156,5 @@ def dedupe_stream(stream: DataFrame, keys: list[str], time: str, ttl: timedelta,
         state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
         yield rows.iloc[kept].drop(columns="_at")
 
-    timed = stream.withColumn("_at", F.unix_micros(F.col(time))).withWatermark(time, "0 seconds")
+    timed = stream.withColumn("_at", F.unix_micros(F.col(time))).withWatermark(time, f"{(ttl if lateness is None else lateness) // timedelta(microseconds=1)} microseconds")
     return timed.groupBy(*keys).applyInPandasWithState(passing, stream.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)

@@ -88,3 +88,16 @@ def test_repeats_pass_again_after_the_lifetime(spark, tmp_path, cuts):
         sp.poll_once(stream, sp.keyed_writer(out), mark)
     # k passes on days 1, 9 (8 is exactly seven days later) and 17, z on day 2 only.
     assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 3, 5, 7]
+
+
+@pytest.mark.parametrize("lateness, passed", [(None, "abcef"), (timedelta(days=30), "abcdef")])
+def test_late_rows_and_equal_times_of_other_keys_pass(spark, tmp_path, lateness, passed):
+    """One file a batch: c is late by less than the lifetime, d by more, e ties with the newest time; the late a is a repeat."""
+    landing, out, mark = (str(tmp_path / n) for n in ("landing", "out", "mark"))
+    os.makedirs(landing)
+    for number, (key, day) in enumerate([("a", 20), ("b", 21), ("c", 15), ("d", 2), ("e", 21), ("a", 18), ("b", 28), ("f", 28)]):
+        row = pd.DataFrame({"key": [key], "at": pd.to_datetime([f"2024-01-{day:02d}"]).tz_localize("UTC"), "n": [number]})
+        row.to_parquet(f"{landing}/{number}.parquet", coerce_timestamps="us")
+        stream = sp.dedupe_stream(sp.stream_table(spark, landing, "*.parquet"), ["key"], "at", timedelta(days=7), "n", lateness)
+        sp.poll_once(stream, sp.keyed_writer(out), mark)
+    assert "".join(sorted(r.key for r in spark.read.parquet(out).collect())) == passed
