@@ -15,13 +15,15 @@ from paperloom.llm.embedding_dedup import link_vectors
 from paperloom.llm.jaccard_join import similar_documents
 from paperloom.llm.language_id import fit_languages, identify_languages
 from paperloom.llm.line_dedup import drop_shared_lines
+from paperloom.llm.numeric_queries import QUERIES as NUMERIC_QUERIES
+from paperloom.llm.numeric_queries import SQL as NUMERIC_SQL
 from paperloom.llm.packing import pack_documents
 from paperloom.llm.toxicity import fit_toxicity, score_toxicity
 from paperloom.llm.url_rules import judge_urls
 from paperloom.session import fresh_folder
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(NUMERIC_QUERIES)
+SQL: dict[str, str] = dict(NUMERIC_SQL)
 
 
 def _query(name: str, sql: str | None = None):
