@@ -8,7 +8,8 @@ from paperloom.catalog.registry import register, table, with_ctes
 from paperloom.functions import text as tx
 from paperloom.functions.ranking import shown
 from paperloom.operators import triples as tp
-from paperloom.session import materialize
+from paperloom.plans import graph_merge as gm
+from paperloom.session import fresh_folder, materialize
 
 ORDER = (
     "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax "
@@ -315,3 +316,76 @@ def relation_conflicts(spark, folder):
         )
 
     return tp.relation_conflicts(assertions("confidence >= 0.7", "a"), assertions("confidence < 0.7", "b"))
+
+
+# Edges that other loaders left: one for each relation between customers and orders, of sure, unsure and no confidence.
+SEED_EXPRESSIONS = (
+    "'S' || CAST(o_custkey % 10 AS STRING) AS subject",
+    "CASE o_orderstatus WHEN 'F' THEN 'activates' WHEN 'O' THEN 'inhibits' ELSE 'subunit_of' END AS predicate",
+    "'P' || CAST(o_orderkey % 50 AS STRING) AS object",
+)
+SEED = f"""seed AS (
+  SELECT subject, predicate, object, CASE WHEN least_key % 2 = 0 THEN CAST(least_key AS STRING) ELSE '' END AS pmid,
+    CASE least_key % 3 WHEN 0 THEN 0.9::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS confidence, n
+  FROM (SELECT subject, predicate, object, min(o_orderkey) AS least_key, count(*) AS n FROM (SELECT o_orderkey, {', '.join(SEED_EXPRESSIONS)} FROM orders) GROUP BY 1, 2, 3))"""
+STORED_DECIDED = DECIDED.replace("won AS (SELECT *, first(predicate)", """sure AS (
+  SELECT subject, object, CASE predicate WHEN 'inhibits' THEN 'activates' ELSE predicate END AS pair, min(predicate) AS least, max(predicate) AS most
+  FROM seed WHERE confidence >= 0.7 GROUP BY 1, 2, 3),
+won AS (SELECT a.*, CASE WHEN least <> most THEN '' ELSE coalesce(least, first_one) END AS winner FROM (SELECT *, first(predicate)""").replace(
+    "ORDER BY seq) AS winner FROM accepted)", "ORDER BY seq) AS first_one FROM accepted) a LEFT JOIN sure s ON s.subject = a.subject AND s.object = a.object AND s.pair = a.pair)"
+).replace("THEN winner END AS existing_predicate", "THEN CASE predicate WHEN 'activates' THEN 'inhibits' ELSE 'activates' END END AS existing_predicate")
+STORED_CHAIN = (RAW, FIRST, VALID, SEED, STORED_DECIDED)
+
+
+def seed_edges(spark, folder):
+    """The same edges, as another loader stores them: without a list of evidence papers."""
+    named = table(spark, folder, "orders").select("o_orderkey", *[F.expr(e) for e in SEED_EXPRESSIONS])
+    found = named.groupBy("subject", "predicate", "object").agg(F.min("o_orderkey").alias("least_key"), F.count("*").alias("evidence_count"))
+    third, empty = F.col("least_key") % 3, F.lit("")
+    return found.select(
+        "subject", "predicate", "object", F.upper("predicate").alias("rel_type"), "evidence_count",
+        F.when(third == 0, 0.9).when(third == 1, 0.5).alias("confidence"), F.lit("loaded").alias("evidence"),
+        F.lit(None).cast("string").alias("first_paper"), F.lit(None).cast("string").alias("last_paper"), empty.alias("paper_doi"),
+        F.when(F.col("least_key") % 2 == 0, F.col("least_key").cast("string")).otherwise(empty).alias("paper_pmid"),
+        F.lit("curated").alias("extraction_method"), F.lit("2024-01-01").alias("created"), F.lit(None).cast("array<string>").alias("evidence_papers"),
+    )
+
+
+@register("stored_decisions", "E23", with_ctes(*STORED_CHAIN, select="""
+SELECT paper, subject, predicate, object, status, reason, existing_predicate FROM decided""").replace("STRING", "VARCHAR"))
+def stored_decisions(spark, folder):
+    firsts = tp.dedupe_triples(raw_triples(spark, folder))
+    validated = materialize(tp.validate_triples(firsts, known_entities(spark)), "validated")
+    return tp.decide_triples(validated, seed_edges(spark, folder)).select(
+        "paper", "subject", "predicate", "object", "status", "reason", "existing_predicate"
+    )
+
+
+def merged_in_runs(spark, folder, runs=4):
+    """The store after the lines of the orders have come in ``runs`` batches, in ranges of their order keys."""
+    store = gm.graph_store(spark, fresh_folder(spark, "graph"), buckets=8)
+    gm.adopt_edges(store, seed_edges(spark, folder), batch_id=0)
+    firsts = tp.dedupe_triples(raw_triples(spark, folder))
+    validated = materialize(tp.validate_triples(firsts, known_entities(spark)), "validated")
+    key = F.col("paper").cast("long")
+    last = validated.agg(F.max(key)).first()[0] or 0
+    for run in range(runs):
+        part = validated.where((key > last * run // runs if run else F.lit(True)) & (key <= last * (run + 1) // runs))
+        gm.merge_batch(store, part, run + 1, known_entities(spark))
+    return store
+
+
+@register("stored_provenance", "E24", with_ctes(*STORED_CHAIN, """
+merged AS (
+  SELECT subject, predicate, object, max(confidence) AS confidence, arg_max(evidence, seq) AS evidence, arg_min(paper, seq) AS first_paper, arg_max(paper, seq) AS last_paper,
+    count(DISTINCT d.paper) FILTER (d.paper IS DISTINCT FROM s.pmid) AS added
+  FROM decided d LEFT JOIN (SELECT subject AS s, predicate AS p, object AS o, pmid FROM seed) s ON s.s = subject AND s.p = predicate AND s.o = object
+  WHERE status = 'merged' GROUP BY 1, 2, 3)""", select="""
+SELECT subject, predicate, object, upper(predicate) AS rel_type, CASE WHEN s.n IS NULL THEN 0 WHEN pmid <> '' THEN 1 ELSE s.n END + coalesce(added, 0) AS evidence_count,
+  greatest(m.confidence, s.confidence) AS confidence, coalesce(m.evidence, 'loaded') AS evidence,
+  CASE WHEN s.n IS NULL THEN first_paper WHEN pmid <> '' THEN pmid ELSE 'evidence:0' END AS first_paper,
+  coalesce(last_paper, CASE WHEN pmid <> '' THEN pmid ELSE 'evidence:' || (s.n - 1) END) AS last_paper,
+  CASE WHEN s.n IS NULL THEN 'heuristic_phase6' ELSE 'curated' END AS extraction_method
+FROM merged m FULL JOIN seed s USING (subject, predicate, object)""").replace("STRING", "VARCHAR"))
+def stored_provenance(spark, folder):
+    return merged_in_runs(spark, folder).read("edges").drop("paper_doi", "paper_pmid", "created")

@@ -235,10 +235,10 @@ def dedupe_triples(triples: DataFrame) -> DataFrame:
 
 
 def extract_triples(docs: DataFrame, rules=RULES, aliases=ALIASES) -> DataFrame:
-    """Triples per document, repeats removed."""
+    """Triples per document, repeats removed, in the order of documents, sentences and rules."""
     found = extract_sentence_triples(docs, rules, aliases).select(
         F.col("doc_id").alias("paper"), "sentence", "rule", "subject", "predicate", "object",
-        "confidence", "evidence", F.struct("sentence", "rule").alias("ord"),
+        "confidence", "evidence", F.struct("doc_id", "sentence", "rule").alias("ord"),
     )
     return dedupe_triples(found)
 
@@ -274,14 +274,18 @@ def _pair(predicate: Column) -> Column:
     return F.coalesce(F.least(predicate, opposite(predicate)), predicate)
 
 
-def decide_triples(validated: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def decide_triples(validated: DataFrame, existing: DataFrame | None = None, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Add ``status, reason``: rejected, merged or contradiction.
 
-    Within (subject, object, predicate pair) the earliest accepted predicate wins, later
-    opposite ones are contradictions. The winner is found by an aggregate with partial
-    results and joined back, so a pair that holds a third of all triples never has to
-    pass through one window. ``existing(subject, predicate, object)`` are accepted edges
-    of earlier runs and come before everything.
+    Triples are taken in order. One contradicts if an edge with the opposite predicate is
+    there whose confidence is at least ``min_confidence``; else it merges, and its edge then
+    has that confidence. So of a (subject, object, predicate pair) the stored predicate that
+    is sure from the beginning wins, without one the earliest accepted triple's, and where both are sure
+    every triple contradicts. ``existing(subject, predicate, object, confidence)`` are the
+    edges of earlier runs and other loaders; no confidence means zero, no such column sure edges.
+
+    The winner is found by an aggregate with partial results and joined back, so a pair that
+    holds a third of all triples never has to pass through one window.
     """
     accepted = validated.where("valid").withColumn("pair", _pair(F.col("predicate")))
     winners = accepted.groupBy("subject", "object", "pair").agg(
@@ -290,21 +294,24 @@ def decide_triples(validated: DataFrame, existing: DataFrame | None = None) -> D
     if existing is not None:
         # Only pairs that come up again matter, so the stored edges are cut down before grouping.
         touched = accepted.select("subject", "object", "pair").distinct()
+        sure = existing.where(F.col("confidence") >= min_confidence) if "confidence" in existing.columns else existing
         earlier = (
-            existing.withColumn("pair", _pair(F.col("predicate")))
+            sure.withColumn("pair", _pair(F.col("predicate")))
             .join(touched, ["subject", "object", "pair"], "left_semi")
             .groupBy("subject", "object", "pair")
-            .agg(F.min("predicate").alias("earlier"))
+            .agg(F.min("predicate").alias("least"), F.max("predicate").alias("most"))
         )
+        both = F.lit("")  # no triple has this predicate, so all of them clash
         winners = winners.join(earlier, ["subject", "object", "pair"], "left").select(
-            "subject", "object", "pair", F.coalesce("earlier", "winner").alias("winner")
+            "subject", "object", "pair",
+            F.when(F.col("least") != F.col("most"), both).otherwise(F.coalesce("least", "winner")).alias("winner"),
         )
     clash = F.col("predicate") != F.col("winner")
     decided = accepted.join(winners, ["subject", "object", "pair"]).select(
         *[c for c in validated.columns if c not in ("reason", "valid")],
         F.when(clash, F.lit("contradiction")).otherwise(F.lit("merged")).alias("status"),
         F.when(clash, F.lit(CONTRADICTS)).otherwise(F.lit("")).alias("reason"),
-        F.when(clash, F.col("winner")).alias("existing_predicate"),
+        F.when(clash, opposite(F.col("predicate"))).alias("existing_predicate"),
     )
     rejected = validated.where(~F.col("valid")).select(
         *[c for c in validated.columns if c not in ("reason", "valid")],
@@ -334,33 +341,104 @@ def evidence_papers(decided: DataFrame) -> DataFrame:
     )
 
 
+EDGE_SCHEMA = (
+    "subject string, predicate string, object string, rel_type string, evidence_count long, confidence double, evidence string, "
+    "first_paper string, last_paper string, paper_doi string, paper_pmid string, extraction_method string, created string"
+)
+EDGE = ["subject", "predicate", "object"]
+
+
 def merge_provenance(decided: DataFrame) -> DataFrame:
     """One row per merged edge: evidence count, best confidence, latest evidence and paper."""
-    per_paper = (
+    return _per_edge(_per_paper(decided)).drop("paper_doi", "paper_pmid").withColumn("rel_type", F.upper("predicate")).withColumn(
+        "extraction_method", F.lit(METHOD)
+    )
+
+
+def _per_paper(decided: DataFrame) -> DataFrame:
+    """One row per merged edge and paper, with what its last triple says."""
+    told = [F.col(c) if c in decided.columns else F.lit("").alias(c) for c in ("paper_doi", "paper_pmid")]
+    return (
         decided.where("status = 'merged'")
-        .groupBy("subject", "predicate", "object", "paper")
+        .select(*EDGE, "paper", "confidence", "ord", "evidence", *told)
+        .groupBy(*EDGE, "paper")
         .agg(
             F.max("confidence").alias("confidence"),
-            F.max(F.struct("ord", "evidence")).alias("last"),
+            F.max(F.struct("ord", "evidence", "paper_doi", "paper_pmid")).alias("last"),
             F.min("ord").alias("first"),
         )
     )
-    return per_paper.groupBy("subject", "predicate", "object").agg(
-        F.count("*").alias("evidence_count"),
-        F.max("confidence").alias("confidence"),
-        F.max_by("last.evidence", "last.ord").alias("evidence"),
-        F.max_by("paper", "last.ord").alias("last_paper"),
-        F.min_by("paper", "first").alias("first_paper"),
-    ).withColumn("rel_type", F.upper("predicate")).withColumn("extraction_method", F.lit(METHOD))
+
+
+def _per_edge(per_paper: DataFrame, *more: Column) -> DataFrame:
+    last = F.max_by(F.struct("last.evidence", "last.paper_doi", "last.paper_pmid", "paper"), "last.ord")
+    found = per_paper.groupBy(*EDGE).agg(
+        F.count("*").alias("evidence_count"), F.max("confidence").alias("confidence"), last.alias("last"), F.min_by("paper", "first").alias("first_paper"), *more
+    )
+    names = [c for c in found.columns if c not in (*EDGE, "last")]
+    return found.select(
+        *EDGE, *names, "last.evidence", F.col("last.paper").alias("last_paper"), F.coalesce("last.paper_doi", F.lit("")).alias("paper_doi"),
+        F.coalesce("last.paper_pmid", F.lit("")).alias("paper_pmid"),
+    )
+
+
+def adopted_edges(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of other loaders as stored ones, and their evidence papers as rows.
+
+    ``evidence_papers`` is a list or null. Without a list an edge stands on its pmid, else its
+    doi, else on as many unnamed papers as it counts.
+    """
+    named = F.coalesce(F.when(F.col("paper_pmid") != "", F.col("paper_pmid")), F.when(F.col("paper_doi") != "", F.col("paper_doi")))
+    numbers = F.when(F.col("evidence_count") > 0, F.sequence(F.lit(0).cast("long"), F.col("evidence_count") - 1))
+    unnamed = F.transform(numbers, lambda i: F.concat(F.lit("evidence:"), i.cast("string")))
+    none = F.array().cast("array<string>")
+    listed = F.array_distinct(F.coalesce("evidence_papers", F.when(named.isNotNull(), F.array(named)), unnamed, none))
+    told = edges.withColumn("evidence_papers", listed)
+    kept = told.withColumns({
+        "evidence_count": F.size("evidence_papers").cast("long"), "first_paper": F.get("evidence_papers", F.lit(0)),
+        "last_paper": F.get("evidence_papers", F.size("evidence_papers") - 1),
+    }).drop("evidence_papers")
+    return kept, told.select(*EDGE, F.explode("evidence_papers").alias("paper"))
+
+
+def merge_stored_provenance(decided: DataFrame, existing: DataFrame, papers: DataFrame, created: Column) -> tuple[DataFrame, DataFrame]:
+    """Stored edges with the merged triples of a run, and the evidence papers that the run adds.
+
+    ``existing`` has the columns of ``EDGE_SCHEMA``; ``papers(subject, predicate, object,
+    paper)`` are the stored evidence papers, or those among them that the run names again. A
+    count grows by the papers that are new to the edge, the best confidence stays, evidence,
+    doi and pmid are those of the last triple, first paper, method and time of creation
+    those of the first. Edges without new triples come back as they are. So runs one after
+    the other give what one run over all their triples gives, wherever it is cut between papers.
+    """
+    marked = _per_paper(decided).join(papers.select(*EDGE, "paper").distinct().withColumn("known", F.lit(True)), [*EDGE, "paper"], "left")
+    new = _per_edge(marked, F.count_if(F.col("known").isNull()).alias("added")).drop("evidence_count")
+    both = existing.alias("o").join(new.alias("n"), EDGE, "full")
+
+    def later(column):
+        return F.coalesce(F.col(f"n.{column}"), F.col(f"o.{column}")).alias(column)
+
+    def earlier(column, otherwise):
+        return F.coalesce(F.col(f"o.{column}"), otherwise).alias(column)
+
+    edges = both.select(
+        *EDGE, earlier("rel_type", F.upper("predicate")), (F.coalesce("o.evidence_count", F.lit(0)) + F.coalesce("n.added", F.lit(0))).alias("evidence_count"),
+        F.greatest("o.confidence", "n.confidence").alias("confidence"), later("evidence"), earlier("first_paper", F.col("n.first_paper")), later("last_paper"),
+        later("paper_doi"), later("paper_pmid"), earlier("extraction_method", F.lit(METHOD)), earlier("created", created),
+    )
+    return edges, marked.where("known IS NULL").select(*EDGE, "paper")
 
 
 def hypothesis(subject: Column, predicate: Column, obj: Column) -> Column:
     return F.concat_ws(" ", subject, F.lower(predicate), obj)
 
 
-def contradiction_records(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
+def contradiction_records(decided: DataFrame, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges that model every contradiction.
 
+    ``existing(subject, predicate, object, evidence)`` are stored edges, whose evidence
+    describes an old hypothesis that no triple of this run had renewed before the clash.
+
     Nodes ``(label, key, props)``: both disputed hypotheses and the contradiction itself.
     Edges ``(src_label, src_key, rel_type, dst_label, dst_key, props)``: the two
     hypotheses contradict each other and the new one is supported by the paper.
@@ -375,22 +453,24 @@ def contradiction_records(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     merged = decided.where("status = 'merged'").select(
         "subject", "object", F.col("predicate").alias("existing_predicate"), "evidence", "ord"
     )
-    old = (
-        last.join(merged, ["subject", "object", "existing_predicate"])
-        .where(F.col("ord") < F.col("until"))
-        .groupBy("old_name")
-        .agg(F.max_by("evidence", "ord").alias("description"))
-    )
-    new = clashes.groupBy("new_name").agg(F.max_by("evidence", "ord").alias("description"))
+    disputed = ["subject", "object", "existing_predicate"]
+    renewed = F.col("ord") < F.col("until")
+    old = last.join(merged, disputed).where(renewed).groupBy("old_name", "until").agg(F.max_by("evidence", "ord").alias("description"))
+    old = old.withColumnRenamed("until", "at")
+    if existing is not None:
+        stored = existing.select("subject", "object", F.col("predicate").alias("existing_predicate"), F.col("evidence").alias("stored"))
+        named = last.join(stored, disputed, "left").select("old_name", F.col("until").alias("at"), "stored")
+        old = named.join(old.drop("at"), "old_name", "left").select("old_name", F.coalesce("description", "stored", F.lit("")).alias("description"), "at")
+    new = clashes.groupBy("new_name").agg(F.max_by("evidence", "ord").alias("description"), F.max("ord").alias("at"))
+    # Where both predicates were sure, a hypothesis may be the new one of one clash and the old one of another: the last clash tells.
+    told = new.withColumnRenamed("new_name", "name").unionByName(old.withColumnRenamed("old_name", "name"))
+    told = told.groupBy("name").agg(F.max_by("description", "at").alias("description"))
 
     def node(df, label, key, **props):
         entries = [x for name, value in props.items() for x in (F.lit(name), value.cast("string"))]
         return df.select(F.lit(label).alias("label"), key.alias("key"), F.create_map(*entries).alias("props"))
 
-    hypotheses = [
-        node(df, "Hypothesis", F.col(name), name=F.col(name), description=F.col("description"), status=F.lit("disputed"))
-        for df, name in ((new, "new_name"), (old, "old_name"))
-    ]
+    hypotheses = node(told, "Hypothesis", F.col("name"), name=F.col("name"), description=F.col("description"), status=F.lit("disputed"))
     clash_id = tx.hex_id(F.sha1(F.concat_ws("|", "new_name", "old_name", "evidence")), 16)
     clash_rows = (
         clashes.withColumn("id", clash_id)
@@ -402,9 +482,10 @@ def contradiction_records(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
         object_id=F.col("object"), new_predicate=F.col("predicate"), existing_predicate=F.col("existing_predicate"),
         evidence=F.col("evidence"), paper_doi=F.col("paper"),
     )
-    nodes = hypotheses[0].unionByName(hypotheses[1]).unionByName(contradictions)
+    nodes = hypotheses.unionByName(contradictions)
 
-    pairs = clashes.select("new_name", "old_name").distinct()
+    pairs = clashes.select("new_name", "old_name")
+    pairs = pairs.union(pairs.select("old_name", "new_name")).distinct()
     reason = F.create_map(F.lit("reason"), F.lit(OPPOSING))
 
     def edge(df, src, rel, dst_label, dst, props):
@@ -416,7 +497,6 @@ def contradiction_records(decided: DataFrame) -> tuple[DataFrame, DataFrame]:
     support = clashes.groupBy("new_name", "paper").agg(F.max_by("evidence", "ord").alias("evidence"))
     edges = (
         edge(pairs, "new_name", "CONTRADICTS", "Hypothesis", "old_name", reason)
-        .unionByName(edge(pairs, "old_name", "CONTRADICTS", "Hypothesis", "new_name", reason))
         .unionByName(edge(support, "new_name", "SUPPORTS", "Paper", "paper", F.create_map(F.lit("evidence"), F.col("evidence"))))
     )
     return nodes, edges

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from paperloom.operators import graph as kg
 from paperloom.operators import structure as st
 from paperloom.operators import triples as tp
+from paperloom.plans.graph_merge import graph_store, merge_batch, paper_nodes
+from paperloom.session import materialize
+from paperloom.sources.bucket_store import BucketStore
 
 
 def stream_papers(
@@ -82,48 +84,54 @@ def keyed_writer(folder: str):
     return write
 
 
-def ingest_writer(folder: str, rules=tp.RULES, aliases=tp.ALIASES, entities: DataFrame | None = None):
-    """Sink that chunks a batch of papers ``(doc_id, text, path)`` and writes its triples and graph.
+def ingest_graph(spark: SparkSession, folder: str, buckets: int | None = None) -> BucketStore:
+    """The graph of an ingest folder."""
+    return graph_store(spark, f"{folder}/graph", buckets)
 
-    Edges of earlier batches come first when contradictions are decided. Results of a batch
-    are keyed by ``batch_id``; one writer per folder.
+
+def ingest_writer(
+    folder: str, rules=tp.RULES, aliases=tp.ALIASES, entities: DataFrame | None = None, chunks: bool = True, buckets: int | None = None,
+):
+    """Sink that chunks a batch of papers ``(doc_id, text, path)`` and merges its triples into the stored graph.
+
+    Triples whose sides ``entities(normalized_id, label)`` (default: those of the aliases) don't
+    hold are rejected. Edges stored by earlier batches come first when contradictions are
+    decided, and their provenance is carried on. Chunks and decided triples are kept by
+    ``batch_id``, where a retried batch overwrites itself; the graph's tables change in one
+    commit, which is also what makes a batch count (``ingested``). One writer per folder.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        store = ingest_graph(spark, folder, buckets)
+        if batch_id <= store.last_batch():
+            return
         docs = st.normalize_text(batch)
-        st.chunk_papers(docs).write.mode("overwrite").parquet(f"{folder}/chunks/batch_id={batch_id}")
+        if chunks:
+            st.chunk_papers(docs).write.mode("overwrite").parquet(f"{folder}/chunks/batch_id={batch_id}")
         known = entities
         if known is None:
-            ids = sorted({a.entity_id for a in aliases})
-            known = spark.createDataFrame([(i,) for i in ids], "normalized_id string")
-        checked = tp.validate_triples(tp.extract_triples(docs, rules, aliases), known)
-        earlier = _earlier_edges(spark, f"{folder}/edges", batch_id)
-        decided = tp.decide_triples(checked, earlier)
-        decided.drop("ord").write.mode("overwrite").parquet(f"{folder}/triples/batch_id={batch_id}")
-        merged = tp.merge_provenance(decided).withColumn("seq", F.lit(batch_id).cast("long"))
-        merged.write.mode("overwrite").parquet(f"{folder}/edges/batch_id={batch_id}")
+            labels = {a.entity_id: a.label for a in reversed(aliases)}
+            known = spark.createDataFrame(sorted(labels.items()), "normalized_id string, label string")
+        checked = materialize(tp.validate_triples(tp.extract_triples(docs, rules, aliases), known), "validated")
+        merge_batch(store, checked, batch_id, known, paper_nodes(batch), f"{folder}/triples/batch_id={batch_id}")
 
     return write
 
 
-def _earlier_edges(spark: SparkSession, folder: str, batch_id: int) -> DataFrame | None:
-    """Accepted edges of earlier batches; none before the first."""
-    if batch_id == 0:
-        return None
-    stored = spark.read.parquet(folder)
-    return stored.where(F.col("batch_id") < batch_id).select("subject", "predicate", "object").distinct()
+def ingested(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """``chunks`` or ``triples`` of the batches that are committed."""
+    return spark.read.parquet(f"{folder}/{name}").where(F.col("batch_id") <= ingest_graph(spark, folder).last_batch())
 
 
 def current_graph(spark: SparkSession, folder: str) -> DataFrame:
     """Merged edges over all batches, as an edge table with the latest properties."""
-    edges = spark.read.parquet(f"{folder}/edges")
-    rows = edges.select(
+    edges = ingest_graph(spark, folder).read("edges")
+    props = [x for name in ("evidence", "confidence", "evidence_count") for x in (F.lit(name), F.col(name).cast("string"))]
+    return edges.select(
         F.lit("Entity").alias("src_label"), F.col("subject").alias("src_key"), F.col("rel_type"),
-        F.lit("Entity").alias("dst_label"), F.col("object").alias("dst_key"),
-        F.create_map(F.lit("evidence"), F.col("evidence")).alias("props"), "seq",
+        F.lit("Entity").alias("dst_label"), F.col("object").alias("dst_key"), F.create_map(*props).alias("props"),
     )
-    return kg.merge_edges(rows)
 
 
 def dedupe_stream(stream: DataFrame, keys: list[str], time: str, ttl: timedelta, tie: str, lateness: timedelta | None = None) -> DataFrame:
