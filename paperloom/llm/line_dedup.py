@@ -18,18 +18,29 @@ def line_keys(text: Column) -> Column:
     return F.transform(keys, lambda key: F.when(key != "", F.unhex(F.md5(key.cast("binary")))))
 
 
+def _in_documents(docs: DataFrame, shared: DataFrame, keys: Column, min_documents: int) -> DataFrame:
+    """The keys ``(key, n)`` that enough different documents hold, where some ids have several rows."""
+    repeated = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    rows = docs.join(materialize(repeated, "repeated-ids"), "doc_id", "left_semi").select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
+    again = rows.join(shared.select("key"), "key", "left_semi").groupBy("key", "doc_id").agg((F.count("*") - 1).alias("more")).where("more > 0")
+    often = again.groupBy("key").agg(F.sum("more").alias("more"))
+    return shared.join(often, "key", "left").select("key", (F.col("n") - F.coalesce("more", F.lit(0))).alias("n")).where(F.col("n") >= min_documents)
+
+
 def drop_shared_lines(docs: DataFrame, text: str = "text", min_documents: int = 10) -> DataFrame:
     """``docs`` with the shared lines taken out of ``text``, plus ``n_lines`` (before) and ``n_dropped``.
 
     A line's key is the line without blanks at both ends, A-Z lower-cased. Keys found in at
     least ``min_documents`` documents lose all their lines in every document.
 
-    Every row is a document of its own: repeated rows count as often as they occur and get
-    equal results. A null or empty text has one empty line and becomes an empty text. Blank
-    lines stay. Columns called ``n_lines`` or ``n_dropped`` are replaced, all others stay.
+    Rows with one ``doc_id`` are one document, however many they are; without that column, or
+    with a null in it, every row is a document of its own. A null or empty text has one empty
+    line and becomes an empty text. Blank lines stay. Columns called ``n_lines`` or
+    ``n_dropped`` are replaced, all others stay.
 
-    Each document adds a key once, so counting needs no distinct pass and a line of every
-    document is summed before the shuffle. The table of shared keys is stored, which leaves
+    Each row adds a key once, so counting needs no distinct pass and a line of every
+    document is summed before the shuffle; what rows of a repeated id count too much, for keys
+    that pass at all, is taken off again. The table of shared keys is stored, which leaves
     the join's both sides plain shuffles that adaptive execution can split where a key is
     hot. Texts are shuffled once, by a digest of the whole row's text and id.
     """
@@ -40,9 +51,12 @@ def drop_shared_lines(docs: DataFrame, text: str = "text", min_documents: int =
     shared = (
         keyed.select(F.explode(F.array_distinct("keys")).alias("key"))
         .where("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
-        .where(F.col("n") >= min_documents).select("key")
+        .where(F.col("n") >= min_documents)
     )
     shared = materialize(shared, "shared-lines")
+    if "doc_id" in docs.columns:
+        shared = materialize(_in_documents(docs, shared, line_keys(whole), min_documents), "shared-lines")
+    shared = shared.select("key")
     found = (
         keyed.select("row_key", F.posexplode("keys").alias("position", "key")).where("key IS NOT NULL")
         .join(shared, "key", "left_semi")

@@ -200,56 +200,86 @@ def _fitted(x: np.ndarray, y: np.ndarray, spread: float = 3.0) -> np.ndarray:
 
 
 UNIT_COUNTS = "unit long, toxic_texts long, toxic_contexts long, clean_contexts long"
+HELD = 1 << 21
 
 
-def _unit_contexts(sample: DataFrame, wanted: np.ndarray | None = None, least_texts: int = 0) -> DataFrame:
-    """For each unit, in how many toxic texts it stands, and after how many different words in toxic and clean texts.
+class _Distinct:
+    """Distinct 64-bit keys of many blocks. No more than twice ``HELD`` keys lie beside the distinct ones."""
+
+    def __init__(self):
+        self.keys, self.new, self.waiting = np.zeros(0, np.uint64), [], 0
+
+    def add(self, keys: np.ndarray) -> None:
+        self.new.append(np.unique(keys))
+        self.waiting += len(self.new[-1])
+        if self.waiting > HELD:
+            self.merge()
+
+    def merge(self) -> np.ndarray:
+        fresh, self.new, self.waiting = np.unique(np.concatenate((*self.new, self.keys[:0]))), [], 0
+        fresh = fresh[~np.isin(fresh, self.keys, assume_unique=True)]
+        self.keys = np.concatenate((self.keys, fresh))
+        self.keys.sort()
+        return self.keys
 
-    Counting contexts, not occurrences, keeps the words of a text with many copies from
-    looking like insults; the count of texts rules out what only one long text repeats.
-    Only ``wanted`` units are counted, if given, and a task leaves out what fewer than
-    ``least_texts`` of its toxic texts hold.
-    """
 
-    def distinct(keys):
-        return np.unique(np.concatenate(keys), return_index=True)[1]
+def _blocks(batch: pa.RecordBatch, seen: int):
+    """For each block the numbers of the texts of its words, their labels, the words before, and the units column by column."""
+    labels = batch.column(1).to_numpy(zero_copy_only=False) > 0
+    for data, w in word_blocks(batch.column(0), ALNUM):
+        if len(w.start):
+            row = np.repeat(np.arange(w.first, w.last), np.diff(w.bounds))
+            before = mixed(np.concatenate((np.zeros(1, np.uint64), w.hash[:-1])))
+            for unit in _units(data, w.start, w.end, w.hash).T:
+                yield (row + seen).astype(np.uint64), labels[row], before, unit
+
+
+def _spread_units(toxic: DataFrame, least_texts: int) -> DataFrame:
+    """Units that at least ``least_texts`` texts of a task hold."""
 
     def scan(batches):
-        texts, contexts, owners, marks, seen = [], [], [], [], 0
+        units, counts, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
-            labels = batch.column(1).to_numpy(zero_copy_only=False).astype(np.uint64)
-            for data, w in word_blocks(batch.column(0), ALNUM):
-                if not len(w.start):
-                    continue
-                row = np.repeat(np.arange(w.first, w.last), np.diff(w.bounds))
-                text = mixed((row + seen + 1).astype(np.uint64))
-                before = mixed(np.concatenate((np.zeros(1, np.uint64), w.hash[:-1])))
-                for unit in _units(data, w.start, w.end, w.hash).T:
-                    full = np.flatnonzero(unit if wanted is None else np.isin(unit, wanted))
-                    in_text, in_context = mixed(unit[full] ^ text[full]), mixed(unit[full] ^ before[full])
-                    _, first = np.unique(in_text, return_index=True)
-                    _, other = np.unique(in_context & ~np.uint64(1) | labels[row[full]], return_index=True)
-                    kept = np.union1d(first, other)
-                    texts.append(in_text[kept])
-                    contexts.append(in_context[kept])
-                    owners.append(unit[full[kept]])
-                    marks.append(labels[row[full[kept]]] > 0)
+            for text, _, _, unit in _blocks(batch, seen):
+                full = np.flatnonzero(unit)
+                once = full[np.unique(mixed(unit[full] ^ mixed(text[full] + np.uint64(1))), return_index=True)[1]]
+                held, n = np.unique(unit[once], return_counts=True)
+                every, at = np.unique(np.concatenate((units, held)), return_inverse=True)
+                counts = np.bincount(at, np.concatenate((counts, n)), len(every)).astype(np.int64)
+                units = every
             seen += len(batch)
-        if owners:
-            owner, mark = np.concatenate(owners), np.concatenate(marks)
-            unit, of = np.unique(owner, return_inverse=True)
-            by_text = distinct(texts)
-            by_context = distinct([np.concatenate(contexts) & ~np.uint64(1) | mark.astype(np.uint64)])
+        yield pa.RecordBatch.from_arrays([pa.array(units[counts >= least_texts].view(np.int64))], names=["unit"])
 
-            def count(rows):
-                return pa.array(np.bincount(of[rows], minlength=len(unit)))
+    return toxic.select("text", "toxic").mapInArrow(scan, "unit long")
 
-            toxic_texts = np.bincount(of[by_text[mark[by_text]]], minlength=len(unit))
-            full = toxic_texts >= least_texts
-            yield pa.RecordBatch.from_arrays(
-                [c.filter(pa.array(full)) for c in (pa.array(unit.view(np.int64)), pa.array(toxic_texts), count(by_context[mark[by_context]]), count(by_context[~mark[by_context]]))],
-                names=[c.split()[0] for c in UNIT_COUNTS.split(", ")],
-            )
+
+def _unit_contexts(sample: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """For each wanted unit, in how many toxic texts it stands, and after how many different words in toxic and clean texts.
+
+    Counting contexts, not occurrences, keeps the words of a text with many copies from
+    looking like insults; the count of texts rules out what only one long text repeats. A
+    task holds eight bytes for each different (unit, text) and (unit, word before), whose hash keeps 32 bits.
+    """
+
+    def scan(batches):
+        texts, contexts, seen = _Distinct(), _Distinct(), 0
+        for batch in batches:
+            for text, toxic, before, unit in _blocks(batch, seen):
+                at = np.searchsorted(wanted, unit)
+                at[at == len(wanted)] = 0
+                full = np.flatnonzero(wanted[at] == unit) if len(wanted) else at[:0]
+                owner, mark = at[full].astype(np.uint64), toxic[full]
+                texts.add(owner[mark] << np.uint64(32) | text[full[mark]])
+                contexts.add(owner << np.uint64(33) | before[full] >> np.uint64(32) << np.uint64(1) | mark.astype(np.uint64))
+            seen += len(batch)
+        by_text, by_context = texts.merge() >> np.uint64(32), contexts.merge()
+        marked = (by_context & np.uint64(1)).astype(bool)
+        owner = (by_context >> np.uint64(33)).astype(np.int64)
+        counts = [np.bincount(rows, minlength=len(wanted)) for rows in (by_text.astype(np.int64), owner[marked], owner[~marked])]
+        full = np.flatnonzero(sum(counts))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c[full]) for c in (wanted.view(np.int64), *counts)], names=[c.split()[0] for c in UNIT_COUNTS.split(", ")]
+        )
 
     return sample.select("text", "toxic").mapInArrow(scan, UNIT_COUNTS)
 
@@ -268,8 +298,8 @@ def _fitted_model(
     sample = materialize(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "toxic"), "labelled-texts").coalesce(4)
     sums = [F.sum(c).alias(c) for c in ("toxic_texts", "toxic_contexts", "clean_contexts")]
     # Five texts in four tasks are two in one of them; the sample bounds how many units that can be.
-    spread = _unit_contexts(sample.where("toxic = 1"), least_texts=2).select("unit").distinct().toPandas()
-    wanted = np.sort(spread["unit"].to_numpy(np.int64)).view(np.uint64)
+    spread = _spread_units(sample.where("toxic = 1"), least_texts=2).distinct().toPandas()
+    wanted = np.sort(spread["unit"].to_numpy(np.int64).view(np.uint64))
     counted = materialize(_unit_contexts(sample, wanted).groupBy("unit").agg(*sums), "units")
     units = _seed_units()
     total = counted.agg(F.sum("toxic_contexts").alias("t"), F.sum("clean_contexts").alias("c")).first()

@@ -4,9 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from tokenizers import Tokenizer
+
 from paperloom.llm import bitpack, chat, packing, url_rules
 from paperloom.llm.tokens import Encoder
 from paperloom.session import fresh_folder
@@ -18,9 +21,17 @@ TEXTS = ["Hello  world\n\nagain", "", None, "é 日本\t x\u2003y <|endoftext|>"
 def test_pieces_give_the_ids_of_whole_texts(name):
     rng = random.Random(2)
     texts = [t or "" for t in TEXTS] + ["".join(rng.choice(["a", "B", " ", "  ", "\n", "\t", "é", "1", ".", "'s", "\u0301", "\r"]) for _ in range(40)) for _ in range(300)]
-    encode = Encoder(name)
-    whole = [np.array(e.ids, "<u4").tobytes() for e in encode.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["".join(rng.choice(["<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "<|", " ", "a", "_", ",", '"', "É", "\u0301", "7", "\u0130", "\u03a3", "\u212a", "!", ":"]) for _ in range(12)) for _ in range(600)]
+    texts += [f"a <|endoftext|> b", "x_,y foo\",bar dog's, (1.5) 3,000; ÀÉ? ߀, 中文, Ⅷ."]
+    encode, fresh = Encoder(name), plain(name)
+    whole = [np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert encode(texts) == whole and encode(texts) == whole
+    assert fresh.token_to_id("<|endoftext|>") in fresh.encode(texts[-2], add_special_tokens=False).ids
+
+
+def plain(name):
+    """The library's tokenizer as loaded, with no setting changed."""
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 32])
@@ -37,8 +48,8 @@ def test_token_file_reads_back(spark):
     path = fresh_folder(spark, "tokens")
     bitpack.write_tokens(spark.createDataFrame(rows, "doc_id long, text string, part string"), path, "word_bpe_49k.json", block_ids=16)
     out = bitpack.read_tokens(spark, path).orderBy("start").collect()
-    encode = Encoder("word_bpe_49k.json")
-    want = {(d, c + np.uint32(2).tobytes()) for (d, _, _), c in zip(rows, encode([t or "" for _, t, _ in rows]))}
+    fresh = plain("word_bpe_49k.json")
+    want = {(d, np.array([*fresh.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes()) for d, t, _ in rows}
     assert {(r.doc_id, bytes(r.ids)) for r in out} == want and len(out) == len(rows)
     assert [r.doc_id for r in out] == sorted((d for d, _, _ in rows), key=lambda d: (d is not None, d))
     stream = np.concatenate([np.frombuffer(r.ids, "<u4") for r in out])
@@ -55,7 +66,8 @@ def test_packing_fills_sequences_without_gaps(spark):
     rows = [(i, t, 1) for i, t in enumerate(TEXTS)] + [(100 + i, " ".join("abcde"[: rng.randrange(1, 5)] for _ in range(rng.randrange(1, 90))), 1) for i in range(80)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, piece int")
     out = packing.pack_documents(docs, "byte_bpe_50k.json", capacity=64).collect()
-    codes = [c + np.uint32(2).tobytes() for c in Encoder("byte_bpe_50k.json")([t or "" for _, t, _ in rows])]
+    fresh = plain("byte_bpe_50k.json")
+    codes = [np.array([*fresh.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for _, t, _ in rows]
     for (doc_id, _, _), code in zip(rows, codes):
         mine = sorted((r for r in out if r.doc_id == doc_id), key=lambda r: r.piece)
         assert b"".join(bytes(r.ids) for r in mine) == code

@@ -26,6 +26,17 @@ def words_of(text):
     return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, f"shared\nown {i}") for i in range(9)] + [(2, "shared"), (3, "other\nshared"), (4, "other"), (None, "other"), (None, "other")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least, gone in ((3, {"shared", "other"}), (4, {"other"}), (5, set())):
+        out = drop_shared_lines(docs, min_documents=least).collect()
+        want = sorted("\n".join(line for line in t.split("\n") if line not in gone) for _, t in rows)
+        assert sorted(r.text for r in out) == want
+    alone = drop_shared_lines(docs.select("text"), min_documents=11).collect()
+    assert sum(r.n_dropped for r in alone) == 11  # without ids every row counts
+
+
 def test_windows_are_found_as_by_brute_force(spark):
     long_item = " ".join(f"w{i}" for i in range(14))
     items = [(1, long_item), (2, "Only Four words é"), (3, None), (4, "--"), (None, "a b c d e f g h i j"), (5, long_item)]
