@@ -1,4 +1,8 @@
+import os
 import re
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -37,3 +41,15 @@ def test_spark_and_sql_agree(spark, name):
     df = query.build(spark, FOLDER)
     assert sorted(df.columns) == sorted(columns)
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, result.fetchall())
+
+
+@pytest.mark.parametrize("left", ["nothing", "empty folder"])
+def test_the_rest_works_without_the_corpus_operators(tmp_path, left):
+    """The entry point in a copy without the operators for corpora, with their pipeline still there."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "tests", "llm", "__pycache__"))
+    if left == "empty folder":
+        (copy / "paperloom" / "llm").mkdir()
+    code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 100 and 'pipeline' not in q"
+    subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env={**os.environ, "PYTHONPATH": str(copy)})
