@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as tx
 from paperloom.functions import vectors as vx
 from paperloom.functions.ranking import ranked
-from paperloom.operators.slices import SCORES_AT_ONCE, TermSlice, best_by_terms, best_rows, meet_in_slices
+from paperloom.operators.slices import Asked, Running, TermChunk, best_by_terms, meet_in_slices, result, work_by_terms
 from paperloom.session import materialize
 
 # Ranking constants whose results must stay the same.
@@ -42,6 +42,10 @@ class TermIndex(NamedTuple):
     lengths: DataFrame
 
 
+# Every document has one posting of this term, which no text holds.
+EVERY = ""
+
+
 # ---------------------------------------------------------------- sparse index
 
 
@@ -59,6 +63,16 @@ def build_postings(docs: DataFrame, only_terms: DataFrame | None = None) -> Data
     return words.groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def asked_index(docs: DataFrame, terms: DataFrame) -> TermIndex:
+    """A stored index of ``terms(term)`` alone, with all lengths, from one reading of the texts."""
+    cut = docs.select("doc_id", tx.tokens(F.col("text")).alias("words"))
+    words = tx.exploded(cut, ["doc_id", F.size("words").cast("long").alias("doc_len")], F.concat("words", F.array(F.lit(EVERY))), "term")
+    marked = terms.unionByName(terms.sparkSession.createDataFrame([(EVERY,)], "term string"))
+    kept = words.join(marked, "term", "left_semi").groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
+    kept = materialize(kept, "postings")
+    return TermIndex(kept.where(F.col("term") != EVERY), kept.where(F.col("term") == EVERY).select("doc_id", "doc_len"))
+
+
 def build_index(docs: DataFrame, only_terms: DataFrame | None = None) -> TermIndex:
     return TermIndex(build_postings(docs, only_terms), document_lengths(docs))
 
@@ -94,31 +108,45 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def bm25_topk(queries: DataFrame, index: TermIndex, k: int = CANDIDATES) -> DataFrame:
-    """Best ``k`` documents per question by BM25.
-
-    Only postings of asked-for terms take part. They lie in slices of documents, each of
-    which scores every question and hands on its best ``k``, so a term that most questions
-    and documents hold makes no pairs.
-    """
+def _bm25_in_slices(queries: DataFrame, index: TermIndex, k: int, answer, schema: str) -> DataFrame:
     stats = corpus_stats(index)
     weighted = query_terms(queries).join(stats, "term").select(
         "query_id", "term", (F.col("qtf") * F.col("idf") * (BM25_K1 + 1.0)).alias("weight"), "avgdl"
     )
-    asked = weighted.groupBy("query_id", "avgdl").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights"))
+    asked = materialize(weighted.groupBy("query_id", "avgdl").agg(F.collect_list("term").alias("terms"), F.collect_list("weight").alias("weights")), "asked")
+
+    def chunk(postings: pa.Table, asked: Asked) -> TermChunk:
+        mean = asked.table.column("avgdl")[0].as_py()
+        count, length = (postings.column(c).to_numpy().astype(float) for c in ("tf", "doc_len"))
+        return TermChunk(postings, asked.vocabulary, count / (count + BM25_K1 * (1.0 - BM25_B + BM25_B * length / mean)))
+
+    return meet_in_slices(index.postings, asked, _term_bytes(k), partial(Asked, k=k), chunk, answer, schema)
+
+
+def _term_bytes(k: int) -> Column:
+    return F.lit(8 * k + 200) + F.octet_length(F.array_join("terms", " "))
 
-    def scored(held: TermSlice, terms, question) -> np.ndarray:
-        saturation = held.count + BM25_K1 * (1.0 - BM25_B + BM25_B * held.length / question["avgdl"])
-        return held.sums(terms, question["weights"], held.count / saturation)
 
-    best = meet_in_slices(index.postings, asked, TermSlice, best_by_terms(scored, k), RANKED)
-    return ranked(best, ["query_id"], "score", ["doc_id"], k)
+def bm25_topk(queries: DataFrame, index: TermIndex, k: int = CANDIDATES) -> DataFrame:
+    """Best ``k`` documents per question by BM25.
+
+    Only postings of asked-for terms take part. They lie in slices of documents, which pass
+    by the questions chunk by chunk; what can't reach a question's ``k``-th best score so far
+    is skipped (``TermChunk.scores``), so a term that most questions and documents hold makes no pairs.
+    """
+    return ranked(_bm25_in_slices(queries, index, k, best_by_terms, RANKED), ["query_id"], "score", ["doc_id"], k)
+
+
+def bm25_work(queries: DataFrame, index: TermIndex, k: int = CANDIDATES) -> DataFrame:
+    """``(query_id, postings, looked_at)``: how many postings the terms of a question have, and how many ``bm25_topk`` looks at."""
+    work = _bm25_in_slices(queries, index, k, work_by_terms, "query_id long, postings long, looked_at long")
+    return work.groupBy("query_id").agg(F.sum("postings").alias("postings"), F.sum("looked_at").alias("looked_at"))
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """BM25 straight from documents: postings are limited to the question terms while scanning."""
     wanted = query_terms(queries).select("term").distinct()
-    return bm25_topk(queries, build_index(docs, wanted), k)
+    return bm25_topk(queries, asked_index(docs, wanted), k)
 
 
 # ---------------------------------------------------------------- vectors
@@ -162,30 +190,46 @@ def _unit_rows(lists: pd.Series, dimension: int) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _block_topk(queries: DataFrame, rows: DataFrame, to_unit, k: int, vectors: tuple[str, ...] = ("v",)) -> DataFrame:
+class _Vectors(NamedTuple):
+    """Unit vectors of questions by space, and their best scores so far."""
+
+    ids: np.ndarray
+    units: dict[str, np.ndarray]
+    running: dict[str, Running]
+
+
+# Scores of questions against documents that are formed at once, and bytes of dense rows that a chunk is cut into.
+SCORES_AT_ONCE, DENSE_BYTES = 2_000_000, 16 << 20
+
+
+def _block_topk(queries: DataFrame, rows: DataFrame, to_unit, k: int, dimension: int, vectors: tuple[str, ...] = ("v",)) -> DataFrame:
     """Exact top-k of ``rows(doc_id, *vectors)`` against ``queries(query_id, *vectors)``.
 
     Each named vector gives its own ranking, marked ``vector``, in one pass over the rows.
+    Rows lie in chunks in the form they came in and become unit vectors some megabytes at a time.
     """
 
-    def start(table: pa.Table):
-        return table.column("doc_id").to_numpy(), {name: to_unit(table.column(name).to_pandas()) for name in vectors}
+    def ask(questions: pa.Table) -> _Vectors:
+        ids = questions.column("query_id").to_numpy()
+        units = {name: to_unit(questions.column(name).to_pandas()) for name in vectors}
+        return _Vectors(ids, units, {name: Running(len(ids), k) for name in vectors})
 
-    def answer(state, questions: pa.Table) -> Iterator[pa.RecordBatch]:
-        ids, units = state
-        step = max(1, SCORES_AT_ONCE // max(1, len(ids)))
-        for at in range(0, len(questions), step):
-            block = questions.slice(at, step)
-            asked = block.column("query_id").to_numpy()
+    def answer(asked: _Vectors, table: pa.Table) -> Iterator[pa.RecordBatch]:
+        step = max(1, min(DENSE_BYTES // (8 * dimension), SCORES_AT_ONCE // max(1, len(asked.ids))))
+        for at in range(0, len(table), step):
+            some = table.slice(at, step)
+            ids = some.column("doc_id").to_numpy()
             for name in vectors:
-                scores = units[name] @ to_unit(block.column(name).to_pandas()).T
-                doc, query = np.nonzero(best_rows(scores, k))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(doc), pa.string()), pa.array(asked[query]), pa.array(ids[doc]), pa.array(scores[doc, query])],
-                    names=["vector", "query_id", "doc_id", "score"],
-                )
-
-    best = meet_in_slices(rows.select("doc_id", *vectors), queries.select("query_id", *vectors), start, answer, f"vector string, {RANKED}")
+                scores, found = asked.units[name] @ to_unit(some.column(name).to_pandas()).T, []
+                for q in np.flatnonzero(np.round(scores.max(axis=1), 9) >= np.maximum(asked.running[name].floor, 1e-9)):
+                    kept = asked.running[name].take(q, scores[q])
+                    found.append((np.full(len(kept), name, object), np.full(len(kept), asked.ids[q]), ids[kept], scores[q, kept]))
+                yield from result(found, ["vector", "query_id", "doc_id", "score"])
+
+    size = F.lit(len(vectors) * 8 * (dimension + k))
+    best = meet_in_slices(
+        rows.select("doc_id", *vectors), queries.select("query_id", *vectors), size, ask, lambda table, asked: table, answer, f"vector string, {RANKED}"
+    )
     return ranked(best, ["vector", "query_id"], "score", ["doc_id"], k)
 
 
@@ -198,6 +242,7 @@ def dense_topk(
         vectors.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v")),
         partial(_unit_rows, dimension=dimension),
         k,
+        dimension,
     ).drop("vector")
 
 
@@ -226,6 +271,7 @@ def sparse_lists(
         hashed(docs, "doc_id", "text"),
         partial(vx.count_matrix, dimension=dimension),
         k,
+        dimension,
         tuple(salts),
     )
 
@@ -421,14 +467,14 @@ def overlap_topk(queries: DataFrame, chunks: DataFrame, k: int = 8) -> DataFrame
     asked_words = tx.exploded(asked, ["query_id"], F.col("asked"), "word").select("word").distinct()
     cut = chunks.where(F.length("text") > 80).select("doc_id", tx.content_words(F.col("text")).alias("words"))
     words = tx.exploded(cut, ["doc_id", F.size("words").cast("long").alias("doc_len")], F.array_distinct("words"), "term")
-    postings = words.join(asked_words, words["term"] == asked_words["word"], "left_semi").withColumn("tf", F.lit(1).cast("long"))
+    postings = words.join(asked_words, words["term"] == asked_words["word"], "left_semi")
 
-    def shared(held: TermSlice, terms, question) -> np.ndarray:
-        overlap = held.sums(terms, np.ones(len(terms)), held.count)
-        return overlap * np.log(1.0 + len(terms)) / np.log(2.0 + held.doc_length)
+    def chunk(postings: pa.Table, asked: Asked) -> TermChunk:
+        return TermChunk(postings, asked.vocabulary, 1.0 / np.log(2.0 + postings.column("doc_len").to_numpy().astype(float)))
 
-    asked = asked.where(F.size("asked") > 0).withColumnRenamed("asked", "terms")
-    scored = meet_in_slices(postings, asked, TermSlice, best_by_terms(shared, k), RANKED)
+    worth = F.transform("asked", lambda _: F.log(1.0 + F.size("asked")))
+    asked = asked.where(F.size("asked") > 0).select("query_id", F.col("asked").alias("terms"), worth.alias("weights"))
+    scored = meet_in_slices(postings, asked, _term_bytes(k), partial(Asked, k=k), chunk, best_by_terms, RANKED)
     best = ranked(scored, ["query_id"], "score", ["doc_id"], k)
     return best.join(chunks.select("doc_id", "paper_id", "text"), "doc_id").select(
         "query_id",
@@ -477,14 +523,17 @@ def passage_truth(passages: DataFrame, docs: DataFrame) -> DataFrame:
 def _short_passages(passages: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs of texts and the few passages that are too short for an inner token, met in slices."""
 
-    def answer(texts: pa.Table, asked: pa.Table) -> Iterator[pa.RecordBatch]:
+    def answer(asked: pa.Table, texts: pa.Table) -> Iterator[pa.RecordBatch]:
         ids, text = texts.column("doc_id").to_numpy(), texts.column("text")
         for query_id, passage in zip(asked.column("query_id").to_pylist(), asked.column("query_text").to_pylist()):
             found = pc.fill_null(pc.match_substring(text, passage), False).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array([query_id] * int(found.sum()), pa.int64()), pa.array(ids[found])], names=["query_id", "doc_id"])
 
     asked = passages.where("query_text IS NOT NULL").select("query_id", "query_text")
-    return meet_in_slices(docs.select("doc_id", "text"), asked, lambda texts: texts, answer, "query_id long, doc_id long")
+    size = F.octet_length("query_text") + F.lit(16)
+    return meet_in_slices(
+        docs.select("doc_id", "text"), asked, size, lambda table: table, lambda table, asked: table, answer, "query_id long, doc_id long"
+    )
 
 
 def recall_at_k(ranking: DataFrame, truth: DataFrame, k: int = ANSWERS) -> DataFrame:
