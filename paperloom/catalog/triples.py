@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.catalog.registry import register, table, with_ctes
 from paperloom.functions import text as tx
 from paperloom.functions.ranking import shown
+from paperloom.operators import mentions as mn
 from paperloom.operators import triples as tp
 from paperloom.plans import graph_merge as gm
 from paperloom.session import fresh_folder, materialize
@@ -113,6 +114,24 @@ def entity_mentions(spark, folder):
     return found.withColumns({n: F.col(n).cast("long") for n in ("start", "end")})
 
 
+@register("dictionary_mentions", "E17", r"""
+WITH dictionary AS (
+  SELECT DISTINCT lower(w) AS low FROM (
+    SELECT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) AS w FROM benchmark UNION ALL SELECT unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) FROM conversations)),
+pieces AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS w FROM (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+') AS l FROM documents)),
+placed AS (SELECT doc_id, w, CAST(sum(length(w)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS stop FROM pieces)
+SELECT doc_id, stop - length(w) AS start, stop AS "end", w AS mention, CASE WHEN length(low) > 6 THEN 'Long' ELSE 'Short' END AS entity_type, 'W:' || low AS normalized_id
+FROM placed JOIN dictionary ON lower(w) = low""")
+def dictionary_mentions(spark, folder):
+    """Every word of questions and conversations as a dictionary of the documents."""
+    texts = table(spark, folder, "benchmark").select("text").unionByName(table(spark, folder, "conversations").select("text"))
+    words = tx.exploded(texts, [], F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)), "w").select(F.lower("w").alias("alias")).distinct()
+    aliases = words.select("alias", F.when(F.length("alias") > 6, "Long").otherwise("Short").alias("entity_type"), F.concat(F.lit("W:"), "alias").alias("normalized_id"))
+    docs = table(spark, folder, "documents", spread="doc_id").select("doc_id", "text")
+    return mn.dictionary_mentions(docs, aliases).withColumns({n: F.col(n).cast("long") for n in ("start", "end")})
+
+
 @register("entity_linking", "E18", """
 WITH m AS (
   SELECT CASE WHEN l_linenumber % 2 = 0 THEN '  ' || lower('S' || l_suppkey % 10) || ' ' ELSE 'P' || l_partkey % 50 END AS mention FROM lineitem)
