@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from paperloom.catalog.graph import raw_graph
+from paperloom.catalog import literature as papers
 from paperloom.catalog.registry import register, table, with_ctes
 from paperloom.catalog.retrieval import (
     BM25, LENGTHS, LIBRARY, POSTINGS, STATS, TOK, TOKEN_SQL, corpus, library, overlap_ctes,
 )
+from paperloom.catalog.triples import known_entities, raw_triples
 from paperloom.functions import text as tx
 from paperloom.functions.ranking import shown
 from paperloom.operators import answers as qa
 from paperloom.operators import graph as kg
+from paperloom.operators import literature as lit
 from paperloom.operators import retrieval as rt
-from paperloom.plans.answers import answer_questions
+from paperloom.operators import triples as tp
+from paperloom.plans.answers import answer_questions, search_and_answer
+from paperloom.plans.literature import literature_search
 from paperloom.session import materialize
 
 # The same expressions run in Spark and in the SQL twin.
@@ -93,7 +98,10 @@ local AS (
 
 
 def local_chunks(spark, folder):
-    found = rt.overlap_topk(asked(spark, folder), library(spark, folder))
+    return local_of(rt.overlap_topk(asked(spark, folder), library(spark, folder)))
+
+
+def local_of(found):
     return found.select(
         "query_id", F.concat_ws("-", F.lit("local"), F.col("rank").cast("string"), "paper_id").alias("doc_id"), "text", "paper_id",
         F.lit("Body").alias("section_path"), "score", "rank", "citation", F.lit("").alias("title"), F.lit("").alias("source_api"), F.lit("").alias("year"),
@@ -132,6 +140,8 @@ def topic_summaries(spark, folder):
     paths = kg.path_match(edges, ["Order", "PLACED_BY", "Customer", "LOCATED_IN", "Nation", "PART_OF", "Region"], {3: "2"})
     supplies = kg.one_hop(kg.merge_nodes(nodes), kg.merge_edges(edges.where("rel_type = 'SUPPLIES' AND dst_key = '1'")), "SUPPLIES")
     members = kg.members_per_group(edges, "LOCATED_IN", "Customer", "Nation").where("group = '3'")
+    some = kg.first_members(edges, "LOCATED_IN", "Customer", "Nation", 2).where("group = '4'").agg(F.min("member").alias("a"), F.max("member").alias("b"))
+    disputed = tp.disputed_pairs(tp.validate_triples(raw_triples(spark, folder), known_entities(spark))).agg(F.count("*").alias("n"))
     names = supplies.agg(F.min("src_name").alias("a"), F.max("src_name").alias("b"))
 
     def row(topic, df, summary):
@@ -142,7 +152,8 @@ def topic_summaries(spark, folder):
         .unionByName(row("variant_path", paths.agg(F.count("*").alias("n")), F.concat(F.col("n").cast("string"), F.lit(" order paths lead to region 2."))))
         .unionByName(row("drug_targets", names, F.concat(F.lit("Suppliers of part 1 include "), "a", F.lit(" and "), "b", F.lit("."))))
         .unionByName(row("complex", members, F.concat(F.lit("Nation 3 has "), F.col("members").cast("string"), F.lit(" customers in the KG."))))
-        .unionByName(row("pathway_members", members.agg(F.lit(1)), F.lit("KG query returned customer context.")))
+        .unionByName(row("pathway_members", some, F.concat(F.lit("Nation 4 has customers such as "), "a", F.lit(" and "), "b", F.lit("."))))
+        .unionByName(row("controversy", disputed, F.concat(F.col("n").cast("string"), F.lit(" relations are modeled as contradictory."))))
     )
 
 
@@ -151,7 +162,10 @@ CONTEXT = """summaries AS (
   UNION ALL SELECT 'variant_path', count(*) || ' order paths lead to region 2.' FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE n_regionkey = 2
   UNION ALL SELECT 'drug_targets', 'Suppliers of part 1 include ' || min(s_name) || ' and ' || max(s_name) || '.' FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_partkey = 1
   UNION ALL SELECT 'complex', 'Nation 3 has ' || count(*) || ' customers in the KG.' FROM customer WHERE c_nationkey = 3
-  UNION ALL SELECT 'pathway_members', 'KG query returned customer context.'),
+  UNION ALL SELECT 'pathway_members', 'Nation 4 has customers such as ' || min(k) || ' and ' || max(k) || '.' FROM (SELECT c_custkey::VARCHAR AS k FROM customer WHERE c_nationkey = 4 ORDER BY k LIMIT 2)
+  UNION ALL SELECT 'controversy', count(*) || ' relations are modeled as contradictory.' FROM (
+    SELECT l_suppkey % 10, l_partkey % 50 FROM lineitem WHERE l_linenumber <> 7 AND l_returnflag IN ('A', 'R') AND round(1 - 4 * l_discount, 2) >= 0.7 AND l_partkey % 50 < 48
+    GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) = 2)),
 context AS (
   SELECT query_id, t.topic, coalesce(summary, '') AS summary FROM (
     SELECT query_id, CASE WHEN contains(q, 'matrix') AND contains(q, 'count') THEN 'matrix_count' WHEN contains(q, 'm.3243') OR contains(q, 'melas') THEN 'variant_path'
@@ -454,3 +468,73 @@ def answered(spark, folder):
         .join(sources, "query_id", "left")
         .fillna(0, ["n_sources"])
     )
+
+
+# The whole pipeline: a hundred documents are what the services answer to the sub-questions of one question.
+WHOLE_SQL = """CASE number % 6 WHEN 0 THEN 'Which drug treats MELAS and ' || text || '??' WHEN 1 THEN 'How does mPTP in complex I ' || text || '?'
+    WHEN 2 THEN 'What recent papers cover ' || text || '?' WHEN 3 THEN 'Which protocol can ' || text WHEN 4 THEN 'Count matrix proteins near ' || text || '?' ELSE text END"""
+WHOLE = f"questions AS (SELECT number AS query_id, {WHOLE_SQL} AS query_text FROM (SELECT DISTINCT doc_id // 100 AS number FROM documents), benchmark, (SELECT count(*) AS n FROM benchmark) WHERE item_id = number % n)"
+SUBS = r"""subs AS (
+  SELECT query_id * 10 + sub_id::BIGINT AS query_id, regexp_replace(trim(query_text, ' ' || chr(10) || chr(9)), '\?+$', '') || ' ' || tail AS query_text FROM classes JOIN templates USING (query_type)),
+asked AS (SELECT query_id, query_text FROM subs)"""
+
+
+def of_sub_questions(part: str) -> str:
+    """The literature chain with sub-questions as its questions: answers of the landed payload n belong to sub-question n % 5 of question n // 5."""
+    part = part.replace("doc_id // 20 AS query_id", "doc_id // 100 * 10 + doc_id // 20 % 5 AS query_id").replace("query_id // 5 AS parent", "query_id // 10 AS parent")
+    return part.replace("web AS (", "lit AS (").replace("FROM web)", "FROM lit)")
+
+
+FOUND = (
+    *[of_sub_questions(part) for part in papers.MERGED if part is not papers.ASKED],
+    """web AS (
+  SELECT parent AS query_id, chunk_id AS doc_id, text, coalesce(pmid, doi, chunk_id) AS paper_id, 'Web > ' || source AS section_path, score, rank,
+    coalesce('[PMID:' || pmid || ']', '[doi:' || doi || ']', '[PMID:12345678]') AS citation, title, source AS source_api, coalesce(year::VARCHAR, '') AS year FROM merged)""",
+)
+WHOLE_CHUNKS = (
+    WHOLE, CLASSES, TEMPLATES, SUBS, *FOUND, TOK, QTOK, LENGTHS, POSTINGS, STATS, BM25, LIBRARY, overlap_ctes("SELECT query_id, query_text FROM questions"),
+    "local AS (" + CHUNKS[-1].split("local AS (")[1],
+)
+# Only questions whose sub-questions found something have web evidence; the chain of evidence, answers and audits is the same.
+WHOLE_ANSWERS = (*WHOLE_CHUNKS, *ANSWERS[len(CHUNKS):], ENTITY_VALUES, r"""hay AS (
+  SELECT query_id, lower(query_text || coalesce(' ' || t, '')) AS h FROM questions LEFT JOIN (
+    SELECT query_id, string_agg(text, ' ' ORDER BY side, rank) AS t FROM (SELECT query_id, 0 AS side, rank, text FROM local UNION ALL SELECT query_id, 1, rank, text FROM web) GROUP BY 1) USING (query_id)),
+entities AS (SELECT query_id, count(*) AS n_entities FROM hay, names WHERE contains(h, lower(mention)) GROUP BY 1),
+claimed AS (SELECT query_id, count(*) AS n_claims FROM evidence WHERE rank <= 8 AND trim(string_split(trim(text, ' ' || chr(10) || chr(9)), '.')[1], ' ' || chr(10) || chr(9)) <> '' GROUP BY 1),
+counted AS (SELECT query_id // 10 AS query_id, count(*) AS n_sub_queries FROM subs GROUP BY 1),
+found_web AS (SELECT query_id, count(*) AS n_web FROM web GROUP BY 1)""", citation_ctes("answers"), KNOWN, audit_cte("answers"), SOURCES)
+
+
+@register("answer_pipeline", "F14", with_ctes(*WHOLE_ANSWERS, select=f"""
+SELECT a.query_id AS query_id, query_type, route, n_sub_queries, coalesce(n_web, 0) AS n_web, coalesce(n_entities, 0) AS n_entities, coalesce(n_claims, 0) AS n_claims,
+  answer || CASE WHEN invalid > 0 THEN '{qa.RETRY_NOTE}' ELSE '' END AS answer, citations, invalid, invalid > 0 AS repaired,
+  CASE WHEN d.query_id IS NOT NULL THEN 0.62::DOUBLE WHEN invalid = 0 AND citations > 0 THEN 0.86::DOUBLE ELSE 0.78::DOUBLE END AS confidence, coalesce(n_sources, 0) AS n_sources
+FROM answers a JOIN audit u ON u.query_id = a.query_id JOIN classes c ON c.query_id = a.query_id JOIN counted k ON k.query_id = a.query_id
+LEFT JOIN found_web f ON f.query_id = a.query_id LEFT JOIN entities e ON e.query_id = a.query_id LEFT JOIN claimed m ON m.query_id = a.query_id
+LEFT JOIN (SELECT DISTINCT query_id FROM disputes) d ON d.query_id = a.query_id LEFT JOIN (SELECT query_id, count(*) AS n_sources FROM sources GROUP BY 1) s ON s.query_id = a.query_id"""))
+def answer_pipeline(spark, folder):
+    texts = table(spark, folder, "benchmark")
+    count = texts.agg(F.count("*").alias("n")).scalar()
+    numbers = table(spark, folder, "documents").selectExpr("doc_id div 100 AS number").distinct()
+    queries = numbers.withColumn("item_id", F.col("number") % count).join(texts, "item_id").selectExpr("number AS query_id", f"{WHOLE_SQL} AS query_text")
+    landed = F.expr("query_id div 5 * 10 + query_id % 5")
+    payloads = papers.payload_table(spark, folder).withColumn("query_id", landed)
+    articles = lit.parse_articles(papers.article_xml(spark, folder))
+    notes = lit.flatten_annotations(papers.annotation_payloads(spark, folder))
+
+    def search(subs):
+        return literature_search(payloads, subs, articles, notes, papers.START, papers.END)
+
+    found = search_and_answer(
+        queries, lambda asked: local_of(rt.overlap_topk(asked, library(spark, folder))), search, topic_summaries(spark, folder), known_papers(spark, folder),
+        DEFINITIONS, RULES,
+    )
+    counts = [
+        df.groupBy("query_id").agg(F.count("*").alias(name))
+        for name, df in (("n_sub_queries", found.sub_queries), ("n_web", found.web), ("n_entities", found.entities), ("n_claims", found.claims), ("n_sources", found.sources))
+    ]
+    out = found.answers.join(found.audit.select("query_id", "citations", "invalid", F.col("retry").alias("repaired"), "confidence"), "query_id")
+    out = out.join(found.classified.select("query_id", "query_type", "route"), "query_id")
+    for counted in counts:
+        out = out.join(counted, "query_id", "left")
+    return out.fillna(0, ["n_sub_queries", "n_web", "n_entities", "n_claims", "n_sources"])

@@ -429,6 +429,13 @@ def merge_stored_provenance(decided: DataFrame, existing: DataFrame, papers: Dat
     return edges, marked.where("known IS NULL").select(*EDGE, "paper")
 
 
+def disputed_pairs(validated: DataFrame) -> DataFrame:
+    """``(subject, object, pair)`` that valid triples claim a predicate and its opposite of."""
+    claimed = validated.where("valid").withColumn("pair", _pair(F.col("predicate")))
+    both = claimed.groupBy("subject", "object", "pair").agg(F.min("predicate").alias("least"), F.max("predicate").alias("most"))
+    return both.where("least <> most").select("subject", "object", "pair")
+
+
 def hypothesis(subject: Column, predicate: Column, obj: Column) -> Column:
     return F.concat_ws(" ", subject, F.lower(predicate), obj)
 
