@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.ranking import numbered, ranked
 from paperloom.operators.triples import PREDICATES
+from paperloom.session import materialize
 
 NODE_KEY = ["label", "key"]
 EDGE_KEY = ["src_label", "src_key", "rel_type", "dst_label", "dst_key"]
@@ -83,43 +84,52 @@ class EdgeMap:
     explode: str | None = None
 
 
-def _rows(tables: dict[str, DataFrame], entry) -> DataFrame:
-    df = tables[entry.table]
-    return df.withColumn("item", F.explode(F.expr(entry.explode))) if entry.explode else df
+RECORD = "struct<loader:string,seq:bigint,src_label:string,src_key:string,rel_type:string,dst_label:string,dst_key:string,props:map<string,string>>"
 
 
-def _props(props: dict[str, str]) -> Column:
-    if not props:
-        return F.create_map().cast("map<string,string>")
-    entries = [x for name, sql in props.items() for x in (F.lit(name), F.expr(sql).cast("string"))]
-    return F.create_map(*entries)
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def _key(sql: str) -> Column:
-    return F.expr(sql).cast("string")
+def _record(entry: NodeMap | EdgeMap, seq: int, loader: str) -> str:
+    """SQL of the record that a mapping entry makes of a row; a node has no relation type."""
+    entries = ", ".join(f"{_quoted(name)}, CAST({sql} AS STRING)" for name, sql in entry.props.items())
+    props = f"map({entries})" if entries else "CAST(map() AS map<string,string>)"
+    if isinstance(entry, NodeMap):
+        sides = (_quoted(entry.label), f"CAST({entry.key} AS STRING)", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)", "CAST(NULL AS STRING)")
+    else:
+        sides = (_quoted(entry.src_label), f"CAST({entry.src_key} AS STRING)", _quoted(entry.rel_type), _quoted(entry.dst_label), f"CAST({entry.dst_key} AS STRING)")
+    return f"CAST(struct({_quoted(loader)}, {seq}L, {', '.join(sides)}, {props}) AS {RECORD})"
+
+
+def _records(tables: dict[str, DataFrame], entries: list[tuple[int, str, NodeMap | EdgeMap]]) -> DataFrame:
+    """Records of all mapping entries. Entries of one table make one array a row, so a table is read once for all of them."""
+    none = f"CAST(array() AS array<{RECORD}>)"
+    by_table: dict[str, list[str]] = {}
+    for seq, loader, entry in entries:
+        made = _record(entry, seq, loader)
+        many = f"coalesce(transform({entry.explode}, item -> {made}), {none})" if entry.explode else f"array({made})"
+        by_table.setdefault(entry.table, []).append(many)
+    parts = [tables[name].select(F.inline_outer(F.expr(f"concat({', '.join([none, *some])})"))) for name, some in by_table.items()]
+    return reduce(DataFrame.unionByName, parts).where("src_key IS NOT NULL AND (rel_type IS NULL OR dst_key IS NOT NULL)")
+
+
+def _nodes_of(records: DataFrame) -> DataFrame:
+    return records.where("rel_type IS NULL").select(F.col("src_label").alias("label"), F.col("src_key").alias("key"), "props", "seq")
+
+
+def _edges_of(records: DataFrame) -> DataFrame:
+    return records.where("rel_type IS NOT NULL").select("src_label", "src_key", "rel_type", "dst_label", "dst_key", "props", "seq")
 
 
 def graph_from_records(
     tables: dict[str, DataFrame], nodes: list[NodeMap], edges: list[EdgeMap], seq: int = 1
 ) -> tuple[DataFrame, DataFrame]:
-    """Raw node and edge rows of record tables: one projection per mapping entry, no joins."""
-    node_rows = [
-        _rows(tables, m).select(
-            F.lit(m.label).alias("label"), _key(m.key).alias("key"), _props(m.props).alias("props"),
-            F.lit(seq).cast("long").alias("seq"),
-        ).where("key IS NOT NULL")
-        for m in nodes
-    ]
-    edge_rows = [
-        _rows(tables, m).select(
-            F.lit(m.src_label).alias("src_label"), _key(m.src_key).alias("src_key"),
-            F.lit(m.rel_type).alias("rel_type"), F.lit(m.dst_label).alias("dst_label"),
-            _key(m.dst_key).alias("dst_key"), _props(m.props).alias("props"),
-            F.lit(seq).cast("long").alias("seq"),
-        ).where("src_key IS NOT NULL AND dst_key IS NOT NULL")
-        for m in edges
-    ]
-    return reduce(DataFrame.unionByName, node_rows), reduce(DataFrame.unionByName, edge_rows)
+    """Raw node and edge rows of record tables, without joins; each of the two reads every table that it maps once."""
+    return (
+        _nodes_of(_records(tables, [(seq, "", m) for m in nodes])),
+        _edges_of(_records(tables, [(seq, "", m) for m in edges])),
+    )
 
 
 def _upsert(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -193,20 +203,15 @@ def annotate_nodes(
 def load_all(
     tables: dict[str, DataFrame], loaders: list[tuple[str, list[NodeMap], list[EdgeMap]]]
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All loaders in dependency order; returns nodes, edges and counts per loader."""
-    nodes, edges = [], []
-    for position, (name, node_maps, edge_maps) in enumerate(loaders, start=1):
-        n, e = graph_from_records(tables, node_maps, edge_maps, position)
-        nodes.append(n.withColumn("loader", F.lit(name)))
-        edges.append(e.withColumn("loader", F.lit(name)))
-    all_nodes, all_edges = reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
-    counts = all_nodes.select("loader", F.lit(1).alias("n"), F.lit(0).alias("e")).unionByName(
-        all_edges.select("loader", F.lit(0).alias("n"), F.lit(1).alias("e"))
-    )
-    summary = counts.groupBy("loader").agg(
-        F.sum("n").alias("nodes_loaded"), F.sum("e").alias("edges_loaded")
-    )
-    return merge_nodes(all_nodes.drop("loader")), merge_edges(all_edges.drop("loader")), summary
+    """All loaders in dependency order; returns nodes, edges and counts per loader.
+
+    Every table is read once for all loaders; the records feed three results, so they are stored.
+    """
+    entries = [(seq, name, m) for seq, (name, nodes, edges) in enumerate(loaders, start=1) for m in (*nodes, *edges)]
+    records = materialize(_records(tables, entries), "records")
+    is_edge = F.col("rel_type").isNotNull()
+    summary = records.groupBy("loader").agg(F.count_if(~is_edge).alias("nodes_loaded"), F.count_if(is_edge).alias("edges_loaded"))
+    return merge_nodes(_nodes_of(records)), merge_edges(_edges_of(records)), summary
 
 
 # ---------------------------------------------------------------- checks

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import materialize
+
 # Stage budgets in milliseconds (targets, not measurements).
 BUDGETS_MS = {
     "query": 120_000.0,
@@ -15,48 +17,47 @@ BUDGETS_MS = {
 }
 
 
-def exact_quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], ranges: int = 1000) -> DataFrame:
-    """Interpolated quantiles per group, one column per entry of ``shares``.
+def exact_quantiles(rows: DataFrame, by: str, value: str, shares: dict[str, float], buckets: int = 4096) -> DataFrame:
+    """Interpolated quantiles per group, one column per entry of ``shares``; null and NaN values are left out.
 
-    Equal values are counted first. Ranks are formed inside (group, value range) and carried
-    over a table of at most about ``ranges`` ranges a group, so a group with most rows is
-    never sorted or held in one task. The ranges follow the group's own distribution:
-    approximate quantiles are their borders, which decide where a value is ranked, never its rank.
+    A quantile lies between the values of two ranks. Each rank is looked for in a range of
+    values, at first that of its group: the range is cut into ``buckets`` equal parts, whose
+    counts tell in which one the rank lies, and the least and greatest value there are its next range,
+    until they are equal. So every round is one sum by (group, range, bucket) with partial results,
+    nothing is sorted, and neither a group with most rows nor values over many orders of magnitude
+    pile up anywhere. A round narrows a range at least ``buckets`` times or to half of its
+    distinct values' span.
     """
-    place = [by, "_range"]
-    borders = rows.groupBy(by).agg(
-        F.array_distinct(F.percentile_approx(F.col(value), F.lit([k / ranges for k in range(1, ranges)]), F.lit(ranges))).alias("_borders")
-    )
-    counted = (
-        rows.groupBy(by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-        .join(borders, by)
-        .withColumn("_range", F.size(F.filter("_borders", lambda b: b <= F.col("_v"))))
-        .drop("_borders")
-    )
-    before = Window.partitionBy(by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = counted.groupBy(*place).agg(F.sum("_c").alias("_n")).select(
-        *place,
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-        F.sum("_n").over(Window.partitionBy(by)).alias("_total"),
-    )
-    inside = Window.partitionBy(*place).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    placed = (
-        counted.withColumn("_upto", F.sum("_c").over(inside))
-        .join(ranges, place)
-        .withColumn("_last", F.col("_offset") + F.col("_upto") - 1)
-        .withColumn("_first", F.col("_last") - F.col("_c") + 1)
+    values = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    groups = values.groupBy("g").agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+    target = (F.col("n") - 1) * F.col("share")
+    ends = F.array(F.struct(F.lit("lower").alias("end"), F.floor(target).alias("rank")), F.struct(F.lit("upper").alias("end"), F.ceil(target).alias("rank")))
+    wanted = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(float(share)).alias("share")) for name, share in shares.items()])
+    asked = groups.select("g", "n", "low", "high", F.inline(wanted)).select("g", "name", "low", "high", (target - F.floor(target)).alias("part"), F.inline(ends))
+    asked = materialize(asked, "ranks")
+    place = ["g", "low", "high"]
+    while asked.where("low < high").limit(1).count():
+        open_ = asked.where("low < high")
+        ranges = open_.select(*place).distinct()
+        # Halves before the difference, so that the widest ranges don't overflow.
+        share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+        within = values.join(ranges, values["g"].eqNullSafe(ranges["g"])).where("v BETWEEN low AND high").select(ranges["g"], "low", "high", "v")
+        counted = within.groupBy(*place, F.least(F.floor(share * buckets), F.lit(buckets - 1)).alias("b")).agg(
+            F.count("*").alias("c"), F.min("v").alias("least"), F.max("v").alias("most")
+        )
+        before = Window.partitionBy(*place).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+        placed = counted.withColumn("first", F.coalesce(F.sum("c").over(before), F.lit(0))).alias("p")
+        met = open_.alias("o").join(
+            placed, F.col("o.g").eqNullSafe(F.col("p.g")) & (F.col("o.low") == F.col("p.low")) & (F.col("o.high") == F.col("p.high"))
+        ).where("rank >= first AND rank < first + c")
+        narrowed = met.select("o.g", "name", F.col("least").alias("low"), F.col("most").alias("high"), "part", "end", (F.col("rank") - F.col("first")).alias("rank"))
+        asked = materialize(asked.where("low >= high").unionByName(narrowed), "ranks")
+    found = asked.groupBy("g", "name").agg(
+        F.max(F.when(F.col("end") == "lower", F.col("low"))).alias("lower"), F.max(F.when(F.col("end") == "upper", F.col("low"))).alias("upper"),
+        F.max("part").alias("part"),
     )
-
-    def at(share: float):
-        target = (F.col("_total") - 1) * share
-        low, high = F.floor(target), F.ceil(target)
-
-        def held(rank):
-            return F.max(F.when(rank.between(F.col("_first"), F.col("_last")), F.col("_v")))
-
-        return held(low) + (held(high) - held(low)) * F.max(target - low)
-
-    return placed.groupBy(by).agg(*[at(share).alias(name) for name, share in shares.items()])
+    at = F.col("lower") + (F.col("upper") - F.col("lower")) * F.col("part")
+    return found.groupBy(F.col("g").alias(by)).agg(*[F.max(F.when(F.col("name") == name, at)).alias(name) for name in shares])
 
 
 def stage_latency(trace: DataFrame, budgets: DataFrame | None = None) -> DataFrame:

@@ -88,3 +88,17 @@ def test_lookups_and_subgraphs(spark):
     stats = {(r.kind, r.name): r.n for r in kg.kg_stats(nodes, edges_of(spark, ("G", "a", "R", "G", "b")), {"Gene": ["x", "y"]}).collect()}
     assert stats == {("label", "Gene"): 2, ("type", "R"): 1, ("with_properties", "Gene: x, y"): 1}
     assert kg.find_edges(edges_of(spark, ("G", "a", "R", "G", "b")), edges_of(spark, ("G", "a", "R", "G", "z")).drop("props", "seq").withColumn("request_id", F.lit(1))).first().found is False
+
+
+def test_every_table_is_read_once_for_all_of_its_entries(spark, tmp_path):
+    for name in ("a", "b"):
+        spark.createDataFrame([(1, [2, 3], None), (4, None, "x'y")], "id long, more array<long>, t string").write.parquet(str(tmp_path / name))
+    tables = {name: spark.read.parquet(str(tmp_path / name)) for name in ("a", "b")}
+    nodes = [kg.NodeMap("a", "L'1", "id", {"p'q": "t"}), kg.NodeMap("a", "M", "item", explode="more"), kg.NodeMap("b", "L'1", "id + 10"), kg.NodeMap("a", "N", "t")]
+    edges = [kg.EdgeMap("a", "L'1", "id", "HAS", "M", "item", {"n": "item"}, "more"), kg.EdgeMap("b", "L'1", "id", "IS", "N", "t")]
+    found = kg.graph_from_records(tables, nodes, edges)
+    assert [df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for df in found] == [2, 2]
+    assert sorted((r.label, r.key, r.props) for r in found[0].collect()) == [
+        ("L'1", "1", {"p'q": None}), ("L'1", "11", {}), ("L'1", "14", {}), ("L'1", "4", {"p'q": "x'y"}), ("M", "2", {}), ("M", "3", {}), ("N", "x'y", {}),
+    ]
+    assert sorted((r.src_key, r.rel_type, r.dst_key, r.props) for r in found[1].collect()) == [("1", "HAS", "2", {"n": "2"}), ("1", "HAS", "3", {"n": "3"}), ("4", "IS", "x'y", {})]

@@ -15,6 +15,21 @@ def test_quantiles_equal_numpy(spark):
         assert r.n == len(values)
 
 
+def test_quantiles_over_many_groups_and_magnitudes(spark):
+    rng = random.Random(2)
+    rows = [(f"g{rng.randrange(300)}", 10 ** rng.uniform(-4, 5) * rng.choice([1, -1])) for _ in range(6000)]
+    rows += [("hot", rng.choice([1e-9, 5.0, 5.0 + 1e-12, 1e300, -1e300])) for _ in range(3000)] + [("one", 7.0), (None, 1.0), (None, 3.0), ("nan", float("nan")), ("nan", None)]
+    shares = {"a": 0.0, "b": 0.37, "c": 0.5, "d": 1.0}
+    got = {r.k: r for r in mon.exact_quantiles(spark.createDataFrame(rows, "k string, x double"), "k", "x", shares, buckets=16).collect()}
+    assert set(got) == {k for k, _ in rows} - {"nan"}
+    for k, r in got.items():
+        values = [x for g, x in rows if g == k]
+        for name, share in shares.items():
+            low, part = divmod((len(values) - 1) * share, 1)
+            a, b = (sorted(values)[min(int(low) + n, len(values) - 1)] for n in (0, 1 if part else 0))
+            assert r[name] == a + (b - a) * part
+
+
 def test_library(spark):
     papers = spark.createDataFrame([("PMC1", "Alpha"), ("2", "Beta"), ("3", "Gamma")], "id string, title string")
     assert [r.id for r in mon.search_library(papers, " pmc ").collect()] == ["PMC1"] and mon.search_library(papers, " ").count() == 3
