@@ -8,6 +8,7 @@ import sys
 import types
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ def worker_state(key: str, make):
         if kept:
             kept.clear()
             gc.collect()
+            pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
             if trim:  # hand freed memory back, as the worker lives on
                 trim(0)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from paperloom.llm.common import small_batches
-from paperloom.llm.tokens import encoded_rows
+from paperloom.llm.tokens import PIECES_KEPT, encoded_rows
 from paperloom.session import materialize
 
 PIECES = "part int, number long, doc_id long, piece int, start long, length long, ids_crc32 long, place long, ids binary"
@@ -29,7 +29,7 @@ def _cut(size: int, capacity: int) -> list[int]:
     return [0, *range(first, size + 1, capacity)]
 
 
-def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ids: bool) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ids: bool, pieces_kept: int = PIECES_KEPT) -> DataFrame:
     """One row a piece: where it comes from, its length, and its place among pieces of that length in its task."""
 
     def scan(batches):
@@ -43,7 +43,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
-            for doc_id, code in zip(batch.column(0).to_pylist(), encoded_rows(batch.column(1), tokenizer)):
+            for doc_id, code in zip(batch.column(0).to_pylist(), encoded_rows(batch.column(1), tokenizer, pieces_kept=pieces_kept)):
                 code += end
                 borders = _cut(len(code) // 4, capacity)
                 for k, (a, b) in enumerate(zip(borders, borders[1:])):
@@ -295,6 +295,7 @@ def _placing(slots: Slots):
 
 def pack_documents(
     docs: DataFrame, tokenizer: str, end_id: int = 2, capacity: int = 1024, doc_id: str = "doc_id", text: str = "text", ids: bool = True,
+    pieces_kept: int = PIECES_KEPT,
 ) -> DataFrame:
     """Pieces of tokenized documents with the sequence and offset where each lies.
 
@@ -310,11 +311,11 @@ def pack_documents(
     Texts are tokenized once, on their rows, into a stored table; what is shuffled is one
     narrow row a piece (and its ids, if asked for). Ranks come from each task's own count
     and the tasks' running totals by length, so a length of a third of all pieces is no
-    group of its own.
+    group of its own. ``pieces_kept`` bounds the tokenizer's memory in a worker.
     """
     named = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     with small_batches(docs.sparkSession):
-        pieces = materialize(tokenized_pieces(named, tokenizer, end_id, capacity, ids), "pieces")
+        pieces = materialize(tokenized_pieces(named, tokenizer, end_id, capacity, ids, pieces_kept), "pieces")
     counts = materialize(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed = _placing(slots_of(configurations(histogram, capacity)))

@@ -28,7 +28,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as the tokenizer does without adding special tokens."""
 
-    def __init__(self, name: str):
+    def __init__(self, name: str, pieces_kept: int = PIECES_KEPT):
         import public_tokenizers
         from tokenizers import Tokenizer
 
@@ -40,6 +40,7 @@ class Encoder:
         # Where the tokenizer lower-cases anyway, pieces that differ in that alone are kept once.
         self.lowers = self.tokenizer.encode("Az", add_special_tokens=False).ids == self.tokenizer.encode("az", add_special_tokens=False).ids
         self.kept: dict[str, bytes] = {}
+        self.pieces_kept = pieces_kept
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -70,20 +71,23 @@ class Encoder:
                 found[i] = rare[pieces[i]]
             out.append(self._encoded([text])[0] if pieces is None else b"".join(found))
         for piece, code in rare.items():  # frequent pieces come early, so a full table is left as it is
-            if len(kept) >= PIECES_KEPT:
+            if len(kept) >= self.pieces_kept:
                 break
             if len(piece) <= PIECE_LENGTH:
                 kept[piece] = code
         return out
 
 
-def encoder(name: str) -> Encoder:
-    return worker_state(f"encoder {name}", lambda: Encoder(name))
+def encoder(name: str, pieces_kept: int = PIECES_KEPT) -> Encoder:
+    return worker_state(f"encoder {name} {pieces_kept}", lambda: Encoder(name, pieces_kept))
 
 
-def encoded_rows(texts: pa.Array, name: str, block: int = 1 << 20):
-    """The ids of each text, in blocks of about a million characters; a null is an empty text."""
-    encode, waiting, held = encoder(name), [], 0
+def encoded_rows(texts: pa.Array, name: str, block: int = 1 << 20, pieces_kept: int = PIECES_KEPT):
+    """The ids of each text, in blocks of about a million characters; a null is an empty text.
+
+    ``pieces_kept`` bounds what a worker keeps (some 200 bytes a piece); it changes the time, not the ids.
+    """
+    encode, waiting, held = encoder(name, pieces_kept), [], 0
     for text in texts:
         waiting.append(text.as_py() or "")
         held += len(waiting[-1])
