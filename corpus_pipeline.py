@@ -40,8 +40,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents that stayed, with their ids, in sequences of at most 1024 tokens."""
-    return pack_documents(docs, "byte_bpe_50k.json", end_id=2, capacity=1024, ids=True)
+    """Pieces of the documents that stayed, with their ids, in sequences of at most 1024 tokens.
+
+    Workers that have gone through the other stages keep fewer pieces of the tokenizer.
+    """
+    return pack_documents(docs, "byte_bpe_50k.json", end_id=2, capacity=1024, ids=True, pieces_kept=150_000)
 
 
 STAGES = [
