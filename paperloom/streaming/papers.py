@@ -9,7 +9,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -52,6 +52,76 @@ def stream_papers(
     return files.where(F.col("modified") >= since)
 
 
+LISTING = "path string, modificationTime timestamp, length long, content binary"
+TRIES = "path string, tries int, delivered boolean, round long"
+
+
+class PaperFolder:
+    """Papers of a folder, taken file by file: one that can't be read holds up no other and is tried again.
+
+    New files come from a stream over the folder's listing, whose log is the seen-set. Their
+    texts are read by the batch itself; a file without a text is quarantined with the
+    number of its tries. Each ``poll`` takes what is new, then tries quarantined files again,
+    ``max_tries`` times in all. ``sink(papers, batch_id)`` gets ``(path, text, modified)`` and must be idempotent; rounds of
+    retries have batch ids of their own.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, work: str, pattern: str = "*.txt", max_tries: int = 3, max_files: int = 1000):
+        self.spark, self.folder, self.work, self.pattern = spark, folder, work, pattern
+        self.max_tries, self.max_files = max_tries, max_files
+        spark.createDataFrame([], TRIES).write.mode("ignore").parquet(f"{work}/tries/batch_id=-1")
+
+    def _listing(self, reader):
+        """Path and time of the files; their contents are not asked for, so a broken one can't fail it."""
+        files = reader.format("binaryFile").schema(LISTING).option("pathGlobFilter", self.pattern)
+        return files.load(self.folder).select("path", F.col("modificationTime").alias("modified"))
+
+    def tries(self) -> DataFrame:
+        """``(path, tries, delivered)`` of every file that failed at least once."""
+        log = self.spark.read.schema(f"{TRIES}, batch_id long").parquet(f"{self.work}/tries")
+        return log.groupBy("path").agg(F.count_if(~F.col("delivered")).alias("tries"), F.max("delivered").alias("delivered"))
+
+    def _take(self, wanted: DataFrame, sink, batch_id: int, known: DataFrame | None = None) -> None:
+        wanted = materialize(wanted, "wanted")
+        paths = [r.path for r in wanted.select("path").collect()]  # as many as a batch may have files
+        if not paths:
+            return
+        reader = self.spark.read.option("wholetext", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True)
+        texts = reader.text(paths).select(F.col("_metadata.file_path").alias("found"), F.col("value").alias("text"))
+        papers = wanted.join(texts, _same_file(F.col("path"), F.col("found"))).select("path", "text", "modified")
+        papers = materialize(papers, "papers")
+        sink(papers, batch_id)
+        # Only files that failed now or before are logged.
+        failed = wanted.join(papers.select("path"), "path", "left_anti").select("path", F.lit(False).alias("delivered"))
+        healed = papers.select("path", F.lit(True).alias("delivered"))
+        healed = healed.limit(0) if known is None else healed.join(known, "path", "left_semi")
+        log = failed.unionByName(healed).select("path", F.lit(1).alias("tries"), "delivered", F.lit(batch_id).cast("long").alias("round"))
+        log.write.mode("overwrite").parquet(f"{self.work}/tries/batch_id={batch_id}")
+
+    def poll(self, sink) -> None:
+        listed = self._listing(self.spark.readStream.option("maxFilesPerTrigger", self.max_files))
+        poll_once(listed, lambda batch, batch_id: self._take(batch, sink, batch_id), f"{self.work}/seen")
+        waiting = self.tries().where((F.col("tries") < self.max_tries) & ~F.col("delivered")).orderBy("tries", "path").limit(self.max_files)
+        # Retries go on from ids that no batch of new files reaches.
+        rounds = self.spark.read.schema(f"{TRIES}, batch_id long").parquet(f"{self.work}/tries").where(F.col("batch_id") >= RETRIES)
+        last = rounds.agg(F.max("batch_id")).first()[0]
+        failed = waiting.select("path")
+        self._take(self._listing(self.spark.read).join(failed, "path", "left_semi"), sink, RETRIES if last is None else last + 1, failed)
+
+
+# Batch ids from here on are rounds of retries.
+RETRIES = 1 << 40
+
+
+def _same_file(listed: Column, found: Column) -> Column:
+    """Whether a listed path and the encoded path of a text mean one file."""
+
+    def plain(path: Column) -> Column:
+        return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+    return plain(listed) == plain(F.url_decode(F.replace(found, F.lit("+"), F.lit("%2B"))))
+
+
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int = 1000) -> DataFrame:
     """Parquet files of one name pattern as a stream, with the schema of the stored files."""
     schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema

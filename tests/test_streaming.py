@@ -1,3 +1,4 @@
+import gzip
 import os
 import time
 from datetime import datetime, timedelta
@@ -36,6 +37,29 @@ def test_new_file_is_taken_once_and_old_ones_can_be_skipped(spark, tmp_path):
     assert tables.read_whole_files(spark, landing, "texts").where("request = 'third'").first().payload == "third"
 
 
+def test_one_broken_file_holds_up_no_other_and_is_tried_again(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    landing.mkdir()
+    for name in ("a", "b 1+2%", "é"):
+        (landing / f"{name}.txt").write_text(f"text of {name}")
+    (landing / "broken.txt.gz").write_bytes(b"no archive")
+    (landing / "lost.txt.gz").write_bytes(b"none either")
+    folder = sp.PaperFolder(spark, str(landing), str(tmp_path / "work"), "*.txt*", max_tries=3)
+
+    def poll():
+        folder.poll(sp.keyed_writer(out))
+        tries = {os.path.basename(r.path).split(".")[0]: (r.tries, r.delivered) for r in folder.tries().collect()}
+        return sorted(r.text for r in spark.read.parquet(out).collect()), tries
+
+    three = ["text of a", "text of b 1+2%", "text of é"]
+    assert poll() == (three, {"broken": (2, False), "lost": (2, False)})  # as a new file and in the round of retries
+    with gzip.open(landing / "broken.txt.gz", "wt") as mended:
+        mended.write("mended")
+    (landing / "late.txt").write_text("late")
+    assert poll() == (["late", "mended", *three], {"broken": (2, True), "lost": (3, False)})
+    assert poll() == (["late", "mended", *three], {"broken": (2, True), "lost": (3, False)})  # given up, and reported
+
+
 def test_failed_batch_is_tried_again(spark, tmp_path):
     landing, mark = str(tmp_path / "landing"), str(tmp_path / "mark")
     os.makedirs(landing)
