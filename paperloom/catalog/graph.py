@@ -293,8 +293,10 @@ def level_nodes(spark, folder):
     return nodes.withColumn("level", F.col("level").cast("long"))
 
 
-@register("level_links", "E14", with_ctes(SQL_NODES, SQL_EDGES, EXPLORER, LEVEL_CTE, once=True, select="""
-SELECT source, target, predicate FROM links WHERE source IN (SELECT id FROM around) AND target IN (SELECT id FROM around)"""))
+@register("level_links", "E14", with_ctes(SQL_NODES, SQL_EDGES, EXPLORER, """marked AS (
+  SELECT l.*, coalesce(a.level = 3, false) AS from_level, coalesce(b.level = 3, false) AS to_level FROM links l LEFT JOIN enodes a ON a.id = source LEFT JOIN enodes b ON b.id = target),
+around AS (SELECT id FROM enodes WHERE level = 3 UNION SELECT target FROM marked WHERE from_level UNION SELECT source FROM marked WHERE to_level)""", select="""
+SELECT source, target, predicate FROM marked JOIN around a ON a.id = source JOIN around b ON b.id = target""").replace("WITH RECURSIVE", "WITH"))
 def level_links(spark, folder):
     return kg.level_subgraph(*explorer(spark, folder), 3)[1]
 

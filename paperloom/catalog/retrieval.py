@@ -175,14 +175,15 @@ def bm25_after_append(spark, folder):
     return show_ranked(rt.bm25_topk(questions(spark, folder), grown))
 
 
-@register("hashed_embedding", "C6", with_ctes(TOK, hashed_ctes("h", "tok", "doc_id", "bio"), once=True, select="""
-SELECT doc_id, bucket, weight, round(w, 6) AS unit_weight FROM h_raw JOIN h USING (doc_id, bucket)"""))
+@register("hashed_embedding", "C6", """
+WITH cut AS (SELECT doc_id, list_transform(regexp_extract_all(text, '""" + TOKEN_SQL + """'), lambda t: lower(t)) AS t FROM documents),
+terms AS (SELECT doc_id, unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM cut),
+counted AS (
+  SELECT doc_id, CAST(CAST('0x' || substr(sha256('bio:' || term), 1, 8) AS BIGINT) % 768 AS BIGINT) AS bucket, CAST(count(*) AS DOUBLE) AS weight FROM terms GROUP BY 1, 2)
+SELECT doc_id, bucket, weight, round(weight / sqrt(sum(weight * weight) OVER (PARTITION BY doc_id)), 6) AS unit_weight FROM counted""")
 def hashed_embedding(spark, folder):
-    embedded = rt.hash_embed(corpus(spark, folder), "bio")
-    unit = rt.normalize_sparse(embedded).withColumnRenamed("weight", "unit_weight")
-    return embedded.join(unit, ["doc_id", "bucket"]).select(
-        "doc_id", "bucket", "weight", shown("unit_weight").alias("unit_weight")
-    )
+    unit = rt.normalize_sparse(rt.hash_embed(corpus(spark, folder), "bio"), raw="given")
+    return unit.select("doc_id", "bucket", F.col("given").alias("weight"), shown("weight").alias("unit_weight"))
 
 
 @register("cosine_pairs", "C7", """

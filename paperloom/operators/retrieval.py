@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as tx
@@ -162,12 +162,14 @@ def hash_embed(docs: DataFrame, salt: str, dimension: int = vx.DIMENSION) -> Dat
     )
 
 
-def normalize_sparse(embedded: DataFrame) -> DataFrame:
-    """Unit-length weights of sparse vectors."""
-    norms = embedded.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("norm"))
-    return embedded.join(norms, "doc_id").select(
-        "doc_id", "bucket", (F.col("weight") / F.col("norm")).alias("weight")
-    )
+def normalize_sparse(embedded: DataFrame, raw: str | None = None) -> DataFrame:
+    """Unit-length weights of sparse vectors, beside the given ones as ``raw`` if that is named.
+
+    A window holds the buckets of one document, no more than the dimension.
+    """
+    norm = F.sqrt(F.sum(F.col("weight") ** 2).over(Window.partitionBy("doc_id")))
+    given = [F.col("weight").alias(raw)] if raw else []
+    return embedded.select("doc_id", "bucket", *given, (F.col("weight") / norm).alias("weight"))
 
 
 def cosine_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
