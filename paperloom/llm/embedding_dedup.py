@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -12,8 +15,9 @@ from paperloom.llm.common import boxed, unboxed
 from paperloom.llm.graphs import components
 from paperloom.session import materialize
 
-SHARDS, SHARD_BYTES, BLOCK_QUERIES = 8, 32 << 20, 16_384
-BEAM, AUDITED, AUDITED_LINKS, RECALL = 32, 128, 200, 0.99
+SHARD_BYTES, BLOCK_QUERIES, DENSE_AT_ONCE = 8 << 20, 16_384, 2_000_000
+# The first beam, how many queries are audited, the recall they must reach, and what rounding may turn an angle by.
+BEAM, AUDITED, RECALL, SLACK = 32, 4096, 0.99, 1e-6
 
 
 def unit_vector(values: list | None) -> np.ndarray | None:
@@ -56,49 +60,68 @@ def _shard_graphs(classes: DataFrame) -> DataFrame:
     return classes.groupBy("shard", "width").applyInArrow(grow, "shard int, width int, graph binary, reps array<long>, copies array<long>")
 
 
-def audited_links(
-    graph: hnsw.Graph, queries: np.ndarray, ids: np.ndarray, reps: np.ndarray, threshold: float, beam: int, audited: int, recall: float,
-    enough: int = AUDITED_LINKS,
-) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) pairs of different ids that link, by a beam doubled until at least ``recall`` of the true ones are found.
+def dense_links(vectors: np.ndarray, weights: np.ndarray, queries: np.ndarray, threshold: float) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """How many of the weighted vectors each query of a dense group links with, and edges that join what they link.
 
-    Brute force tells the true links of up to ``audited`` queries for which the first search
-    found some, and of ``audited`` others at a time, dealt evenly, until those others have
-    ``enough`` links. A query's match with itself is no link. If no query is left before
-    that, brute force has told all links, which are then the answer. The others' recall
-    counts alone as well, since queries with found links can't show what was missed whole.
+    Some query is a pivot for all that link with it. By their angles to the pivot, vectors
+    near it surely link with a query and those far from it surely don't; only those between are
+    compared, in blocks of a matrix product that are counted and forgotten. Of the edges
+    ``(kind, a, b)``, those of kind 0 join two queries, those of kind 1 a query and a
+    vector: each query with its pivot, and each vector with the pivot or the first query that it links with.
     """
-    size = len(graph.vectors)
-
-    def searched(rows, beam):
-        q, v = hnsw.linked(graph, queries[rows], threshold, beam)
-        q = rows[q]
-        return q[ids[q] != reps[v]], v[ids[q] != reps[v]]
-
-    def true(rows):
-        q, v = np.nonzero(queries[rows] @ graph.vectors.T >= threshold)
-        q = rows[q]
-        return (q * size + v)[ids[q] != reps[v]]
-
-    every = np.arange(len(queries))
-    found = searched(every, beam)
-    order = np.random.default_rng(0).permutation(len(queries))
-    parts, at = [], 0
-    while at < len(order) and sum(map(len, parts)) < enough:
-        parts.append(true(order[at : at + audited]))
-        at += audited
-    others = np.concatenate(parts)
-    if at >= len(order):
-        others.sort()
-        return others // size, others % size
-    hits = np.unique(found[0])
-    hits = hits[np.unique(np.linspace(0, len(hits) - 1, min(audited, len(hits))).astype(int))] if len(hits) else hits
-    truths, some = (others, true(hits)), np.union1d(order[:at], hits)
-    seen = found
-    while beam < size and any(np.isin(t, seen[0] * size + seen[1]).sum() < recall * len(t) for t in truths):
-        beam *= 2
-        seen = searched(some, beam)
-    return found if seen is found else searched(every, beam)
+    counts, edges, todo = np.zeros(len(queries), np.int64), [], np.arange(len(queries))
+    turn = np.arccos(threshold)
+    while len(todo):
+        pivot = todo[0]
+        own = queries[todo] @ queries[pivot]
+        own[0] = 1.0
+        mine, todo = todo[own >= threshold], todo[own < threshold]
+        angle = np.arccos(np.clip(vectors @ queries[pivot], -1, 1))
+        order = np.argsort(angle)
+        angle, total = angle[order], np.concatenate(([0], np.cumsum(weights[order])))
+        lean = np.arccos(np.clip(own[own >= threshold], -1, 1))
+        by_lean = np.argsort(lean)
+        mine, lean = mine[by_lean], lean[by_lean]
+        sure = np.searchsorted(angle, turn - lean - SLACK, side="right")
+        last = np.searchsorted(angle, turn + lean + SLACK, side="right")
+        counts[mine] = total[sure]
+        open_ = np.zeros(len(vectors), bool)
+        open_[: np.searchsorted(angle, 2 * turn + SLACK, side="right")] = True
+        at = 0
+        while at < len(mine):
+            low, high = int(sure[at:].min()), int(last[at:].max())
+            step = max(1, DENSE_AT_ONCE // max(1, high - low))
+            rows = slice(at, at + step)
+            at += step
+            if low == high:
+                continue
+            some, place = order[low:high], np.arange(low, high)
+            hit = queries[mine[rows]] @ vectors[some].T >= threshold
+            hit &= (place >= sure[rows, None]) & (place < last[rows, None])
+            counts[mine[rows]] += hit @ weights[some]
+            first = hit.argmax(axis=0)
+            new = np.flatnonzero(hit.any(axis=0) & open_[low:high])
+            edges.append((1, mine[rows][first[new]], some[new]))
+            open_[low + new] = False
+        held = np.flatnonzero(open_[: sure.max(initial=0)])  # what is surely linked with the query nearest to the pivot
+        edges.append((1, np.full(len(held), mine[int(sure.argmax())]), order[held]))
+        edges.append((0, mine, np.full(len(mine), pivot)))
+    return counts, edges
+
+
+def _others(q: np.ndarray, v: np.ndarray, ids: np.ndarray, reps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs without those of a query with itself."""
+    other = ids[q] != reps[v]
+    return q[other], v[other]
+
+
+def true_links(graph: hnsw.Graph, queries: np.ndarray, ids: np.ndarray, reps: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, vector) pairs of different ids that link, by brute force."""
+    step, found = max(1, DENSE_AT_ONCE // max(1, len(reps))), []
+    for at in range(0, len(queries), step):
+        q, v = np.nonzero(queries[at : at + step] @ graph.vectors.T >= threshold)
+        found.append(_others(at + q, v, ids, reps))
+    return tuple(np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -119,21 +142,40 @@ def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[moved]], nodes[moved]
 
 
-def _answers(threshold: float, beam: int, audited: int, recall: float):
-    """Answers of one shard to one block of queries after the other; each block begins with the shard's graph."""
+def _found(graph, reps, copies, ids, queries, threshold: float, beam: int) -> pa.RecordBatch:
+    """Links of a block of queries in one shard: a count a query, and the edges of spanning stars."""
+    q, v, full = hnsw.linked(graph, queries, threshold, beam)
+    q, v = _others(q, v, ids, reps)
+    links = np.bincount(q, copies[v], minlength=len(ids)).astype(np.int64)
+    a, b = spanning(ids[q], reps[v]) if len(q) else (ids[:0], ids[:0])
+    ends = [(a, b)]
+    if len(full):
+        counts, edges = dense_links(graph.vectors, copies, queries[full], threshold)
+        ends += [(ids[full[x]], ids[full[y]] if kind == 0 else reps[y]) for kind, x, y in edges]
+        place = np.minimum(np.searchsorted(reps, ids[full]), len(reps) - 1)
+        links[full] = counts - np.where(reps[place] == ids[full], copies[place], 0)
+    a, b = (np.concatenate(c) for c in zip(*ends))
+    asked = np.flatnonzero(links)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.concatenate((ids[asked], a))), pa.array([*links[asked].tolist(), *[None] * len(a)], pa.int64()),
+            pa.array([*[None] * len(asked), *b.tolist()], pa.int64()),
+        ],
+        names=["node", "links", "other"],
+    )
+
+
+def _audit(graph, reps, copies, ids, queries, threshold: float, beam: int) -> pa.RecordBatch:
+    """How many links the queries truly have in a shard, and how many of them are found: all of a full query, as it is answered in full."""
+    q, v = true_links(graph, queries, ids, reps, threshold)
+    found_q, found_v, full = hnsw.linked(graph, queries, threshold, beam)
+    size = len(reps)
+    hit = np.isin(q * size + v, found_q * size + found_v) | np.isin(q, full)
+    return pa.RecordBatch.from_arrays([pa.array([len(q)], pa.int64()), pa.array([int(hit.sum())], pa.int64())], names=["links", "found"])
+
 
-    def block(graph, reps, copies, ids, queries):
-        q, v = audited_links(graph, queries, ids, reps, threshold, beam, audited, recall)
-        links = np.bincount(q, copies[v], minlength=len(ids)).astype(np.int64)
-        asked = np.flatnonzero(links)
-        a, b = spanning(ids[q], reps[v]) if len(q) else (ids[:0], ids[:0])
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate((ids[asked], a))), pa.array([*links[asked].tolist(), *[None] * len(a)], pa.int64()),
-                pa.array([*[None] * len(asked), *b.tolist()], pa.int64()),
-            ],
-            names=["node", "links", "other"],
-        )
+def _answers(block: Callable[..., pa.RecordBatch]):
+    """``block`` of one shard and one block of queries after the other; each block begins with the shard's graph."""
 
     def answer(batches):
         graph, ids, queries = None, [], []
@@ -156,15 +198,68 @@ def _answers(threshold: float, beam: int, audited: int, recall: float):
     return answer
 
 
+def _met(queries: DataFrame, graphs: DataFrame, shards: int, blocks: int) -> DataFrame:
+    """Every query with every shard's graph of its length, one (shard, block of queries) a partition, the graph first."""
+    block = F.pmod(F.xxhash64("spread"), F.lit(blocks)).cast("int")
+    no_list = F.lit(None).cast("array<long>")
+    asked = queries.select(
+        "width", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"),
+        F.lit(None).cast("binary").alias("graph"), "unit", "rep", no_list.alias("reps"), no_list.alias("copies"),
+    )
+    told = graphs.select(
+        "width", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", F.lit(0).alias("kind"), "graph",
+        F.lit(None).cast("binary").alias("unit"), F.lit(None).cast("long").alias("rep"), "reps", "copies",
+    )
+    # A block of a length that a shard lacks has no graph to ask.
+    met = asked.join(F.broadcast(graphs.select("shard", "width")), ["shard", "width"], "left_semi").unionByName(told)
+    cell = (F.col("shard") * blocks + F.col("block")).cast("int")
+    dealt = met.repartitionById(shards * blocks, cell).sortWithinPartitions("shard", "block", "width", "kind")
+    return dealt.select("kind", "graph", "unit", "rep", "reps", "copies")
+
+
+class Audit(NamedTuple):
+    """The beam that passed, how many true links the audited queries have, and how many of them the search finds."""
+
+    beam: int
+    links: int
+    found: int
+
+    def recall(self) -> float:
+        return self.found / self.links if self.links else 1.0
+
+    def least_recall(self, z: float = 1.96) -> float:
+        """The lower end of the recall's Wilson interval; zero without a link."""
+        n, p = self.links, self.recall()
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n) if n else 0.0
+
+
+def audited_beam(queries: DataFrame, graphs: DataFrame, shards: int, largest: int, threshold: float, beam: int, recall: float) -> Audit:
+    """The first of the beams, each twice as wide as the one before, whose recall over all shards is at least ``recall``.
+
+    ``queries`` are a bounded sample of all vectors; each shard tells their true links by
+    brute force, and matches with oneself don't count.
+    """
+    while True:
+
+        def block(*cell, beam=beam):
+            return _audit(*cell, threshold, beam)
+
+        told = _met(queries, graphs, shards, 1).mapInArrow(_answers(block), "links long, found long").agg(F.sum("links").alias("links"), F.sum("found").alias("found")).first()
+        audit = Audit(beam, told.links or 0, told.found or 0)
+        if audit.found >= recall * audit.links or beam >= largest:
+            return audit
+        beam *= 2
+
+
 def _stack(units: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(units), float).reshape(len(units), -1)
 
 
-def link_vectors(
-    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, shards: int = SHARDS, beam: int = BEAM,
+def linked_and_audited(
+    vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", threshold: float = 0.95, shard_bytes: int = SHARD_BYTES, beam: int = BEAM,
     audited: int = AUDITED, recall: float = RECALL,
-) -> DataFrame:
-    """``vectors`` with ``n_links``, ``component_id`` and ``kept``.
+) -> tuple[DataFrame, Audit]:
+    """``vectors`` with ``n_links``, ``component_id`` and ``kept``, and the audit of the search behind them.
 
     Vectors link if their cosine, in double precision, is at least ``threshold``. ``n_links``
     counts the other rows linked directly, ``component_id`` is the smallest id reachable by
@@ -176,39 +271,29 @@ def link_vectors(
     searched once. Columns of these names are replaced. An empty table gives no rows.
 
     Every class is in the graph of one shard and is asked of all shards; graphs are bounded
-    by ``SHARD_BYTES``, so their number grows with the table. A block of queries first
-    audits its beam against brute force, ``audited`` of its queries at a time until they have
-    ``AUDITED_LINKS`` links with others, and doubles it until ``recall`` of these are found; a query whose beam is full of links widens its own.
-    Each task hands on one count a query and the edges of a spanning star, so a group of
-    linked vectors costs rows by its size, not its pairs.
+    by ``shard_bytes``, so their number grows with the table. About ``audited`` classes,
+    chosen by hash, tell the true links of a sample by brute force, and the beam is doubled until ``recall`` of
+    them are found. A query whose beam is full of links lies in a dense group, whose links are
+    counted in blocks of a matrix product (``dense_links``). Each task hands on one count a query
+    and edges that span what is linked, so a group of linked vectors costs rows by its size, not its pairs.
     """
-    spark = vectors.sparkSession
     named = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{embedding}`").cast("array<double>").alias("embedding"))
     units = materialize(_units(named.where("vec_id IS NOT NULL")).where("unit IS NOT NULL"), "units")
     classes = units.groupBy("unit").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
     classes = materialize(classes.select("*", (F.octet_length("unit") / 8).cast("int").alias("width"), F.xxhash64("unit").alias("spread")), "classes")
     size = classes.agg(F.sum(F.octet_length("unit")).alias("bytes"), F.count("*").alias("n")).first()
-    shards = max(shards, -(-int(size.bytes or 0) // SHARD_BYTES))
+    shards = max(1, -(-int(size.bytes or 0) // shard_bytes))
     blocks = max(1, -(-size.n // BLOCK_QUERIES))
     classes = classes.select("*", F.pmod("spread", F.lit(shards)).cast("int").alias("shard"))
-    block = F.pmod(F.xxhash64("spread"), F.lit(blocks)).cast("int")
     graphs = materialize(_shard_graphs(classes), "graphs")
-    no_list = F.lit(None).cast("array<long>")
-    asked = classes.select(
-        "width", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.lit(1).alias("kind"),
-        F.lit(None).cast("binary").alias("graph"), "unit", "rep", no_list.alias("reps"), no_list.alias("copies"),
-    )
-    told = graphs.select(
-        "width", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "shard", F.lit(0).alias("kind"), "graph",
-        F.lit(None).cast("binary").alias("unit"), F.lit(None).cast("long").alias("rep"), "reps", "copies",
-    )
-    # A block of a length that a shard lacks has no graph to ask.
-    met = asked.join(F.broadcast(graphs.select("shard", "width")), ["shard", "width"], "left_semi").unionByName(told)
-    dealt = met.repartition(shards * blocks, "width", "shard", "block").sortWithinPartitions("width", "shard", "block", "kind")
-    answers = materialize(
-        dealt.select("kind", "graph", "unit", "rep", "reps", "copies").mapInArrow(_answers(threshold, beam, audited, recall), "node long, links long, other long"),
-        "answers",
-    )
+    sample = classes.where(F.pmod(F.xxhash64("spread", F.lit(1)), F.lit(max(1, size.n // audited))) == 0)
+    largest = graphs.agg(F.max(F.size("reps"))).first()[0] or 1
+    audit = audited_beam(sample, graphs, shards, largest, threshold, beam, recall)
+
+    def block(*cell):
+        return _found(*cell, threshold, audit.beam)
+
+    answers = materialize(_met(classes, graphs, shards, blocks).mapInArrow(_answers(block), "node long, links long, other long"), "answers")
     counts = answers.where("links IS NOT NULL").groupBy(F.col("node").alias("rep")).agg(F.sum("links").alias("links"))
     labels = components(answers.where("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
     found = classes.join(counts, "rep", "left").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -218,6 +303,12 @@ def link_vectors(
     by_id = units.join(found, "unit").groupBy("vec_id").agg(F.max("links").alias("links"), F.min("label").alias("label"))
     rows = boxed(vectors, vec_id=F.col(f"`{vec_id}`").cast("long")).join(by_id, "vec_id", "left")
     label = F.coalesce("label", "vec_id")
-    return unboxed(
+    linked = unboxed(
         rows, vectors.columns, n_links=F.coalesce("links", F.lit(0)).cast("long"), component_id=label, kept=F.coalesce(label == F.col("vec_id"), F.lit(True))
     )
+    return linked, audit
+
+
+def link_vectors(vectors: DataFrame, **options) -> DataFrame:
+    """The vectors of ``linked_and_audited`` alone."""
+    return linked_and_audited(vectors, **options)[0]

@@ -165,24 +165,20 @@ def nearest(graph: Graph, queries: np.ndarray, beam: int) -> tuple[np.ndarray, n
     return beam_search(graph.near, graph.neighbours[0], near, entries, beam)
 
 
-def linked(graph: Graph, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) index pairs of a cosine of at least ``threshold``, verified in double precision.
+def linked(graph: Graph, queries: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector) index pairs of a cosine of at least ``threshold``, verified in double precision, and the full queries.
 
-    A query whose whole beam passes is searched again with a four times wider beam.
+    A query is full if all of its beam may pass; it has no pairs here, as it may have any number of links.
     """
-    pairs, todo, size = [], np.arange(len(queries)), len(graph.vectors)
-    while len(todo):
-        again = []
-        step = max(1, SEARCHED_AT_ONCE * 32 // max(32, beam))
-        for at in range(0, len(todo), step):
-            rows = todo[at : at + step]
-            ids, sims = nearest(graph, queries[rows], min(beam, size))
-            close = (sims >= threshold - 1e-3) & (ids >= 0)
-            full = close.all(axis=1) & (beam < size)
-            again.append(rows[full])
-            q, k = np.nonzero(close & ~full[:, None])
-            vector = ids[q, k]
-            sure = np.einsum("ed,ed->e", queries[rows[q]], graph.vectors[vector]) >= threshold
-            pairs.append((rows[q][sure], vector[sure]))
-        todo, beam = np.concatenate(again), 4 * beam
-    return (np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])) if pairs else (np.zeros(0, int), np.zeros(0, int))
+    pairs, full, size = [(np.zeros(0, np.int64),) * 2], [np.zeros(0, np.int64)], len(graph.vectors)
+    step = max(1, SEARCHED_AT_ONCE * 32 // max(32, beam))
+    for at in range(0, len(queries), step):
+        ids, sims = nearest(graph, queries[at : at + step], min(beam, size))
+        close = (sims >= threshold - 1e-3) & (ids >= 0)
+        whole = close.all(axis=1) & (beam < size)
+        full.append(at + np.flatnonzero(whole))
+        q, k = np.nonzero(close & ~whole[:, None])
+        vector = ids[q, k]
+        sure = np.einsum("ed,ed->e", queries[at + q], graph.vectors[vector]) >= threshold
+        pairs.append((at + q[sure], vector[sure]))
+    return np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]), np.concatenate(full)

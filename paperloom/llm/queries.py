@@ -11,7 +11,7 @@ from paperloom.llm.bitpack import read_tokens, write_tokens
 from paperloom.llm.chat import fold_events, read_back, render_conversations
 from paperloom.llm.common import bucket_of
 from paperloom.llm.decontaminate import decontaminate
-from paperloom.llm.embedding_dedup import link_vectors
+from paperloom.llm.embedding_dedup import linked_and_audited
 from paperloom.llm.jaccard_join import similar_documents
 from paperloom.llm.language_id import fit_languages, identify_languages
 from paperloom.llm.line_dedup import drop_shared_lines
@@ -192,5 +192,6 @@ def op8_language_id(spark, folder):
 
 @_query("op1_embedding_dedup")
 def op1_embedding_dedup(spark, folder):
-    linked = link_vectors(_table(spark, folder, "embeddings").select("vec_id", "embedding"), threshold=0.95)
-    return linked.select("vec_id", "n_links", "component_id", "kept")
+    linked, audit = linked_and_audited(_table(spark, folder, "embeddings").select("vec_id", "embedding"), threshold=0.95)
+    told = F.lit(audit.links).cast("long").alias("audited_links"), F.lit(audit.found).cast("long").alias("audited_found")
+    return linked.select("vec_id", "n_links", "component_id", "kept", *told)

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from paperloom.llm import embedding_dedup, hnsw, jaccard_join
 from paperloom.llm.embedding_dedup import link_vectors
@@ -87,34 +88,82 @@ def test_graph_search_finds_almost_all_links():
     centres = rng.normal(size=(60, 24))
     x = np.concatenate((centres[rng.integers(0, 60, 900)] + 0.12 * rng.normal(size=(900, 24)), rng.normal(size=(900, 24))))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    q, v = hnsw.linked(hnsw.build(x), x, 0.95, 32)
+    graph, ids = hnsw.build(x), np.arange(len(x))
+    q, v, full = hnsw.linked(graph, x, 0.95, 64)
     true = x @ x.T >= 0.95
-    assert true[q, v].all() and len(q) >= 0.99 * true.sum()
+    assert true[q, v].all() and not len(full) and len(q) >= 0.99 * true.sum()
+    a, b = embedding_dedup.true_links(graph, x, ids, ids, 0.95)
+    assert sorted(zip(a.tolist(), b.tolist())) == sorted((i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(true))) if i != j)
     again = hnsw.Graph.from_bytes(hnsw.build(x[:50]).to_bytes())
-    assert len(hnsw.linked(again, x[:50], 0.95, 8)[0]) >= 50
+    assert len(hnsw.linked(again, x[:50], 0.95, 8)[0]) + 8 * len(hnsw.linked(again, x[:50], 0.95, 8)[2]) >= 50
 
 
-def test_audit_sees_rare_links_apart_from_matches_with_oneself(monkeypatch):
-    rng = np.random.default_rng(6)
-    x = rng.normal(size=(3000, 24))
-    x[1::20] = x[::20] + 0.02 * rng.normal(size=(150, 24))
+@pytest.mark.parametrize("noise", [0.02, 0.1, 0.3, 1.0])
+def test_dense_groups_are_counted_as_by_brute_force(noise, monkeypatch):
+    """Groups that lie close together, that reach over the threshold, and that hardly link at all."""
+    monkeypatch.setattr(embedding_dedup, "DENSE_AT_ONCE", 5000)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(3, 16))
+    x = centres[rng.integers(0, 3, 700)] + noise * rng.normal(size=(700, 16))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph, linked, n = hnsw.build(x[:1500]), hnsw.linked, np.arange(3000)
+    vectors, queries, weights = x[:400], x[300:], rng.integers(1, 5, 400)
+    counts, edges = embedding_dedup.dense_links(vectors, weights, queries, 0.95)
+    true = queries @ vectors.T >= 0.95
+    assert (counts == true @ weights).all()
+    # Edges join what links join, and nothing else: vectors are 0 to 399, query i is 300 + i.
+    want = roots([(300 + i, int(j)) for i, j in zip(*np.nonzero(true))], range(700))
+    linked = roots([(300 + int(a), int(b) + (300 if kind == 0 else 0)) for kind, p, q in edges for a, b in zip(p, q)], range(700))
+    together = roots([(300 + i, 300 + int(j)) for i in range(400) for j in np.flatnonzero(queries[i] @ queries.T >= 0.95)] + [(300 + i, int(j)) for i, j in zip(*np.nonzero(true))], range(700))
+    groups = lambda label: {frozenset(n for n in label if label[n] == r) for r in label.values()}
+    for n in range(700):
+        assert linked[n] == linked[want[n]] or want[n] == n
+    assert all(len({together[n] for n in g}) == 1 for g in groups(linked))
+
+
+def rare_links():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1200, 24))
+    x[1::20] = x[::20] + 0.02 * rng.normal(size=(60, 24))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return x, unit, (unit @ unit.T >= 0.95).sum(axis=1) - 1
+
+
+def test_an_audit_sees_that_only_matches_with_oneself_are_found(monkeypatch):
+    _, unit, true = rare_links()
+    ids, linked = np.arange(1200), hnsw.linked
+    cell = (hnsw.build(unit), ids, np.ones(1200, np.int64), ids, unit)
+    told = embedding_dedup._audit(*cell, 0.95, 32).to_pydict()
+    assert told["links"] == [int(true.sum())] and told["found"][0] >= 0.99 * true.sum()
 
-    def blind(graph, queries, threshold, beam):  # a narrow beam that finds nothing but the query itself
-        q, v = linked(graph, queries, threshold, beam)
-        near = queries[q] @ graph.vectors.T
-        keep = near[np.arange(len(q)), v] > 1 - 1e-9
-        return (q[keep], v[keep]) if beam < 128 else (q, v)
+    def blind(graph, queries, threshold, beam):
+        q, v, full = linked(graph, queries, threshold, beam)
+        return q[q == v], v[q == v], full
 
     monkeypatch.setattr(hnsw, "linked", blind)
-    q, v = np.nonzero(x @ graph.vectors.T >= 0.95)
-    want = {p for p in zip(q.tolist(), v.tolist()) if p[0] != p[1]}
-    for enough in (20, 10_000):  # 10,000 links aren't there, so brute force answers
-        a, b = embedding_dedup.audited_links(graph, x, n, n[:1500], 0.95, 32, 128, 0.99, enough)
-        got = set(zip(a.tolist(), b.tolist()))
-        assert got <= want and len(got) >= 0.99 * len(want)
-    assert embedding_dedup.RECALL >= 0.99
+    assert embedding_dedup._audit(*cell, 0.95, 32).to_pydict() == {"links": [int(true.sum())], "found": [0]}
+
+
+def test_recall_is_audited_and_reported(spark):
+    x, _, true = rare_links()
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    linked, audit = embedding_dedup.linked_and_audited(rows, shard_bytes=60_000)
+    got = {r.vec_id: r.n_links for r in linked.collect()}
+    assert audit.links == true.sum() and audit.recall() >= 0.99 and 0.9 < audit.least_recall() <= audit.recall()
+    assert sum(got.values()) >= 0.99 * true.sum() and all(got[i] <= n for i, n in enumerate(true))
+    assert embedding_dedup.Audit(32, 0, 0).recall() == 1.0 and embedding_dedup.Audit(32, 0, 0).least_recall() == 0.0
+
+
+def test_a_third_of_all_vectors_in_one_group(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 16))
+    x[:1000] = x[0] + 0.05 * rng.normal(size=(1000, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    out = {r.vec_id: r for r in link_vectors(rows, shard_bytes=100_000).collect()}
+    true = unit @ unit.T >= 0.95
+    label = roots([(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(true, 1)))], range(3000))
+    assert [out[i].n_links for i in range(3000)] == (true.sum(axis=1) - 1).tolist()
+    assert [out[i].component_id for i in range(3000)] == [label[i] for i in range(3000)]
 
 
 def test_links_of_vectors(spark):
