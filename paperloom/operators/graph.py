@@ -272,14 +272,20 @@ def kg_stats(nodes: DataFrame, edges: DataFrame, required: dict[str, list[str]]
 def find_nodes(nodes: DataFrame, requests: DataFrame) -> DataFrame:
     """Nodes for each ``(request_id, label, wanted map)``: all wanted properties must be equal.
 
-    One wanted property leads the equi-join, the others are compared on the joined row.
+    The wanted property that the fewest nodes have leads the equi-join, the others are compared
+    on the joined row; so a value that most nodes have is never joined if there is a rarer one. A request
+    that wants nothing but nulls finds nothing.
     """
-    first = F.get(F.map_entries("wanted"), 0)
-    asked = requests.select("request_id", "label", "wanted", first["key"].alias("prop"), first["value"].alias("value"))
+    same = ["label", "prop", "value"]
+    asked = requests.select("request_id", "label", "wanted").withColumn("ask", F.to_json(F.array_sort(F.map_entries("wanted"))))
+    entries = asked.select("request_id", "label", "ask", F.explode("wanted").alias("prop", "value")).where("value IS NOT NULL")
     offered = nodes.select("label", "key", "props", F.explode("props").alias("prop", "value"))
-    offered = offered.join(asked.select("label", "prop").distinct(), ["label", "prop"], "left_semi")
+    offered = offered.join(entries.select(*same).distinct(), same, "left_semi")
+    counts = offered.groupBy(*same).agg(F.count("*").alias("n"))
+    lead = entries.join(counts, same, "left").groupBy("request_id", "label", "ask").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "prop", "value")).alias("lead"))
+    led = asked.join(lead, ["request_id", "label", "ask"]).select("request_id", "label", "wanted", "lead.prop", "lead.value")
     rest = F.forall(F.map_entries("wanted"), lambda e: F.try_element_at(F.col("props"), e["key"]).eqNullSafe(e["value"]))
-    return asked.join(offered, ["label", "prop", "value"]).where(rest).select("request_id", "label", "key", "props")
+    return led.join(offered, same).where(rest).select("request_id", "label", "key", "props")
 
 
 def find_edges(edges: DataFrame, requests: DataFrame) -> DataFrame:

@@ -102,3 +102,13 @@ def test_every_table_is_read_once_for_all_of_its_entries(spark, tmp_path):
         ("L'1", "1", {"p'q": None}), ("L'1", "11", {}), ("L'1", "14", {}), ("L'1", "4", {"p'q": "x'y"}), ("M", "2", {}), ("M", "3", {}), ("N", "x'y", {}),
     ]
     assert sorted((r.src_key, r.rel_type, r.dst_key, r.props) for r in found[1].collect()) == [("1", "HAS", "2", {"n": "2"}), ("1", "HAS", "3", {"n": "3"}), ("4", "IS", "x'y", {})]
+
+
+def test_the_rarest_wanted_property_leads_a_lookup(spark):
+    rows = [("Gene", str(i), {"kind": "x", "name": f"n{i % 50}", "gone": None}) for i in range(200)]
+    nodes = spark.createDataFrame(rows, "label string, key string, props map<string,string>")
+    asked = [(1, "Gene", {"kind": "x", "name": "n7"}), (2, "Gene", {"kind": "y", "name": "n7"}), (3, "Gene", {"kind": "x", "gone": None, "name": "n8"}), (4, "Drug", {"name": "n7"}),
+             (5, "Gene", {"gone": None}), (5, "Gene", {"name": "n9"})]
+    found = kg.find_nodes(nodes, spark.createDataFrame(asked, "request_id long, label string, wanted map<string,string>"))
+    got = sorted((r.request_id, int(r.key)) for r in found.collect())
+    assert got == sorted([(1, k) for k in (7, 57, 107, 157)] + [(3, k) for k in (8, 58, 108, 158)] + [(5, k) for k in (9, 59, 109, 159)])
