@@ -106,20 +106,35 @@ def streamed_graph_links(spark, folder):
     return streamed_graph(spark, folder).read("links").select("src_key", "rel_type", "dst_key", F.md5(flat_props(F.col("props"))).alias("props_md5"))
 
 
-@register("streamed_requests", "D14", """
+REQUESTS_SQL = """
 WITH RECURSIVE log AS (
   SELECT 'pubmed:' || event_type || '?[["user","' || user_id || '"]]' AS request_key, ts, min(event_id) AS event_id FROM events GROUP BY 1, 2),
 passed AS (
   SELECT request_key, min(ts) AS ts FROM log GROUP BY 1
   UNION ALL SELECT p.request_key, min(l.ts) FROM passed p JOIN log l ON l.request_key = p.request_key AND l.ts > p.ts + INTERVAL 7 DAY GROUP BY p.request_key, p.ts)
-SELECT request_key, event_id FROM passed JOIN log USING (request_key, ts)""")
-def streamed_requests(spark, folder):
-    out, checkpoint = fresh_folder(spark, "requests"), fresh_folder(spark, "checkpoint")
+SELECT request_key, event_id FROM passed JOIN log USING (request_key, ts)"""
+
+
+def keyed_requests(spark, folder):
+    """The event log as a stream of requests."""
     events = sp.stream_table(spark, folder, "events.parquet")
     params = F.create_map(F.lit("user"), F.col("user_id").cast("string"))
-    keyed = events.select(
+    return events.select(
         lit.request_key(F.lit("pubmed"), F.col("event_type"), params).alias("request_key"), F.col("ts").cast("timestamp").alias("fetched_at"), "event_id"
     )
-    passed = sp.dedupe_stream(keyed, ["request_key"], "fetched_at", timedelta(days=7), "event_id")
+
+
+@register("streamed_requests", "D14", REQUESTS_SQL)
+def streamed_requests(spark, folder):
+    out, checkpoint = fresh_folder(spark, "requests"), fresh_folder(spark, "checkpoint")
+    passed = sp.dedupe_stream(keyed_requests(spark, folder), ["request_key"], "fetched_at", timedelta(days=7), "event_id")
     sp.poll_once(passed, sp.keyed_writer(out), checkpoint)
     return spark.read.parquet(out).select("request_key", "event_id")
+
+
+@register("spread_requests", "D14", REQUESTS_SQL)
+def spread_requests(spark, folder):
+    """The same rows by rounds of least times, which no hot key holds up."""
+    out, checkpoint = fresh_folder(spark, "requests"), fresh_folder(spark, "checkpoint")
+    sp.poll_once(keyed_requests(spark, folder), sp.lifetime_writer(out, ["request_key"], "fetched_at", timedelta(days=7), "event_id", buckets=8), checkpoint)
+    return sp.passed(spark, out, buckets=8).select("request_key", "event_id")

@@ -18,7 +18,7 @@ from paperloom.operators import structure as st
 from paperloom.operators import triples as tp
 from paperloom.plans.graph_merge import graph_store, merge_batch, paper_nodes
 from paperloom.session import materialize
-from paperloom.sources.bucket_store import BucketStore
+from paperloom.sources.bucket_store import BucketStore, Table
 
 
 def stream_papers(
@@ -236,3 +236,57 @@ def dedupe_stream(stream: DataFrame, keys: list[str], time: str, ttl: timedelta,
 
     timed = stream.withColumn("_at", F.unix_micros(F.col(time))).withWatermark(time, f"{(ttl if lateness is None else lateness) // timedelta(microseconds=1)} microseconds")
     return timed.groupBy(*keys).applyInPandasWithState(passing, stream.schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+LAST_PASSED = {"state": Table("request string, last long", ("request",))}
+
+
+def lifetime_store(spark: SparkSession, folder: str, buckets: int | None = None) -> BucketStore:
+    """When each key last went through."""
+    return BucketStore(spark, f"{folder}/state", {name: t if buckets is None else t._replace(buckets=buckets) for name, t in LAST_PASSED.items()})
+
+
+def lifetime_writer(folder: str, keys: list[str], time: str, ttl: timedelta, tie: str, buckets: int | None = None):
+    """Sink that writes the rows of a batch that ``dedupe_stream`` would let through, without holding a key in one task.
+
+    A round finds, for every key, its first row that comes more than ``ttl`` after the last one
+    that went through: a least value by key, formed before the shuffle, so a key with a third of
+    all rows is spread like any other. There are as many rounds as rows of one key go through, at
+    most the time that a batch covers over ``ttl``. Rows that follow newer ones of their key in a later batch are
+    repeats if they are no more than ``ttl`` newer than the last that went through; no watermark drops any.
+    Passed rows are kept by ``batch_id`` and count from the commit of the state on (``passed``). One writer per folder.
+    """
+    lifetime = ttl // timedelta(microseconds=1)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        store = lifetime_store(spark, folder, buckets)
+        if batch_id <= store.last_batch():
+            return
+        request = F.to_json(F.struct(*keys))
+        rows = materialize(batch.withColumns({"request": request, "_at": F.unix_micros(F.col(time))}).where("_at IS NOT NULL"), "requests")
+        touched = store.touched("state", rows)
+        state = materialize(store.read("state", touched), "state")
+        path = f"{folder}/passed/batch_id={batch_id}"
+        batch.limit(0).write.mode("overwrite").parquet(path)
+        fresh = F.col("last").isNull() | (F.col("_at") > F.col("last") + lifetime)
+        while True:
+            # What the state rules out now stays out, so each round reads fewer rows than the one before.
+            rows = rows.join(state, "request", "left").where(fresh).drop("last")
+            first = materialize(rows.groupBy("request").agg(F.min("_at").alias("_at")), "first")
+            if not first.limit(1).count():
+                break
+            at_first = materialize(rows.join(first, ["request", "_at"], "left_semi"), "at-first")
+            least = at_first.groupBy("request", "_at").agg(F.min(tie).alias(tie))
+            passing = at_first.join(least, ["request", "_at", tie], "left_semi").dropDuplicates(["request"])
+            passing.select(*batch.columns).write.mode("append").parquet(path)
+            moved = state.join(first, "request", "full").select("request", F.coalesce("_at", "last").alias("last"))
+            state, rows = materialize(moved, "state"), materialize(rows, "requests")
+        store.commit(batch_id, replaced={"state": (state, touched)}, added={})
+
+    return write
+
+
+def passed(spark: SparkSession, folder: str, buckets: int | None = None) -> DataFrame:
+    """The rows that ``lifetime_writer`` let through in committed batches."""
+    return spark.read.parquet(f"{folder}/passed").where(F.col("batch_id") <= lifetime_store(spark, folder, buckets).last_batch())

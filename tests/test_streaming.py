@@ -114,6 +114,23 @@ def test_repeats_pass_again_after_the_lifetime(spark, tmp_path, cuts):
     assert sorted(r.n for r in spark.read.parquet(out).collect()) == [1, 3, 5, 7]
 
 
+@pytest.mark.parametrize("cuts", [[], [3], [1, 2, 4, 6]])
+def test_rounds_of_least_times_let_the_same_rows_through(spark, tmp_path, cuts):
+    landing, out, mark = (str(tmp_path / n) for n in ("landing", "out", "mark"))
+    os.makedirs(landing)
+    log = [("k", 1, 2), ("k", 1, 1), ("k", 1, 1), ("z", 2, 3), ("k", 8, 4), ("k", 9, 5), ("z", 9, 6), (None, 9, 8), ("k", 17, 7)]
+    table = pd.DataFrame(log, columns=["key", "day", "n"])
+    table["at"] = pd.to_datetime(table["day"].map(lambda d: f"2024-01-{d:02d}")).dt.tz_localize("UTC")
+    sink = sp.lifetime_writer(out, ["key"], "at", timedelta(days=7), "n", buckets=2)
+    for number, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(log)])):
+        table.iloc[a:b].drop(columns="day").to_parquet(f"{landing}/{number}.parquet", coerce_timestamps="us")
+        sp.poll_once(sp.stream_table(spark, landing, "*.parquet"), sink, mark)
+    # The first of equal times passes: 1, unless 2 came in an earlier batch.
+    first = 2 if 1 in cuts else 1
+    rows = sp.passed(spark, out, 2)
+    assert sorted(r.n for r in rows.collect()) == sorted([first, 3, 5, 7, 8]) and rows.columns[:3] == ["key", "n", "at"]
+
+
 @pytest.mark.parametrize("lateness, passed", [(None, "abcef"), (timedelta(days=30), "abcdef")])
 def test_late_rows_and_equal_times_of_other_keys_pass(spark, tmp_path, lateness, passed):
     """One file a batch: c is late by less than the lifetime, d by more, e ties with the newest time; the late a is a repeat."""
