@@ -21,7 +21,7 @@ MARK = "<|"  # fixed value: how special tokens begin
 # White space that is no blank, tab or line break, and ASCII control characters.
 UNUSUAL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\xa0 ᠎ -‏    ⁠　﻿]")
 # Pieces; the one Latin letter left out, U+0130, ends in a combining mark when it is lower-cased.
-PIECES = re.compile(r" ?\w*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f](?=[.,;:!?])| ?[^ \t\r\n]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]")
+PIECES = re.compile(r" ?[^ \t\r\n.,;:!?]++(?![^ \t\r\n])| ?\w*[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f](?=[.,;:!?])| ?[^ \t\r\n]+|[ \t\r\n]+(?![^ \t\r\n])|[ \t\r\n]")
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
