@@ -8,6 +8,8 @@ from paperloom.catalog.registry import register, table, with_ctes
 from paperloom.operators import structure as st
 from paperloom.sources import tables
 
+# Fixed values throughout: the twins repeat layout words, label patterns and break marks, whose matches must be the same.
+
 # The same expression runs in Spark and in the SQL twin.
 PAPER_TEXT_SQL = """
   concat_ws(chr(10),

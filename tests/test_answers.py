@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from paperloom.operators import answers as qa
-from paperloom.plans.answers import answer_questions
+from paperloom.plans.answers import answer_questions, search_and_answer
 
 CHUNK = "query_id long, doc_id string, text string, paper_id string, section_path string, score double, rank int, citation string, title string, source_api string, year string"
 
@@ -103,3 +103,33 @@ def test_citation_forms(spark):
     audit = qa.audit_answers(df, known, df.limit(0)).first()
     assert (audit.citations, audit.invalid, audit.citations_valid, audit.confidence) == (3, 0, True, 0.86)
     assert F is not None
+
+
+def test_the_whole_pipeline_repairs_only_answers_that_fail(spark):
+    queries = spark.createDataFrame([(1, "Which drug treats MELAS?"), (2, "What recent papers cover fusion?"), (3, "nothing found")], "query_id long, query_text string")
+    chunk = "query_id long, doc_id string, text string, paper_id string, section_path string, score double, rank int, citation string, title string, source_api string, year string"
+    local = spark.createDataFrame(
+        [(1, "a", "Idebenone treats MELAS well.", "PMID:111111", "Body", 1.0, 1, "[PMID:111111]", "", "", ""), (2, "b", "OPA1 drives fusion.", "PMID:222222", "Body", 1.0, 1, "[PMID:222222]", "", "", "")],
+        chunk,
+    )
+    asked = []
+
+    def literature(subs):
+        asked.extend(sorted((r.query_id, r.query_text) for r in subs.collect()))
+        found = [(10 * q + n, f"web-{q}", f"paper of {q}", f"p{q}", None, "pubmed", 2020, "title", 0.5 + n / 10, 1) for q in (1, 2) for n in (0, 1)]
+        return spark.createDataFrame(found, "query_id long, chunk_id string, text string, pmid string, doi string, source string, year int, title string, score double, rank int").withColumn(
+            "annotations", F.array().cast("array<string>")
+        )
+
+    summaries = spark.createDataFrame([("drug_targets", "Idebenone targets Complex I.")], "topic string, summary string")
+    known = spark.createDataFrame([("111111",), ("p1",)], "pmid string")
+    out = search_and_answer(queries, lambda q: local, literature, summaries, known)
+    subs = sorted((10 * r.query_id + r.sub_id, r.sub_query) for r in out.sub_queries.collect())
+    assert asked == subs and {n // 10 for n, _ in subs} == {1, 2, 3}
+    web = {r.query_id: (r.doc_id, r["rank"], round(r.score, 6)) for r in out.web.collect()}
+    assert web == {1: ("web-1", 1, 0.6), 2: ("web-2", 1, 0.6)}  # the best of the sub-questions, one a paper
+    audit = {r.query_id: r.retry for r in out.audit.collect()}
+    answers = {r.query_id: r.answer for r in out.answers.collect()}
+    assert set(answers) == {1, 2, 3} and audit[2] and answers[2].endswith(qa.RETRY_NOTE)
+    assert {q for q, a in answers.items() if a.endswith(qa.RETRY_NOTE)} == {q for q, again in audit.items() if again}
+    assert {r.query_id for r in out.entities.where("normalized_id IS NOT NULL").collect()} and {r.query_id for r in out.claims.collect()} >= {1, 2}
