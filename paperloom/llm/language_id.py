@@ -25,6 +25,7 @@ ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 # Bounds of the fit: rows a language, and rows in all.
 ROWS_PER_LANGUAGE, ROWS = 800, 20_000
+HASH_SLICES = 16
 
 
 def _letters() -> np.ndarray:
@@ -158,8 +159,12 @@ def fit_languages(
     taught = named.where((bucket_of(F.col("doc_id"), held_out[0]) != held_out[1]) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     seen, n = _document_frequencies(taught.select("text"))
     rarity = np.log((n + 1) / (seen + 1)) + 1
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("chosen"), "chosen"))
-    chosen = taught.select(F.col("doc_id").alias("chosen"), "lang").withColumn("place", place).where(F.col("place") <= rows_per_language)
+    # A slice of a language gives its smallest hashes first, so no window holds a language with most rows.
+    order = F.xxhash64("chosen"), F.col("chosen")
+    sliced = taught.select(F.col("doc_id").alias("chosen"), "lang").withColumn("slice", F.pmod(F.xxhash64("chosen", F.lit(1)), F.lit(HASH_SLICES)))
+    for within in (("lang", "slice"), ("lang",)):
+        sliced = sliced.withColumn("place", F.row_number().over(Window.partitionBy(*within).orderBy(*order))).where(F.col("place") <= rows_per_language)
+    chosen = sliced.select("chosen", "lang", "place")
     chosen = materialize(chosen.orderBy("place", "lang").limit(rows).select("chosen").distinct(), "taught")
 
     def features(batches):
