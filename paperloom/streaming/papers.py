@@ -123,14 +123,13 @@ def _same_file(listed: Column, found: Column) -> Column:
 
 
 def stream_table(spark: SparkSession, folder: str, name: str, max_files: int = 1000) -> DataFrame:
-    """Parquet files of one name pattern as a stream, with the schema of the stored files."""
-    schema = spark.read.option("pathGlobFilter", name).parquet(folder).schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", name)
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(folder)
-    )
+    """Parquet files of one name pattern, or those of a stored table, as a stream with the schema of the stored files.
+
+    A stored table is one file or a folder of files; as a pattern its name stands for both.
+    """
+    path = f"{folder}/{name}" if set(name) & set("*?[{") else f"{folder}/{{{name}}}"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
 def poll_once(stream: DataFrame, sink, checkpoint: str) -> StreamingQuery:

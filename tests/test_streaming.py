@@ -37,6 +37,16 @@ def test_new_file_is_taken_once_and_old_ones_can_be_skipped(spark, tmp_path):
     assert tables.read_whole_files(spark, landing, "texts").where("request = 'third'").first().payload == "third"
 
 
+def test_a_stored_table_is_one_file_or_a_folder_of_files(spark, tmp_path):
+    spark.range(6).repartition(3).write.parquet(f"{tmp_path}/many.parquet")
+    spark.range(4).toPandas().to_parquet(tmp_path / "one.parquet")
+    for name, count in (("many", 6), ("one", 4)):
+        out = f"{tmp_path}/{name}"
+        for _ in range(2):
+            sp.poll_once(sp.stream_table(spark, str(tmp_path), f"{name}.parquet"), sp.keyed_writer(out + "-out"), out + "-mark")
+        assert sorted(r.id for r in spark.read.parquet(out + "-out").collect()) == list(range(count))
+
+
 def test_one_broken_file_holds_up_no_other_and_is_tried_again(spark, tmp_path):
     landing, out = tmp_path / "landing", str(tmp_path / "out")
     landing.mkdir()
