@@ -86,6 +86,27 @@ def test_kg_row_alone_when_nothing_was_found(spark):
     assert ids == {"kg-subgraph", "specialist-disease-therapeutics"}
 
 
+def test_texts_of_a_question_meet_once(spark):
+    """One join, with the words asked; ranks are windows over it, so no text is joined back to its rank."""
+    context = spark.createDataFrame([(0, "t", "summary")], "query_id long, topic string, summary string")
+    out = qa.fuse_evidence(ask(spark, "Complex I subunits of mPTP"), chunks(spark, *LOCAL), chunks(spark, *WEB), context)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    rows = {r.evidence_id: r for r in out.collect()}
+    assert set(rows) == {"l1", "l2", "l3", "w1", "kg-subgraph", "specialist-mitophysiology", "specialist-disease-therapeutics"}
+    assert rows["kg-subgraph"].paper_id == "PMID:33174596" and sorted(r.rank for r in rows.values()) == list(range(1, 8))
+
+
+def test_texts_are_cut_to_what_can_hold_a_name(spark):
+    texts = ["x" * 500 + " Complex", "I " + "y" * 500 + " mt-nd4 " + "z" * 500 + " pin", None, "k1", "", "Parkin"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", qa._named_part(F.col("text")).alias("part"))
+    parts = [r.part for r in rows.orderBy("i").collect()]
+    assert all(part is None or len(part) < 60 for part in parts) and parts[2] is None and parts[4:] == ["", "Parkin"]
+    local = chunks(spark, *[(0, f"l{i}", t, "p", 1.0, i, "c") for i, t in enumerate(texts[:3])])
+    web = chunks(spark, (0, "w", "idebeno", "p", 1.0, 1, "c"), (0, "v", "ne", "p", 1.0, 2, "c"))
+    found = qa.question_entities(ask(spark, "q"), local, web)
+    assert {r.mention for r in found.collect()} == {"Complex I", "MT-ND4"}
+
+
 def test_claims_and_entities(spark):
     rows = spark.createDataFrame([(0, "e1", " The m.3243A>G variant. More", 1.5, 1), (0, "e2", " . x", 0.1, 2), (0, "e3", "Low", 0.1, 3)], "query_id long, evidence_id string, text string, score double, rank int")
     assert [(r.claim, r.confidence) for r in qa.extract_claims(rows).orderBy("rank").collect()] == [("The m", 0.95), ("Low", 0.3)]
