@@ -201,7 +201,8 @@ def filter_preprints(
     asked = queries.select("query_id", words.alias("words"))
     haystack = F.lower(F.concat_ws(" ", "title", "abstract", "category"))
     inside = preprints.where(F.col("date").between(start, end)).join(asked, "query_id")
-    fits = (F.size("words") == 0) | F.exists("words", lambda w: F.contains(haystack, w))
+    # An array of one, so that a text is put into lower case once and not for every word.
+    fits = (F.size("words") == 0) | F.exists(F.array(haystack), lambda text: F.exists("words", lambda w: F.contains(text, w)))
     if category:
         fits = fits & (F.lower("category") == category.lower())
     marked = inside.withColumn("hit", fits).drop("words").withColumn("_s", F.lit(0))
@@ -285,15 +286,10 @@ def dedupe_papers(candidates: DataFrame) -> DataFrame:
 
     Equal candidates: the first one wins; equal keys in the order they first came up.
     """
-    fields = [c for c in candidates.columns if c not in ("query_id", "key")]
-    best = candidates.groupBy("query_id", "key").agg(
-        F.max_by(
-            F.struct(*fields), F.struct(F.round("rank_value", SCORE_DECIMALS).alias("r"), (-F.col("index")).alias("i"))
-        ).alias("best"),
-        F.min("index").alias("first_index"),
-    )
-    flat = best.select("query_id", "key", "first_index", *[F.col(f"best.{c}").alias(c) for c in fields])
-    return ranked(flat, ["query_id"], "rank_value", ["first_index"], rank="position")
+    same = Window.partitionBy("query_id", "key")
+    order = same.orderBy(F.round("rank_value", SCORE_DECIMALS).desc(), "index")
+    best = candidates.withColumns({"_take": F.row_number().over(order), "first_index": F.min("index").over(same)})
+    return ranked(best.where("_take = 1").drop("_take"), ["query_id"], "rank_value", ["first_index"], rank="position")
 
 
 def hydrate(candidates: DataFrame, articles: DataFrame, n: int = HYDRATED) -> DataFrame:
@@ -337,16 +333,12 @@ def chunk_text() -> Column:
 def score_abstracts(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """Cosine of question and title + abstract, plus the score hint.
 
-    Question and candidate meet by an equi-join and their bucket lists are compared on the row.
+    Question and candidate meet by an equi-join and their texts are compared on the row.
     """
-    asked = queries.select("query_id", vx.buckets(F.col("query_text"), WEB_SALT).alias("asked"))
-    rows = candidates.withColumn("text", chunk_text()).withColumn("v", vx.buckets(F.col("text"), WEB_SALT))
-    scored = rows.join(asked, "query_id").withColumn(
-        "score", vx.bucket_cosine()("asked", "v") + F.col("score_hint")
-    )
-    scored = scored.drop("asked", "v").withColumn(
-        "chunk_id", F.concat(F.lit("web-"), F.replace(F.col("key"), F.lit(":"), F.lit("-")))
-    )
+    asked = queries.select("query_id", F.col("query_text").alias("asked"))
+    scored = candidates.withColumn("text", chunk_text()).join(asked, "query_id")
+    scored = scored.withColumn("score", vx.text_cosine(WEB_SALT)("asked", "text") + F.col("score_hint")).drop("asked")
+    scored = scored.withColumn("chunk_id", F.concat(F.lit("web-"), F.replace(F.col("key"), F.lit(":"), F.lit("-"))))
     return ranked(scored, ["query_id"], "score", ["position"])
 
 
@@ -356,17 +348,12 @@ def merge_subquery_results(results: DataFrame) -> DataFrame:
     ``results`` has ``query_id, sub_id, rank`` and the chunk's fields; ties keep the
     earlier sub-query, then the better rank.
     """
-    fields = [c for c in results.columns if c != "query_id"]
     keyed = results.withColumn("merge_key", paper_key(F.col("doi"), F.col("pmid"), F.col("chunk_id")))
-    best = keyed.groupBy("query_id", "merge_key").agg(
-        F.max_by(
-            F.struct(*fields),
-            F.struct(F.round("score", SCORE_DECIMALS).alias("s"), (-F.col("sub_id")).alias("u"), (-F.col("rank")).alias("r")),
-        ).alias("best"),
-        F.min(F.struct("sub_id", "rank")).alias("first_seen"),
-    )
-    flat = best.select("query_id", "first_seen", *[F.col(f"best.{c}").alias(c) for c in fields]).drop("rank")
-    return ranked(flat, ["query_id"], "score", ["first_seen.sub_id", "first_seen.rank"]).drop("first_seen")
+    same = Window.partitionBy("query_id", "merge_key")
+    order = same.orderBy(F.round("score", SCORE_DECIMALS).desc(), "sub_id", "rank")
+    best = keyed.withColumns({"_take": F.row_number().over(order), "_first": F.min(F.struct("sub_id", "rank")).over(same)})
+    best = best.where("_take = 1").drop("_take", "merge_key", "rank")
+    return ranked(best, ["query_id"], "score", ["_first.sub_id", "_first.rank"]).drop("_first")
 
 
 def web_citation(pmid: Column, doi: Column) -> Column:

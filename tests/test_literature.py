@@ -1,6 +1,10 @@
 import json
 import random
 
+import pandas as pd
+from pyspark.sql import functions as F
+
+from paperloom.functions import vectors as vx
 from paperloom.operators import literature as lit
 from paperloom.plans.literature import hydrated_papers
 
@@ -91,3 +95,28 @@ def test_manifest_change_counts_duplicates(spark):
     assert (first.title, first.first_author, first.doi) == ("Title", "Ada B", None)
     assert lit.refresh_manifest(rows, rows)[1].first().changed is False
     assert lit.refresh_manifest(rows, rows.limit(1))[1].first().changed is True
+
+
+def test_texts_are_compared_a_few_rows_at_a_time(spark, monkeypatch):
+    """The cosine of two texts is that of their buckets, and a batch of any size never becomes one matrix."""
+    texts = ["", None, "a", "a bb a bb", "x-y Ünit KELVIN Kelvin", "bb a a bb c"] * 50
+    pairs = [(n, t, texts[(n * 7 + 3) % len(texts)]) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(pairs, "n long, l string, r string")
+    rows = df.select("n", vx.buckets(F.col("l"), "s").alias("l"), vx.buckets(F.col("r"), "s").alias("r")).orderBy("n").toPandas()
+    want = (vx.count_matrix(rows["l"], vx.DIMENSION) * vx.count_matrix(rows["r"], vx.DIMENSION)).sum(axis=1)
+    assert [r.x for r in df.select("n", vx.text_cosine("s")("l", "r").alias("x")).orderBy("n").collect()] == want.tolist()
+    seen, own = [], vx._unit_rows
+    monkeypatch.setattr(vx, "_unit_rows", lambda counts: seen.append(len(counts)) or own(counts))
+    monkeypatch.setattr(vx, "ROWS_AT_ONCE", 16)
+    sides = [pd.Series([p[i] for p in pairs]) for i in (1, 2)]
+    assert vx.text_cosine("s").func(*sides).tolist() == want.tolist() and max(seen) <= 16
+
+
+def test_unasked_texts_are_not_moved(spark):
+    """Merging sub-questions for their ranks alone shuffles no text."""
+    schema = "sub_id long, query_id long, rank int, score double, doi string, pmid string, chunk_id string, text string"
+    rows = spark.createDataFrame([(0, 0, 1, 0.5, "10.1/A", None, "c1", "long"), (1, 0, 1, 0.9, "10.1/a", None, "c2", "other"), (1, 0, 2, 0.9, None, "7", "c3", "third")], schema)
+    merged = lit.merge_subquery_results(rows)
+    assert [(r.chunk_id, r.rank) for r in merged.orderBy("rank").collect()] == [("c2", 1), ("c3", 2)]
+    plan = merged.select("query_id", "chunk_id", "rank")._jdf.queryExecution().optimizedPlan().toString()
+    assert "text#" not in plan.split("LogicalRDD")[0]
