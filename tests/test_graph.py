@@ -112,3 +112,13 @@ def test_the_rarest_wanted_property_leads_a_lookup(spark):
     found = kg.find_nodes(nodes, spark.createDataFrame(asked, "request_id long, label string, wanted map<string,string>"))
     got = sorted((r.request_id, int(r.key)) for r in found.collect())
     assert got == sorted([(1, k) for k in (7, 57, 107, 157)] + [(3, k) for k in (8, 58, 108, 158)] + [(5, k) for k in (9, 59, 109, 159)])
+
+
+def test_one_property_is_merged_as_with_all_others(spark):
+    rows = spark.createDataFrame(
+        [("A", "1", {"name": "old", "x": "y"}, 1), ("A", "1", {"name": "new"}, 2), ("A", "2", {"name": "was"}, 1), ("A", "2", {"name": None}, 3), ("A", "2", {"x": "z"}, 4), ("B", "1", {}, 1)],
+        "label string, key string, props map<string,string>, seq long",
+    )
+    whole = {(r.label, r.key): r.props.get("name") for r in kg.merge_nodes(rows).collect()}
+    one = kg.merged_property(rows, kg.NODE_KEY, "name")
+    assert {(r.label, r.key): r.name for r in one.collect()} == whole == {("A", "1"): "new", ("A", "2"): None, ("B", "1"): None}
