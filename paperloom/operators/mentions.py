@@ -10,6 +10,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterable, Iterator
 from functools import cached_property, reduce
+from itertools import accumulate, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +21,10 @@ from paperloom.session import materialize
 
 # Bytes of literals in a shard, each of which takes some ten times as much in a worker.
 SHARD_BYTES = 8 << 20
+# Hits that a task holds before it hands them on.
+HITS_AT_ONCE = 1 << 16
+# Parts of the documents that hits of one literal are dealt into where they are shuffled.
+PARTS = 32
 
 
 class _Fold(dict):
@@ -108,31 +113,46 @@ def _hits_of(docs: DataFrame, shard, resolve: bool) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = shard.value.machine
+        def of(text: str | None) -> list[tuple]:
+            hits = occurrences(machine, text or "")
+            return [(*hit, text[hit[0] : hit[1]]) for hit in (longest_first(hits) if resolve else hits)]
+
         for batch in batches:
-            rows = []
-            for text in batch.column(1).to_pylist():
-                hits = occurrences(machine, text or "")
-                rows.append([(*hit, text[hit[0] : hit[1]]) for hit in (longest_first(hits) if resolve else hits)])
-            yield _batch(batch.column(0), rows)
+            yield from _pieces(batch.column(0), (of(text.as_py()) for text in batch.column(1)))
 
     return docs.select("doc_id", "text").mapInArrow(scan, f"doc_id {dict(docs.dtypes)['doc_id']}, hits {HITS}")
 
 
+def _pieces(ids: pa.Array, found: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
+    """Hits of the rows of a batch, handed on whenever there are ``HITS_AT_ONCE``."""
+    at, rows, count = 0, [], 0
+    for hits in found:
+        rows.append(hits)
+        count += len(hits)
+        if count >= HITS_AT_ONCE:
+            yield _batch(ids.slice(at, len(rows)), rows)
+            at, rows, count = at + len(rows), [], 0
+    if rows:
+        yield _batch(ids.slice(at, len(rows)), rows)
+
+
 def _batch(ids: pa.Array, rows: list[list[tuple]]) -> pa.RecordBatch:
-    named = [[dict(zip(("start", "end", "literal", "mention"), hit)) for hit in hits] for hits in rows]
-    return pa.RecordBatch.from_arrays([ids, pa.array(named, pa.list_(HIT))], names=["doc_id", "hits"])
+    columns = zip(*chain.from_iterable(rows)) if any(rows) else [()] * len(HIT)
+    hits = pa.StructArray.from_arrays([pa.array(values, field.type) for values, field in zip(columns, HIT)], fields=list(HIT))
+    ends = pa.array([0, *accumulate(map(len, rows))], pa.int32())
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(ends, hits)], names=["doc_id", "hits"])
 
 
 def _resolved(found: DataFrame) -> DataFrame:
     """Hits of a document from several shards, longer ones first."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(hits: list[dict]) -> list[tuple]:
+            said = {(h["start"], h["end"], h["literal"]): h["mention"] for h in hits}
+            return [(*hit, said[hit]) for hit in longest_first(said)]
+
         for batch in batches:
-            rows = []
-            for hits in batch.column(1).to_pylist():
-                said = {(h["start"], h["end"], h["literal"]): h["mention"] for h in hits}
-                rows.append([(*hit, said[hit]) for hit in longest_first(said)])
-            yield _batch(batch.column(0), rows)
+            yield from _pieces(batch.column(0), (of(hits.as_py()) for hits in batch.column(1)))
 
     together = found.where(F.size("hits") > 0).groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
     return together.mapInArrow(scan, f"doc_id {dict(found.dtypes)['doc_id']}, hits {HITS}")
@@ -149,15 +169,17 @@ def dictionary_mentions(docs: DataFrame, aliases: DataFrame, shard_bytes: int =
     empty aliases are left out.
 
     With one shard a document is read and resolved in its place and never shuffled. With
-    several it is read once for each, and its hits meet by ``doc_id``.
+    several it is read once for each, and its hits meet by ``doc_id``. What literals mean is broadcast
+    where it takes no more than a shard; a larger table of meanings meets the hits by literal and
+    part of the documents, so that a frequent word is not the task of one.
     """
     spark = docs.sparkSession
     given = aliases.where("alias IS NOT NULL AND alias <> ''").select("alias", "entity_type", "normalized_id").distinct()
     given = materialize(given.withColumn("low", F.lower("alias")), "aliases")
     texts = numbered(given.groupBy("low").agg(F.min("alias").alias("alias")), "low", "number")
     texts = texts.select("low", "alias", (F.col("number") - 1).cast("int").alias("literal"))
-    bytes_ = given.agg(F.sum(F.octet_length("alias"))).first()[0] or 0
-    shards = max(1, -(-int(bytes_) // shard_bytes))
+    sizes = given.agg(F.sum(F.octet_length("alias")), F.sum(F.octet_length(F.concat_ws("", "alias", "entity_type", "normalized_id")))).first()
+    shards = max(1, -(-int(sizes[0] or 0) // shard_bytes))
     dealt = materialize(texts.withColumn("shard", F.pmod(F.xxhash64("low"), F.lit(shards)).cast("int")), "literals")
     parts = []
     for number in range(shards):
@@ -167,4 +189,10 @@ def dictionary_mentions(docs: DataFrame, aliases: DataFrame, shard_bytes: int =
     hits = parts[0] if shards == 1 else _resolved(reduce(DataFrame.unionByName, parts))
     spans = hits.select("doc_id", F.inline("hits"))
     meant = dealt.join(given.drop("alias"), "low").select("literal", "entity_type", "normalized_id")
-    return spans.join(meant, "literal").select("doc_id", "start", "end", "mention", "entity_type", "normalized_id")
+    if (sizes[1] or 0) <= shard_bytes:
+        found = spans.join(F.broadcast(meant), "literal")
+    else:
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int").alias("part")
+        copies = meant.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+        found = spans.select("*", part).join(copies, ["literal", "part"])
+    return found.select("doc_id", "start", "end", "mention", "entity_type", "normalized_id")

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from paperloom.operators import mentions as mn
@@ -52,3 +53,24 @@ def test_no_literal_of_a_large_dictionary_is_in_the_plan(spark):
     found = mn.dictionary_mentions(docs, aliases)
     assert len(found._jdf.queryExecution().toString()) < 20_000
     assert sorted((r.start, r.normalized_id) for r in found.collect()) == [(8, "4711"), (42, "99999")]
+
+
+def test_hits_of_a_frequent_word_stay_or_are_spread(spark):
+    """Every document says one word: its hits aren't shuffled, or not by the word alone where meanings outgrow a shard."""
+    docs = spark.range(400).selectExpr("id AS doc_id", "'the end' AS text")
+    table = spark.createDataFrame([("the", "T", f"m{n}" * 9) for n in range(3)] + [("end", "T", "x")], "alias string, entity_type string, normalized_id string")
+    for shard_bytes, spread in ((1 << 20, False), (40, True)):
+        found = mn.dictionary_mentions(docs, table, shard_bytes)
+        assert found.count() == 1600 and found.groupBy("doc_id").count().where("count <> 4").count() == 0
+        plan = found._jdf.queryExecution().toString()
+        assert not re.search(r"hashpartitioning\(literal#\d+, \d+\)", plan) and ("part#" in plan) == spread
+
+
+def test_a_batch_hands_on_its_hits_in_pieces(monkeypatch):
+    monkeypatch.setattr(mn, "HITS_AT_ONCE", 5)
+    rows = [[(0, 3, 1, "the")] * n for n in (0, 2, 3, 0, 9, 1, 0)]
+    parts = list(mn._pieces(pa.array(range(7), pa.int64()), iter(rows)))
+    assert [len(p) for p in parts] == [3, 2, 2]
+    got = [(r["doc_id"], len(r["hits"])) for p in parts for r in p.to_pylist()]
+    assert got == [(n, len(hits)) for n, hits in enumerate(rows)] and parts[0].to_pylist()[1]["hits"][0] == {"start": 0, "end": 3, "literal": 1, "mention": "the"}
+    assert mn._batch(pa.array([8], pa.int64()), [[]]).to_pylist() == [{"doc_id": 8, "hits": []}]
