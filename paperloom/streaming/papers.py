@@ -249,8 +249,8 @@ def lifetime_writer(folder: str, keys: list[str], time: str, ttl: timedelta, tie
     """Sink that writes the rows of a batch that ``dedupe_stream`` would let through, without holding a key in one task.
 
     A round finds, for every key, its first row that comes more than ``ttl`` after the last one
-    that went through: a least value by key, formed before the shuffle, so a key with a third of
-    all rows is spread like any other. There are as many rounds as rows of one key go through, at
+    that went through: a least row by key, formed before the shuffle, so a key with a third of
+    all rows is spread like any other, and no row is joined back. There are as many rounds as rows of one key go through, at
     most the time that a batch covers over ``ttl``. Rows that follow newer ones of their key in a later batch are
     repeats if they are no more than ``ttl`` newer than the last that went through; no watermark drops any.
     Passed rows are kept by ``batch_id`` and count from the commit of the state on (``passed``). One writer per folder.
@@ -272,13 +272,12 @@ def lifetime_writer(folder: str, keys: list[str], time: str, ttl: timedelta, tie
         while True:
             # What the state rules out now stays out, so each round reads fewer rows than the one before.
             rows = rows.join(state, "request", "left").where(fresh).drop("last")
-            first = materialize(rows.groupBy("request").agg(F.min("_at").alias("_at")), "first")
+            first = rows.groupBy("request").agg(F.min_by(F.struct("_at", *batch.columns), F.struct("_at", F.col(tie).isNull(), tie)).alias("row"))
+            first = materialize(first.select("request", "row"), "first")
             if not first.limit(1).count():
                 break
-            at_first = materialize(rows.join(first, ["request", "_at"], "left_semi"), "at-first")
-            least = at_first.groupBy("request", "_at").agg(F.min(tie).alias(tie))
-            passing = at_first.join(least, ["request", "_at", tie], "left_semi").dropDuplicates(["request"])
-            passing.select(*batch.columns).write.mode("append").parquet(path)
+            first.select("row.*").select(*batch.columns).write.mode("append").parquet(path)
+            first = first.select("request", "row._at")
             moved = state.join(first, "request", "full").select("request", F.coalesce("_at", "last").alias("last"))
             state, rows = materialize(moved, "state"), materialize(rows, "requests")
         store.commit(batch_id, replaced={"state": (state, touched)}, added={})

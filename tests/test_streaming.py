@@ -152,3 +152,11 @@ def test_late_rows_and_equal_times_of_other_keys_pass(spark, tmp_path, lateness,
         stream = sp.dedupe_stream(sp.stream_table(spark, landing, "*.parquet"), ["key"], "at", timedelta(days=7), "n", lateness)
         sp.poll_once(stream, sp.keyed_writer(out), mark)
     assert "".join(sorted(r.key for r in spark.read.parquet(out).collect())) == passed
+
+
+def test_a_round_joins_no_row_back(spark, tmp_path):
+    """The row that goes through comes out of the least value by key itself, also where the tie is not known."""
+    rows = spark.sql("SELECT 'a' AS request_key, TIMESTAMP '2024-01-01 00:00:00' AS fetched_at, id AS event_id FROM VALUES (CAST(NULL AS BIGINT)), (7L), (3L) t(id) UNION ALL SELECT 'b', TIMESTAMP '2024-01-02 00:00:00', CAST(NULL AS BIGINT)")
+    sp.lifetime_writer(str(tmp_path), ["request_key"], "fetched_at", timedelta(days=7), "event_id", buckets=2)(rows, 0)
+    got = sp.passed(spark, str(tmp_path), buckets=2).select("request_key", "event_id").collect()
+    assert sorted((r.request_key, r.event_id) for r in got) == [("a", 3), ("b", None)]
