@@ -68,8 +68,10 @@ def streamed_graph(spark, folder, files=3):
     low, wide = ends.low or 0, (ends.high or 0) - (ends.low or 0) + 1
     number = F.floor((F.col("doc_id") - low) * files / wide).cast(LongType())
     sink = sp.ingest_writer(out, CORPUS_RULES, CORPUS_ALIASES, chunks=False, buckets=8)
+    # A range of ids may lie in a few of the stored files, so its texts are dealt over all cores.
+    parts = min(4 * spark.sparkContext.defaultParallelism, 1000)
     for n in range(files):
-        docs.where(number == n).write.mode("append").parquet(landing)
+        docs.where(number == n).repartition(parts, "doc_id").write.mode("append").parquet(landing)
         sp.poll_once(sp.stream_table(spark, landing, "*.parquet"), sink, checkpoint)
     return sp.ingest_graph(spark, out, buckets=8)
 

@@ -2,11 +2,13 @@ import gzip
 import os
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.catalog import streams
 from paperloom.sources import tables
 from paperloom.streaming import papers as sp
 
@@ -160,3 +162,17 @@ def test_a_round_joins_no_row_back(spark, tmp_path):
     sp.lifetime_writer(str(tmp_path), ["request_key"], "fetched_at", timedelta(days=7), "event_id", buckets=2)(rows, 0)
     got = sp.passed(spark, str(tmp_path), buckets=2).select("request_key", "event_id").collect()
     assert sorted((r.request_key, r.event_id) for r in got) == [("a", 3), ("b", None)]
+
+
+def test_landed_documents_are_dealt_over_the_cores(spark, tmp_path):
+    """Ids of one range lie in one stored file, whose texts one task would read alone."""
+    rows = [(n, f"It was the {n}th of the days. That and the end of the year.", "en", "s", 10) for n in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("landing-*"))
+    streams.streamed_graph(spark, str(tmp_path), files=2)
+    (landing,) = set(shared.glob("landing-*")) - before
+    landed = spark.read.parquet(str(landing)).select((F.col("doc_id") >= 20).alias("late"), F.input_file_name().alias("file"))
+    files = landed.groupBy("late").agg(F.count_distinct("file").alias("files"), F.count("*").alias("n")).collect()
+    assert sorted((r.late, r.n) for r in files) == [(False, 20), (True, 20)] and all(r.files > 1 for r in files)
