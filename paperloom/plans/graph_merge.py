@@ -50,7 +50,9 @@ def paper_nodes(docs: DataFrame) -> DataFrame:
 
 def adopt_edges(store: BucketStore, edges: DataFrame, batch_id: int = 0) -> None:
     """Commit the edges of another loader (``EDGE_SCHEMA`` and ``evidence_papers``) as the first batch of an empty store."""
-    kept, papers = tp.adopted_edges(edges)
+    # Few edges may stand on many papers each, so they are dealt over the cores before their papers become rows.
+    parts = int(store.spark.conf.get("spark.sql.shuffle.partitions"))
+    kept, papers = tp.adopted_edges(materialize(edges, "loaded").repartition(parts, *tp.EDGE))
     kept = materialize(kept, "adopted")
     store.commit(
         batch_id, replaced={"edges": (kept, store.touched("edges", kept))}, added={"evidence": papers.withColumn("batch", F.lit(batch_id).cast("long"))}

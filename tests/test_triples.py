@@ -119,3 +119,18 @@ def test_paper_id_falls_back(spark):
     df = spark.createDataFrame([("1", "d", "e"), (None, "d", "e"), ("", "", "a")], "p string, d string, e string")
     got = [r[0] for r in df.select(tp.paper_id(F.col("p"), F.col("d"), F.col("e"))).collect()]
     assert got == ["1", "d", "86f7e437faa5a7fc"]
+
+
+def test_winners_and_marks_are_stored_before_they_are_joined(spark):
+    rows = [(str(n), "A", "activates" if n % 3 else "inhibits", "B", 0.9, "seen", n) for n in range(9)]
+    triples = spark.createDataFrame(rows, "paper string, subject string, predicate string, object string, confidence double, evidence string, ord long")
+    known = spark.createDataFrame([("A",), ("B",)], "normalized_id string")
+    decided = tp.decide_triples(tp.validate_triples(triples, known))
+    assert "min_by" not in decided._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.paper, r.status) for r in decided.collect()) == [(str(n), "contradiction" if n % 3 else "merged") for n in range(9)]
+    none = spark.createDataFrame([], tp.EDGE_SCHEMA)
+    edges, added = tp.merge_stored_provenance(decided, none, spark.createDataFrame([], "subject string, predicate string, object string, paper string"), F.lit("now"))
+    for out in (edges, added):
+        assert "max(struct" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert [(r.predicate, r.evidence_count, r.first_paper, r.last_paper) for r in edges.collect()] == [("inhibits", 3, "0", "6")]
+    assert sorted(r.paper for r in added.collect()) == ["0", "3", "6"]
