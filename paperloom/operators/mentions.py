@@ -8,9 +8,10 @@ a document meets again by its id, where longer literals win.
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterable, Iterator
 from functools import cached_property, reduce
-from itertools import accumulate, chain
+from itertools import accumulate, chain, pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -49,29 +50,70 @@ def _in_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
 
-def automaton(literals: Iterable[tuple[int, str]]):
-    """An automaton of numbered literals; of literals that differ in case alone the first counts."""
+# What ``_in_word`` tells of a character, as a pattern: runs of such characters.
+RUN = re.compile(r"\w+")
+# The one character that isn't in a word but is once folded.
+IOTA_BELOW = "\u0345"
+
+
+class Machine:
+    """Numbered literals; of literals that differ in case alone the first counts.
+
+    A literal that is one run of word characters stands only where a run of a text is that literal, so runs
+    are looked up among ``words``, and only the ``others`` need an automaton.
+    """
+
+    def __init__(self, literals: Iterable[tuple[int, str]]):
+        self.words, rest = {}, {}
+        for number, literal in literals:
+            key = folded(literal)
+            if not key or key in self.words or key in rest:
+                continue
+            whole = literal[0].isalnum() and literal[-1].isalnum()
+            if whole and RUN.fullmatch(literal):
+                self.words[key] = number
+            else:
+                rest[key] = (number, len(key), whole)
+        self.rest, self.others = rest, _automaton(rest)
+
+    @cached_property
+    def all(self):
+        """An automaton of all literals, for texts whose runs change as they are folded."""
+        return _automaton(self.rest | {key: (number, len(key), True) for key, number in self.words.items()})
+
+
+def _automaton(literals: dict[str, tuple[int, int, bool]]):
     import ahocorasick
 
     machine = ahocorasick.Automaton()
-    for number, literal in literals:
-        key = folded(literal)
-        if key and key not in machine:
-            machine.add_word(key, (number, len(key), literal[0].isalnum() and literal[-1].isalnum()))
+    for key, value in literals.items():
+        machine.add_word(key, value)
     if len(machine):
         machine.make_automaton()
     return machine
 
 
-def occurrences(machine, text: str) -> Iterator[tuple[int, int, int]]:
+def automaton(literals: Iterable[tuple[int, str]]) -> Machine:
+    """What ``occurrences`` looks for in a text: numbered literals."""
+    return Machine(literals)
+
+
+def occurrences(machine: Machine, text: str) -> Iterator[tuple[int, int, int]]:
     """``(start, end, literal)`` wherever a literal stands; one that begins and ends in a letter or digit only as whole words.
 
     Of places of one literal that overlap, the first from the left counts, then the next one free of it.
     """
-    if not len(machine):
+    low, words, others, free = folded(text), machine.words, machine.others, {}
+    if words and IOTA_BELOW in text:
+        others = machine.all
+    elif words:
+        for run in RUN.finditer(low):
+            number = words.get(run.group())
+            if number is not None:
+                yield *run.span(), number
+    if not len(others):
         return
-    low, free = folded(text), {}
-    for last, (number, size, word) in machine.iter(low):
+    for last, (number, size, word) in others.iter(low):
         start, end = last + 1 - size, last + 1
         if word and ((start and _in_word(text[start - 1])) or (end < len(text) and _in_word(text[end]))):
             continue
@@ -82,6 +124,9 @@ def occurrences(machine, text: str) -> Iterator[tuple[int, int, int]]:
 
 def longest_first(hits: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Hits that no longer one overlaps, in the order of the text; of equally long ones the smaller number, then the earlier place, wins."""
+    hits = sorted(hits)
+    if all(a[1] <= b[0] for a, b in pairwise(hits)):
+        return hits
     starts, ends, kept = [], [], []
     for start, end, number in sorted(hits, key=lambda h: (h[0] - h[1], h[2], h[0])):
         at = bisect.bisect_right(starts, start)

@@ -74,3 +74,20 @@ def test_a_batch_hands_on_its_hits_in_pieces(monkeypatch):
     got = [(r["doc_id"], len(r["hits"])) for p in parts for r in p.to_pylist()]
     assert got == [(n, len(hits)) for n, hits in enumerate(rows)] and parts[0].to_pylist()[1]["hits"][0] == {"start": 0, "end": 3, "literal": 1, "mention": "the"}
     assert mn._batch(pa.array([8], pa.int64()), [[]]).to_pylist() == [{"doc_id": 8, "hits": []}]
+
+
+def test_words_are_looked_up_where_no_gap_is_in_them():
+    """Literals of one run of word characters need no automaton, and are found where an automaton of all finds them."""
+    literals = list(enumerate(["the", "The", "other", "x_y", "ÉCole", "a1", "complex i", ">g", "_x", "i", "ια", "complex"]))
+    machine = mn.automaton(literals)
+    assert machine.words == {"the": 0, "other": 2, "x_y": 3, "école": 4, "a1": 5, "i": 9, "ια": 10, "complex": 11} and len(machine.others) == 3
+    by_automaton = mn.automaton([])
+    by_automaton.others = machine.all
+    rng = random.Random(6)
+    pieces = ["the", "THE", "other", "x_y", "_x", "école", "É", "a1", "complex i", "m>g", " ", " ", ",", "_", "\u0345α", "ι", "α", "ß", "İ", ""]
+    for _ in range(3000):
+        text = "".join(rng.choices(pieces, k=rng.randint(0, 9)))
+        hits = list(mn.occurrences(machine, text))
+        assert sorted(hits) == sorted(mn.occurrences(by_automaton, text)), text
+        free = [h for h in hits if not any(a != h and a[0] < h[1] and h[0] < a[1] for a in hits)]
+        assert set(free) <= set(mn.longest_first(hits)) and (len(free) < len(hits) or mn.longest_first(hits) == sorted(hits))
