@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from paperloom.functions import text as tx
 from paperloom.operators import answers as qa
 from paperloom.plans.answers import answer_questions, search_and_answer
 
@@ -154,3 +155,46 @@ def test_the_whole_pipeline_repairs_only_answers_that_fail(spark):
     assert set(answers) == {1, 2, 3} and audit[2] and answers[2].endswith(qa.RETRY_NOTE)
     assert {q for q, a in answers.items() if a.endswith(qa.RETRY_NOTE)} == {q for q, again in audit.items() if again}
     assert {r.query_id for r in out.entities.where("normalized_id IS NOT NULL").collect()} and {r.query_id for r in out.claims.collect()} >= {1, 2}
+
+
+def test_scored_chunks_give_the_same_evidence(spark):
+    """Chunks scored where they meet their texts, whose texts stay behind, against chunks that bring them along."""
+    texts = ["mPTP is formed by ATP synthase. More", "Complex I subunits of mPTP hold mt-nd4.", None, "", "the the the. complex i", "non-ATP mPTP Ünit"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    questions = ask(spark, "Complex I subunits of mPTP", "mt-nd4 mPTP", "??", "the complex I", None)
+    questions = questions.unionByName(questions.where("query_id = 3"))  # a question that comes twice
+    pairs = [(q, (q + n) % 6, 1.0 - n / 10, n + 1) for q in range(5) for n in range(6)] + [(7, 0, 1.0, 1)]
+    found = spark.createDataFrame(pairs, "query_id long, doc_id long, score double, rank int")
+    context = spark.createDataFrame([(0, "t", "summary of mPTP. x"), (3, "t", "s")], "query_id long, topic string, summary string")
+
+    def as_chunks(df, name, *more):
+        about = {"section_path": "Body", "citation": "c", "title": "", "source_api": "", "year": ""}
+        df = df.withColumn("paper_id", F.concat(F.lit(name), F.col("doc_id").cast("string")))
+        return df.withColumn("doc_id", F.col("paper_id")).select(
+            "query_id", "doc_id", "text", "paper_id", "score", "rank", *[F.lit(v).alias(c) for c, v in about.items()], *more
+        )
+
+    kinds = {"md5": F.md5, "claim": qa.leading_claim, "terms": qa.disputed_terms()}
+    plain = [as_chunks(found.join(docs, "doc_id"), name) for name in "lw"]
+    evidence = qa.fuse_evidence(questions, *plain, context)
+    for name, kept in kinds.items():
+        scored = [as_chunks(qa.with_scored_texts(found, questions, docs, kept, text=F.lit(None).cast("string")), name, "kept", "lexical") for name in "lw"]
+        short = qa.fuse_evidence(questions, *scored, context, kept=kept)
+
+        def rows(df):
+            columns = [c for c in evidence.columns if c not in ("text", "score")]
+            return sorted(map(str, df.select(*columns, F.round("score", 12).alias("s"), "text").collect()))
+
+        assert rows(short) == rows(evidence.withColumn("text", kept(F.col("text")))), name
+        assert "full" not in short.columns
+    # The last of the kinds is all that the rules look at.
+    disputes = [sorted(map(str, qa.evidence_contradictions(questions, e).collect())) for e in (evidence, short)]
+    assert disputes[0] == disputes[1] and len(disputes[0]) > 0
+
+
+def test_beginnings_are_shortened_like_whole_texts(spark):
+    texts = [" " * 9 + "word " * 200, "x" * 330, "x" * 320 + " y", "x" * 321 + " ", "a b", "", None, "w " * 159 + "ab", "w\n" * 160 + " " * 50 + "z", "é " * 161]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    for n in (80, 90, 280, 320):
+        cut = rows.select(tx.shorten(F.col("text"), n).alias("whole"), tx.shorten(tx.beginning(F.col("text"), 320), n).alias("cut")).collect()
+        assert all(r.whole == r.cut for r in cut)
