@@ -167,11 +167,18 @@ def _found(graph, reps, copies, ids, queries, threshold: float, beam: int) -> pa
 
 def _audit(graph, reps, copies, ids, queries, threshold: float, beam: int) -> pa.RecordBatch:
     """How many links the queries truly have in a shard, and how many of them are found: all of a full query, as it is answered in full."""
-    q, v = true_links(graph, queries, ids, reps, threshold)
-    found_q, found_v, full = hnsw.linked(graph, queries, threshold, beam)
-    size = len(reps)
-    hit = np.isin(q * size + v, found_q * size + found_v) | np.isin(q, full)
-    return pa.RecordBatch.from_arrays([pa.array([len(q)], pa.int64()), pa.array([int(hit.sum())], pa.int64())], names=["links", "found"])
+    size, links, found = len(reps), 0, 0
+    step = max(1, DENSE_AT_ONCE // max(1, size))
+    for at in range(0, len(ids), hnsw.SEARCHED_AT_ONCE):
+        some, own = queries[at : at + hnsw.SEARCHED_AT_ONCE], ids[at : at + hnsw.SEARCHED_AT_ONCE]
+        found_q, found_v, full = hnsw.linked(graph, some, threshold, beam)
+        for low in range(0, len(own), step):
+            # Few queries at a time: in a dense group each has as many links as the shard has vectors of it.
+            q, v = true_links(graph, some[low : low + step], own[low : low + step], reps, threshold)
+            hit = np.isin((low + q) * size + v, found_q * size + found_v) | np.isin(low + q, full)
+            links += len(q)
+            found += int(hit.sum())
+    return pa.RecordBatch.from_arrays([pa.array([links], pa.int64()), pa.array([found], pa.int64())], names=["links", "found"])
 
 
 def _answers(block: Callable[..., pa.RecordBatch]):

@@ -17,16 +17,23 @@ class Graph:
         self.near = vectors.astype(np.float32)
 
     def to_bytes(self) -> bytes:
-        out = io.BytesIO()
-        levels = {f"level{n}": links.astype(np.int32) for n, links in enumerate(self.neighbours)}
+        """Of each level only the vectors that have neighbours there, which are few in the upper ones."""
+        out, levels = io.BytesIO(), {}
+        for n, links in enumerate(self.neighbours):
+            linked = np.flatnonzero((links >= 0).any(axis=1))
+            levels |= {f"linked{n}": linked.astype(np.int32), f"level{n}": links[linked].astype(np.int32)}
         np.savez(out, vectors=self.vectors, entry=self.entry, **levels)
         return out.getvalue()
 
     @staticmethod
     def from_bytes(raw: bytes) -> "Graph":
         kept = np.load(io.BytesIO(raw))
-        levels = [kept[f"level{n}"].astype(np.int64) for n in range(len(kept.files) - 2)]
-        return Graph(kept["vectors"], levels, int(kept["entry"]))
+        vectors, levels = kept["vectors"], []
+        for n in range((len(kept.files) - 2) // 2):
+            some = kept[f"level{n}"]
+            levels.append(np.full((len(vectors), some.shape[1]), -1, np.int64))
+            levels[-1][kept[f"linked{n}"]] = some
+        return Graph(vectors, levels, int(kept["entry"]))
 
 
 def beam_search(near: np.ndarray, neighbours: np.ndarray, queries: np.ndarray, entries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +124,10 @@ def _all_reached(near: np.ndarray, level: np.ndarray, entry: int) -> np.ndarray:
         lost = np.flatnonzero(~reached)
         if not len(lost):
             return level
-        hosts = beam_search(near, level, near[lost], np.full((len(lost), 1), entry), BUILD_BEAM)[0][:, 0]
+        hosts = np.empty(len(lost), np.int64)
+        for at in range(0, len(lost), SEARCHED_AT_ONCE):
+            some = lost[at : at + SEARCHED_AT_ONCE]
+            hosts[at : at + len(some)] = beam_search(near, level, near[some], np.full((len(some), 1), entry), BUILD_BEAM)[0][:, 0]
         extra = np.full((len(near), 1), -1)
         extra[hosts, 0] = lost
         level = np.hstack((level, extra))

@@ -183,3 +183,27 @@ def test_links_of_vectors(spark):
             assert (out[i].n_links, out[i].component_id, out[i].kept) == (links[i], label[i], label[i] == i)
     assert out[None].n_links == 0 and out[None].component_id is None
     assert link_vectors(frame.limit(0)).count() == 0
+
+
+def test_audits_and_lost_vectors_take_some_queries_at_a_time(monkeypatch):
+    """A dense group's links are counted some queries at a time, and vectors that no walk reaches are searched some at a time."""
+    rng = np.random.default_rng(3)
+    x = np.vstack((np.ones(16) + rng.normal(size=(500, 16)) * 0.05, rng.normal(size=(300, 16))))
+    x = x[rng.permutation(len(x))]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, ids = hnsw.build(x), np.arange(len(x))
+    cell = (graph, ids, np.ones(len(x), np.int64), ids, x)
+    near, level = graph.near, np.full((len(x), 4), -1, np.int64)
+    want, reached = embedding_dedup._audit(*cell, 0.95, 16).to_pydict(), hnsw._all_reached(near, level.copy(), 0)
+    true = x @ x.T >= 0.95
+    np.fill_diagonal(true, False)
+    assert want["links"] == [int(true.sum())] and 0 < want["found"][0] <= want["links"][0]
+    sizes = []
+    for module, name in ((embedding_dedup, "true_links"), (hnsw, "linked"), (hnsw, "beam_search")):
+        monkeypatch.setattr(module, name, lambda a, b, c, *rest, real=getattr(module, name), queries=2 if name == "beam_search" else 1: sizes.append(len((a, b, c)[queries])) or real(a, b, c, *rest))
+    monkeypatch.setattr(hnsw, "SEARCHED_AT_ONCE", 64)
+    monkeypatch.setattr(embedding_dedup, "DENSE_AT_ONCE", 40 * len(x))
+    assert embedding_dedup._audit(*cell, 0.95, 16).to_pydict() == want and max(sizes) <= 64
+    assert (hnsw._all_reached(near, level.copy(), 0) == reached).all() and max(sizes) <= 64
+    again = hnsw.Graph.from_bytes(graph.to_bytes())
+    assert all((a == b).all() for a, b in zip(again.neighbours, graph.neighbours)) and len(again.neighbours) == len(graph.neighbours)
